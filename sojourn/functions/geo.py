@@ -12,12 +12,16 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def haversine_m(lat1, lng1, lat2, lng2) -> Column:
-    """Great-circle metres between two points given in degrees."""
-    lat1, lng1, lat2, lng2 = map(_col, (lat1, lng1, lat2, lng2))
-    h = (F.pow(F.sin(F.radians(lat2 - lat1) / 2), F.lit(2))
-         + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lng2 - lng1) / 2), F.lit(2)))
-    return F.lit(2 * EARTH_RADIUS_M) * F.atan2(F.sqrt(h), F.sqrt(F.lit(1.0) - h))
+def haversine_sql(lat1: str, lng1: str, lat2: str, lng2: str) -> str:
+    """Great-circle metres between two points given in degrees, as SQL text over column names."""
+    h = (f"(pow(sin(radians({lat2} - {lat1}) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2}))"
+         f" * pow(sin(radians({lng2} - {lng1}) / 2), 2))")
+    return f"({2 * EARTH_RADIUS_M}D * atan2(sqrt({h}), sqrt(1D - {h})))"
+
+
+def haversine_m(lat1: str, lng1: str, lat2: str, lng2: str) -> Column:
+    """Great-circle metres between two points given in degrees by column names."""
+    return F.expr(haversine_sql(lat1, lng1, lat2, lng2))
 
 
 def valid_coordinate(lat, lng) -> Column:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from sojourn.constants import CLUSTER_EPS_M, CLUSTER_MIN_PTS, EARTH_RADIUS_M
 from sojourn.functions import geo
 from sojourn.operators.components import components
-from sojourn.operators.ordered import CHUNK, Keys, with_id_chunk
+from sojourn.operators.ordered import CHUNK, Keys, attach_by_key, with_id_chunk
 from sojourn.operators.selection import SUBJECT
 from sojourn.operators.staging import staged
 
@@ -150,6 +150,45 @@ def _full_cell_edges(placed: DataFrame, full: DataFrame, keys: Keys, eps_m: floa
             .select(*k, F.col("a_node").alias("u"), F.col("b_node").alias("v")))
 
 
+def eps_neighbour_weights(items: DataFrame, eps_m: float = CLUSTER_EPS_M, keys: Keys = SUBJECT, id_col: str = "sid",
+                          weight_col: str | None = None) -> DataFrame:
+    """``(keys, id, weight)``: how much lies within ``eps_m`` of each item, itself included.
+
+    Counts by sub-cells: a pair of sub-cells that is surely within reach adds its total at once, and only
+    sub-cells whose distance straddles eps are compared item by item.
+    """
+    k = list(keys)
+    side_m = eps_m / math.sqrt(2) * (1 - 1e-6)
+    row, col = cell_of("lat", "lng", side_m)
+    weight = F.lit(1.0) if weight_col is None else F.col(weight_col).cast("double")
+    step = _row_height_deg(side_m) / _SUB
+    placed = items.select(*k, F.col(id_col).cast("bigint").alias("id"), "lat", "lng", weight.alias("w"),
+                          row.alias("row"), col.alias("col")).withColumns({
+        "sub_row": F.floor(F.col("lat") / step).cast("bigint"),
+        "sub_col": F.floor(F.col("lng") / (_col_width_deg("row", side_m) / _SUB)).cast("bigint")})
+    placed = staged(with_id_chunk(placed, "id"))
+    at = ["row", "col", "sub_row", "sub_col"]
+    subs = placed.groupBy(*k, *at).agg(F.sum("w").alias("w"), *[f(c).alias(n) for f, c, n in _BOX])
+    cols = [*at, "w", *_BOX_NAMES]
+    here = _sided(subs.select(*k, *cols), "a", cols)
+    near = here.withColumn("_c", F.explode(cells_around("a_lat_lo", "a_lat_hi", "a_lng_lo", "a_lng_hi", eps_m, side_m)))
+    near = near.select(*here.columns, F.col("_c.row").alias("b_row"), F.col("_c.col").alias("b_col"))
+    lower, upper = _box_gap("a", "b")
+    pairs = (near.join(_sided(subs.select(*k, *cols), "b", cols), [*k, "b_row", "b_col"])
+             .withColumns({"lower": lower, "upper": upper}).filter(F.col("lower") <= eps_m))
+    a_at, b_at = [f"a_{c}" for c in at], [f"b_{c}" for c in at]
+    sure = (pairs.filter(F.col("upper") <= eps_m).groupBy(*k, *a_at).agg(F.sum("b_w").alias("sure"))
+            .withColumnsRenamed(dict(zip(a_at, at))))
+    whole = attach_by_key(placed, sure, [*k, *at], how="left").select(*k, "id", F.coalesce("sure", F.lit(0.0)).alias("w"))
+    item_cols = [*at, "id", "lat", "lng", "w", CHUNK]
+    single = (pairs.filter(F.col("upper") > eps_m).select(*k, *a_at, *b_at)
+              .join(_sided(placed, "a", item_cols), [*k, *a_at]).join(_sided(placed, "b", item_cols), [*k, *b_at])
+              .filter(geo.haversine_m("a_lat", "a_lng", "b_lat", "b_lng") <= eps_m)
+              .select(*k, F.col("a_id").alias("id"), F.col("b_w").alias("w")))
+    return (whole.unionByName(single).groupBy(*k, "id").agg(F.sum("w").alias("weight"))
+            .withColumnRenamed("id", id_col))
+
+
 def dbscan(items: DataFrame, eps_m: float = CLUSTER_EPS_M, min_pts: float = CLUSTER_MIN_PTS, keys: Keys = SUBJECT,
            id_col: str = "sid", weight_col: str | None = None) -> DataFrame:
     """``(keys, id, cluster_id)``: core points and what they reach; noise is -1.

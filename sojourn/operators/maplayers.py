@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sojourn.constants import (
@@ -26,7 +26,7 @@ from sojourn.constants import (
     ROUTE_MIN_POINTS,
 )
 from sojourn.functions import geo
-from sojourn.operators.ordered import CHUNK, Keys, Rows, attach_by_key, attach_totals, row_position, scan, with_time_chunk
+from sojourn.operators.ordered import CHUNK, Keys, attach_by_key, attach_totals, row_position, scan, with_time_chunk
 from sojourn.operators.selection import SUBJECT, movement_points
 
 
@@ -87,22 +87,18 @@ def heat_top_cells(cells: DataFrame, keys: Keys = SUBJECT, n: int = HEAT_MAX_CEL
 _TRACK = ("ts_sec", "lat", "lng")
 
 
-def _kept(now: Rows, prev: Rows) -> Column:
-    return prev["ts_sec"].isNull() | (now["ts_sec"] > prev["ts_sec"])
-
-
-def _breaks_route(now: Rows, prev: Rows) -> Column:
-    dt = now["ts_sec"] - prev["ts_sec"]
-    km = geo.haversine_m(prev["lat"], prev["lng"], now["lat"], now["lng"]) / 1000
-    return (dt > 0) & ((dt > ROUTE_GAP_SEC) | (km / (dt / 3600) > PLAUSIBLE_MAX_KMH))
+_DT = "(ts_sec - prev_ts_sec)"
+_KM = geo.haversine_sql("prev_lat", "prev_lng", "lat", "lng") + " / 1000"
+_KEPT = f"prev_ts_sec IS NULL OR {_DT} > 0"
+_BREAKS = f"{_DT} > 0 AND ({_DT} > {ROUTE_GAP_SEC} OR {_KM} / ({_DT} / 3600) > {PLAUSIBLE_MAX_KMH}D)"
 
 
 def routes(points: DataFrame, keys: Keys = SUBJECT, chunk_sec: int | None = None,
            min_points: int = ROUTE_MIN_POINTS) -> DataFrame:
     """Vertices of each unbroken segment: ``segment_id``, ``idx`` in it, ``segment_len``, ``pos`` in the key's track."""
     moving = movement_points(points, keys, chunk_sec).select(*keys, CHUNK, "ord", *_TRACK)
-    walked = scan(moving, keys, _TRACK, {"segment_id": _breaks_route, "kept": _kept})
-    vertices = walked.filter(F.col("prev_ts_sec").isNull() | (F.col("ts_sec") > F.col("prev_ts_sec")))
+    walked = scan(moving, keys, _TRACK, {"segment_id": _BREAKS, "kept": _KEPT})
+    vertices = walked.filter(_KEPT)
     vertices = vertices.withColumn("pos", F.col("kept") - 1).drop("kept", *[f"prev_{c}" for c in _TRACK])
     # A segment may be as long as the history, so its length is totalled over the chunks it touches.
     sized = attach_totals(vertices, [*keys, "segment_id"], segment_len=(F.count(F.lit(1)), F.sum),

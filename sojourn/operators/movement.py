@@ -7,38 +7,26 @@ from pyspark.sql import functions as F
 
 from sojourn.constants import JOURNEY_GAP_SEC, MODES, PLAUSIBLE_MAX_KMH, STATIONARY_KMH
 from sojourn.functions import calendar, geo
-from sojourn.operators.ordered import Keys, Rows, scan
+from sojourn.operators.ordered import CHUNK, Keys, scan
 from sojourn.operators.selection import SUBJECT, movement_points
 
 TRACK = ("ts_sec", "lat", "lng")
-
-
-def _km(now: Rows, prev: Rows):
-    return geo.haversine_m(prev["lat"], prev["lng"], now["lat"], now["lng"]) / 1000
-
-
-def _kmh(now: Rows, prev: Rows):
-    dt = now["ts_sec"] - prev["ts_sec"]
-    return F.when(dt > 0, _km(now, prev) / (dt / 3600))
-
-
-def _breaks_journey(now: Rows, prev: Rows):
-    dt = now["ts_sec"] - prev["ts_sec"]
-    return (dt > 0) & ((dt > JOURNEY_GAP_SEC) | (_kmh(now, prev) < STATIONARY_KMH))
+_KM = geo.haversine_sql("prev_lat", "prev_lng", "lat", "lng") + " / 1000"
+_DT = "(ts_sec - prev_ts_sec)"
+_BREAKS = f"{_DT} > 0 AND ({_DT} > {JOURNEY_GAP_SEC} OR {_KM} / ({_DT} / 3600) < {STATIONARY_KMH}D)"
 
 
 def track(points: DataFrame, keys: Keys = SUBJECT, chunk_sec: int | None = None) -> DataFrame:
     """Movement points in time order with their predecessor and the number of journey breaks so far."""
-    moving = movement_points(points, keys, chunk_sec).select(*keys, "chunk", "ord", *TRACK)
-    return scan(moving, keys, TRACK, {"journey_no": _breaks_journey})
+    moving = movement_points(points, keys, chunk_sec).select(*keys, CHUNK, "ord", *TRACK)
+    return scan(moving, keys, TRACK, {"journey_no": _BREAKS})
 
 
 def _measured(tracked: DataFrame) -> DataFrame:
-    now = {c: F.col(c) for c in TRACK}
-    prev = {c: F.col(f"prev_{c}") for c in TRACK}
-    return (tracked.withColumn("dt_sec", now["ts_sec"] - prev["ts_sec"])
-            .withColumn("km", F.when(F.col("dt_sec") > 0, _km(now, prev)))
-            .withColumn("kmh", F.col("km") / (F.col("dt_sec") / 3600)))
+    """Adds time, distance and speed since the previous point (NULL without time between them)."""
+    return (tracked.withColumn("dt_sec", F.expr(_DT))
+            .withColumn("km", F.expr(f"if(dt_sec > 0, {_KM}, NULL)"))
+            .withColumn("kmh", F.expr("km / (dt_sec / 3600)")))
 
 
 def legs(points: DataFrame, keys: Keys = SUBJECT, chunk_sec: int | None = None) -> DataFrame:

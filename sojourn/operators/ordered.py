@@ -66,17 +66,13 @@ def attach_by_key(df: DataFrame, per_key: DataFrame, keys: Keys, chunk: str = CH
     return df.join(spread, [*keys, chunk], how)
 
 
-Rows = dict[str, Column]
-
-
-def scan(df: DataFrame, keys: Keys, carry: Sequence[str], counters: dict[str, Callable[[Rows, Rows], Column]],
+def scan(df: DataFrame, keys: Keys, carry: Sequence[str], counters: dict[str, str],
          order: Sequence[str] = ("ts_sec", "ord"), chunk: str = CHUNK) -> DataFrame:
     """Exact ``prev_*`` columns and running counters over each key's rows in ``order``.
 
-    ``carry`` lists the columns whose previous value is wanted. ``counters`` maps a name to a
-    function of (this row, previous row) giving 0 or 1; the running sum up to and including the row is
-    added under that name. A counter may read only ``carry`` columns. On a key's first row every previous value is
-    NULL, and a counter that is NULL counts as 0.
+    ``carry`` lists the columns whose previous value is wanted. ``counters`` maps a name to a boolean SQL expression
+    over ``carry`` columns ``x`` and their predecessors ``prev_x``; how often it held up to and including the
+    row is added under that name. On a key's first row every predecessor is NULL; a NULL condition does not count.
     """
     inside = Window.partitionBy(*keys, chunk).orderBy(*order)
     local = df.select(
@@ -85,42 +81,32 @@ def scan(df: DataFrame, keys: Keys, carry: Sequence[str], counters: dict[str, Ca
         F.lead(F.lit(True)).over(inside).isNull().alias("_is_last"),
         *[F.lag(c).over(inside).alias(f"prev_{c}") for c in carry],
     )
-    here = {c: F.col(c) for c in carry}
-    before = {c: F.col(f"prev_{c}") for c in carry}
-    first = F.col("_rn") == 1
-
-    def as_count(flag: Column) -> Column:
-        return F.coalesce(flag.cast("bigint"), F.lit(0).cast("bigint"))
-
-    flags = {n: F.when(first, F.lit(0).cast("bigint")).otherwise(as_count(f(here, before)))
-             for n, f in counters.items()}
-    running = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    if flags:
-        local = local.withColumns({f"_f_{n}": c for n, c in flags.items()})
-        local = local.withColumns({f"_s_{n}": F.sum(f"_f_{n}").over(running) for n in flags})
+    if counters:
+        local = local.select("*", *[F.expr(f"CAST(_rn > 1 AND coalesce({c}, false) AS BIGINT)").alias(f"_f_{n}")
+                                    for n, c in counters.items()])
+        running = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        local = local.select("*", *[F.sum(f"_f_{n}").over(running).alias(f"_s_{n}") for n in counters])
 
     # One row per chunk: its first and last row, and what it adds to each counter.
-    edges = local.filter(first | F.col("_is_last")).groupBy(*keys, chunk).agg(
-        *[F.max(F.when(first, F.col(c))).alias(f"_first_{c}") for c in carry],
-        *[F.max(F.when(F.col("_is_last"), F.col(c))).alias(f"_last_{c}") for c in carry],
-        *[F.max(F.when(F.col("_is_last"), F.col(f"_s_{n}"))).alias(f"_n_{n}") for n in counters],
+    first, last = "_rn = 1", "_is_last"
+    edges = local.filter(f"{first} OR {last}").groupBy(*keys, chunk).agg(
+        *[F.expr(f"max({c}) FILTER (WHERE {first}) AS {c}") for c in carry],
+        *[F.expr(f"max({c}) FILTER (WHERE {last}) AS _last_{c}") for c in carry],
+        *[F.expr(f"max(_s_{n}) AS _n_{n}") for n in counters],
     )
     across = Window.partitionBy(*keys).orderBy(chunk)
-    edges = edges.select("*", *[F.lag(f"_last_{c}").over(across).alias(f"_carry_{c}") for c in carry])
-    entering = {c: F.col(f"_first_{c}") for c in carry}
-    carried = {c: F.col(f"_carry_{c}") for c in carry}
-    bases = {}
-    for n, f in counters.items():
-        entry = as_count(f(entering, carried))
-        upto = across.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        bases[f"_base_{n}"] = F.sum(F.col(f"_n_{n}") + entry).over(upto) - F.col(f"_n_{n}")
-    edges = edges.select(*keys, chunk, *[f"_carry_{c}" for c in carry], *[c.alias(n) for n, c in bases.items()])
-
-    joined = local.join(edges, [*keys, chunk])
-    return joined.select(
+    upto = across.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    edges = edges.select("*", *[F.lag(f"_last_{c}").over(across).alias(f"prev_{c}") for c in carry])
+    edges = edges.select("*", *[F.expr(f"CAST(coalesce({c}, false) AS BIGINT)").alias(f"_e_{n}")
+                                for n, c in counters.items()])
+    edges = edges.select(*keys, chunk, *[F.col(f"prev_{c}").alias(f"_carry_{c}") for c in carry],
+                         *[(F.sum(F.expr(f"_n_{n} + _e_{n}")).over(upto) - F.col(f"_n_{n}")).alias(f"_base_{n}")
+                           for n in counters])
+
+    return local.join(edges, [*keys, chunk]).select(
         *df.columns,
-        *[F.when(first, F.col(f"_carry_{c}")).otherwise(F.col(f"prev_{c}")).alias(f"prev_{c}") for c in carry],
-        *[(F.col(f"_base_{n}") + F.col(f"_s_{n}")).alias(n) for n in counters],
+        *[F.expr(f"if({first}, _carry_{c}, prev_{c}) AS prev_{c}") for c in carry],
+        *[F.expr(f"_base_{n} + _s_{n} AS {n}") for n in counters],
     )
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from sojourn.constants import EARTH_RADIUS_M, STAY_MAX_GAP_SEC, STAY_MIN_SEC, STAY_RADIUS_M
 from sojourn.functions import geo
-from sojourn.operators.ordered import CHUNK, Keys, Rows, scan, with_time_chunk
+from sojourn.operators.ordered import CHUNK, Keys, scan, with_time_chunk
 from sojourn.operators.selection import SUBJECT
 from sojourn.operators.staging import staged
 
@@ -44,12 +44,9 @@ def islands(points: DataFrame, keys: Keys = SUBJECT, radius_m: float = STAY_RADI
                               F.min("lng").over(block), F.max("lng").over(block))
     base = base.withColumn("wide", (spread > 2 * radius_m + _SLACK_M).cast("int"))
 
-    def cut(now: Rows, prev: Rows):
-        step = geo.haversine_m(prev["lat"], prev["lng"], now["lat"], now["lng"])
-        return ((now["ts_sec"] - prev["ts_sec"] > max_gap_sec)
-                | (step > 2 * radius_m + _SLACK_M)
-                | ((now["block"] == prev["block"] + 1) & (now["wide"] == 1) & (prev["wide"] == 1)))
-
+    step = geo.haversine_sql("prev_lat", "prev_lng", "lat", "lng")
+    cut = (f"ts_sec - prev_ts_sec > {max_gap_sec} OR {step} > {2 * radius_m + _SLACK_M}D"
+           " OR (block = prev_block + 1 AND wide = 1 AND prev_wide = 1)")
     cut_rows = scan(base, keys, ("ts_sec", "lat", "lng", "block", "wide"), {"island": cut})
     return cut_rows.select(*keys, CHUNK, "island", "ord", "ts_sec", "lat", "lng", "semantic_label")
 

@@ -1,6 +1,6 @@
 """Imports every query module, which fills the registry."""
 
-from workload import q_movement  # noqa: F401
+from workload import q_maps, q_movement, q_patterns, q_places  # noqa: F401
 from workload.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -15,9 +15,9 @@ TS_SEC = {
 
 POINTS = """
 SELECT concat('u', CAST(s AS STRING)) AS subject_id, event_id AS ord,
-       50.40E0 + 0.012E0 * spot + (k - 50) * 0.000006E0
+       50.40E0 + 0.012E0 * spot + (k - 50) * 0.0000061803E0
          + CASE WHEN blk % 17 = 0 THEN 0.003E0 * (blk % 41) ELSE 0E0 END AS lat,
-       30.50E0 + 0.015E0 * spot + (value - 100E0) * 0.000002E0 AS lng,
+       30.50E0 + 0.015E0 * spot + (value - 100E0) * 0.0000020331E0 AS lng,
        ts_sec,
        CASE WHEN event_type IN ('click', 'error') THEN 'movement' ELSE 'visit' END AS source,
        CASE WHEN event_type IN ('click', 'error') THEN NULL
