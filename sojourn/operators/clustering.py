@@ -116,9 +116,12 @@ def _full_cell_edges(placed: DataFrame, full: DataFrame, keys: Keys, eps_m: floa
                        | ((F.col("b_row") == F.col("a_row")) & (F.col("b_col") > F.col("a_col"))))
     pairs = near.join(_sided(full.select(*k, *cols), "b", cols), [*k, "b_row", "b_col"])
     lower, upper = _box_gap("a", "b")
-    pairs = pairs.withColumns({"lower": lower, "upper": upper}).filter(F.col("lower") <= eps_m)
-    certain = pairs.filter(F.col("upper") <= eps_m).select(*k, "a_node", "b_node")
-    open_pairs = pairs.filter(F.col("upper") > eps_m).select(*k, "a_row", "a_col", "b_row", "b_col", "a_node", "b_node")
+    pairs = staged(pairs.withColumns({"lower": lower, "upper": upper}).filter(F.col("lower") <= eps_m).select(
+        *k, "a_row", "a_col", "b_row", "b_col", "a_node", "b_node", (F.col("upper") <= eps_m).alias("sure")))
+    certain = pairs.filter("sure").select(*k, F.col("a_node").alias("u"), F.col("b_node").alias("v"))
+    open_pairs = pairs.filter(~F.col("sure")).drop("sure")
+    if open_pairs.isEmpty():
+        return certain
 
     # Sub-cells of the undecided cells.
     touched = open_pairs.select(*k, F.explode(F.array(
@@ -146,8 +149,8 @@ def _full_cell_edges(placed: DataFrame, full: DataFrame, keys: Keys, eps_m: floa
              .join(_sided(spots, "b", point_cols), [*k, *[f"b_{c}" for c in at]])
              .filter(geo.haversine_m("a_lat", "a_lng", "b_lat", "b_lng") <= eps_m)
              .select(*k, "a_node", "b_node").distinct())
-    return (certain.unionByName(joined).unionByName(exact)
-            .select(*k, F.col("a_node").alias("u"), F.col("b_node").alias("v")))
+    decided = joined.unionByName(exact).select(*k, F.col("a_node").alias("u"), F.col("b_node").alias("v"))
+    return certain.unionByName(decided)
 
 
 def eps_neighbour_weights(items: DataFrame, eps_m: float = CLUSTER_EPS_M, keys: Keys = SUBJECT, id_col: str = "sid",
@@ -190,11 +193,12 @@ def eps_neighbour_weights(items: DataFrame, eps_m: float = CLUSTER_EPS_M, keys:
 
 
 def dbscan(items: DataFrame, eps_m: float = CLUSTER_EPS_M, min_pts: float = CLUSTER_MIN_PTS, keys: Keys = SUBJECT,
-           id_col: str = "sid", weight_col: str | None = None) -> DataFrame:
+           id_col: str = "sid", weight_col: str | None = None, items_staged: bool = False) -> DataFrame:
     """``(keys, id, cluster_id)``: core points and what they reach; noise is -1.
 
     Clusters are numbered per key by their smallest core id, and a border point joins the lowest-numbered cluster
-    that reaches it, so the result does not depend on row order or partitioning.
+    that reaches it, so the result does not depend on row order or partitioning. ``items`` are read several times and
+    therefore staged, unless ``items_staged`` says that they already are.
     """
     k = list(keys)
     side_m = eps_m / math.sqrt(2) * (1 - 1e-6)
@@ -202,7 +206,8 @@ def dbscan(items: DataFrame, eps_m: float = CLUSTER_EPS_M, min_pts: float = CLUS
     weight = F.lit(1.0) if weight_col is None else F.col(weight_col).cast("double")
     placed = with_id_chunk(items.select(*k, F.col(id_col).cast("bigint").alias("id"), "lat", "lng",
                                         weight.alias("w"), row.alias("row"), col.alias("col")), "id")
-    placed = staged(placed)
+    if not items_staged:
+        placed = staged(placed)
 
     # Cell statistics per (cell, id block): a cell that holds a third of all points is still many small groups.
     blocks = placed.groupBy(*k, "row", "col", CHUNK).agg(

@@ -29,22 +29,22 @@ def _star(edges: DataFrame, keys: Keys, large: bool) -> DataFrame:
     return moved.filter(F.col("u") != F.col("v")).distinct()
 
 
+def _settled(edges: DataFrame, keys: Keys) -> bool:
+    """True when every node points to one root and no root points anywhere (a star per component)."""
+    ends = (edges.select(*keys, F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up"))
+            .unionByName(edges.select(*keys, F.col("v").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up"))))
+    nodes = ends.groupBy(*keys, "node").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return nodes.filter((F.col("down") > 1) | ((F.col("down") == 1) & (F.col("up") == 1))).isEmpty()
+
+
 def components(edges: DataFrame, keys: Keys) -> DataFrame:
     """``(keys, u, v)`` undirected edges to ``(keys, node, root)``; the root is the smallest id of the component."""
-    def fingerprint(df: DataFrame):
-        pair = F.xxhash64(*keys, "u", "v").cast("decimal(38,0)")
-        return tuple(df.agg(F.count(F.lit(1)), F.sum(pair)).first())
-
-    current = staged(edges.filter(F.col("u") != F.col("v")).select(*keys, "u", "v").distinct())
-    seen = fingerprint(current)
+    current = staged(edges.filter(F.col("u") != F.col("v"))
+                     .select(*keys, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     for _ in range(MAX_ROUNDS):
-        if seen[0] == 0:
+        if _settled(current, keys):
             break
         current = staged(_star(_star(current, keys, large=True), keys, large=False))
-        now = fingerprint(current)
-        if now == seen:
-            break
-        seen = now
     else:
         raise RuntimeError(f"components did not settle within {MAX_ROUNDS} rounds")
     leaves = current.select(*keys, F.col("u").alias("node"), F.col("v").alias("root"))

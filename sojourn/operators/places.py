@@ -20,11 +20,13 @@ from sojourn.functions import geo
 from sojourn.operators.clustering import cell_of, cells_around, dbscan
 from sojourn.operators.ordered import Keys
 from sojourn.operators.selection import SUBJECT
+from sojourn.operators.staging import staged
 
 
 def clustered_stays(stays: DataFrame, keys: Keys = SUBJECT, **options) -> DataFrame:
-    labels = dbscan(stays, keys=keys, **options)
-    return stays.join(labels, [*keys, "sid"])
+    """Stays with their ``cluster_id``. The stays are staged once for the clustering and for the join back."""
+    kept = staged(stays)
+    return kept.join(dbscan(kept, keys=keys, items_staged=True, **options), [*keys, "sid"])
 
 
 def label_mode(stays: DataFrame, keys: Keys = SUBJECT) -> DataFrame:

@@ -60,9 +60,7 @@ def run_all(points: DataFrame, activities: DataFrame, trips: DataFrame, frequent
     spans = patterns.span_days(points, keys)
     tracked = staged(movement.track(points, keys, width))
     leg_rows = movement.legs_of(tracked, keys)
-    found = stays.stay_points(points, keys, chunk_sec=width)
-    found = staged(found)
-    clustered = places.clustered_stays(found, keys)
+    clustered = places.clustered_stays(stays.stay_points(points, keys, chunk_sec=width), keys)
     built = places.nearest_frequent_place(places.place_build(clustered, keys), frequent_places, keys)
     built = staged(places.place_rank(places.place_lifecycle(built, spans, keys), keys))
     runs = movement.journeys_of(tracked, keys)

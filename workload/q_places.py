@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from sojourn.operators import clustering, patterns, places, selection, stays
-from sojourn.operators.staging import staged
 from sojourn.plans import profile
 from workload.fixtures import Inputs
 from workload.registry import cte, query
@@ -14,7 +13,7 @@ def _stays(t: Inputs):
 
 
 def _clustered(t: Inputs):
-    return places.clustered_stays(staged(_stays(t)))
+    return places.clustered_stays(_stays(t))
 
 
 def _places(t: Inputs):
