@@ -24,13 +24,13 @@ PROFILE = "struct<frequentPlaces: array<struct<placeLocation: string, label: str
 DOCUMENT = f"locations array<{PING}>, semanticSegments array<{SEGMENT}>, userLocationProfile {PROFILE}"
 
 # Order of what one element yields: visit samples, activity start, activity end, waypoints.
-_PER_ELEMENT = 1 << 20
+_PER_ELEMENT = 1 << 16
 _ACTIVITY_START = VISIT_MAX_STEPS + 1
 _ACTIVITY_END = VISIT_MAX_STEPS + 2
 _WAYPOINTS = VISIT_MAX_STEPS + 3
 _POINT = ("array<struct<k: bigint, ts_sec: bigint, lat: double, lng: double, source: string,"
           " semantic_label: string, kind: string>>")
-MAX_ELEMENTS_PER_PART = 1 << 31
+ELEMENTS_PER_PART = 1 << 23
 
 
 # --- readers ----------------------------------------------------------------------------
@@ -89,7 +89,7 @@ def rejects(exports: DataFrame) -> DataFrame:
 # --- elements ---------------------------------------------------------------------------
 
 def _elements(exports: DataFrame, form: str) -> DataFrame:
-    position = F.col("part") * F.lit(MAX_ELEMENTS_PER_PART) + F.col("i")
+    position = F.col("part") * F.lit(ELEMENTS_PER_PART) + F.col("i")
     return (exports.filter(_format() == form).select("subject_id", "file_id", "part", F.posexplode(form).alias("i", "e"))
             .select("subject_id", "file_id", position.alias("position"), "e"))
 
@@ -221,7 +221,7 @@ def frequent_places(exports: DataFrame) -> DataFrame:
     rows = exports.filter(_format() == "semanticSegments").select(
         "subject_id", "part", F.posexplode("userLocationProfile.frequentPlaces").alias("i", "f"))
     return (rows.withColumn("at", text.read_location("f.placeLocation")).filter(F.col("at").isNotNull())
-            .select("subject_id", (F.col("part") * F.lit(MAX_ELEMENTS_PER_PART) + F.col("i")).alias("ord"),
+            .select("subject_id", (F.col("part") * F.lit(ELEMENTS_PER_PART) + F.col("i")).alias("ord"),
                     F.col("at.lat").alias("lat"), F.col("at.lng").alias("lng"),
                     text.blank_to_null(F.upper(F.trim("f.label"))).alias("label")))
 
