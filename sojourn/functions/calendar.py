@@ -5,7 +5,7 @@ All of them work on zone-less timestamps, so no result depends on the session ti
 
 from __future__ import annotations
 
-from datetime import datetime, timezone
+from datetime import datetime
 from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column
@@ -18,7 +18,7 @@ def _col(c) -> Column:
 
 def utc_time(ts_sec) -> Column:
     """Epoch seconds as a zone-less UTC timestamp."""
-    return F.lit(datetime(1970, 1, 1)).cast("timestamp_ntz") + F.make_dt_interval(
+    return F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'") + F.make_dt_interval(
         F.lit(0), F.lit(0), F.lit(0), _col(ts_sec))
 
 
@@ -83,6 +83,6 @@ def period_bound_columns(period_key, tz: str = "UTC") -> tuple[Column, Column]:
 def epoch_seconds(ntz) -> Column:
     """Whole seconds since 1970 of a zone-less UTC timestamp."""
     t = _col(ntz)
-    days = F.date_diff(t.cast("date"), F.lit(datetime(1970, 1, 1, tzinfo=timezone.utc).date()))
+    days = F.date_diff(t.cast("date"), F.expr("DATE '1970-01-01'"))
     return (days.cast("bigint") * 86400 + F.hour(t) * 3600 + F.minute(t) * 60
             + F.floor(F.second(t))).cast("bigint")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from sojourn.operators import clustering, patterns, places, selection, stays
 from sojourn.plans import profile
+from workload import fixtures
 from workload.fixtures import Inputs
 from workload.registry import cte, query
 
@@ -69,16 +70,26 @@ def _(t: Inputs):
     return places.nearest_frequent_place(_places(t), t.frequent_places).select("subject_id", "cluster_id", "semantic_label")
 
 
-@query("place_lifecycle", "SELECT subject_id, cluster_id, lifecycle FROM staged_places", "staged_places")
+# One spot is left after ten days and another is first visited after twenty, so that both stages occur.
+_MOVED = ("(lng < 30.51E0 OR lng > 30.52E0 OR ts_sec < 1704931200) AND (lng < 30.525E0 OR lng > 30.535E0 OR ts_sec > 1705795200)")
+_HISTORY = {"points": (f"SELECT * FROM ({fixtures.duckdb_text(fixtures.POINTS)}) WHERE {_MOVED}", ())}
+
+
+def _lifecycle(t: Inputs):
+    history = t.points.filter(_MOVED)
+    built = places.place_build(places.clustered_stays(stays.stay_points(history)))
+    return places.place_lifecycle(built, patterns.span_days(history))
+
+
+@query("place_lifecycle", "SELECT subject_id, cluster_id, lifecycle FROM staged_places", "staged_places", override=_HISTORY)
 def _(t: Inputs):
-    return places.place_lifecycle(_places(t), patterns.span_days(t.points)).select("subject_id", "cluster_id", "lifecycle")
+    return _lifecycle(t).select("subject_id", "cluster_id", "lifecycle")
 
 
 @query("lifecycle_sorted", """SELECT subject_id, lifecycle, cluster_id, total_duration_sec FROM staged_places WHERE lifecycle IS NOT NULL
-    ORDER BY subject_id, lifecycle, total_duration_sec DESC""", "staged_places")
+    ORDER BY subject_id, lifecycle, total_duration_sec DESC""", "staged_places", override=_HISTORY)
 def _(t: Inputs):
-    return places.lifecycle_sorted(places.place_lifecycle(_places(t), patterns.span_days(t.points))).select(
-        "subject_id", "lifecycle", "cluster_id", "total_duration_sec")
+    return places.lifecycle_sorted(_lifecycle(t)).select("subject_id", "lifecycle", "cluster_id", "total_duration_sec")
 
 
 @query("place_rank", "SELECT subject_id, rank, cluster_id, round(lat, 6) AS lat, round(lng, 6) AS lng, visit_count, total_duration_sec FROM ranked", "ranked")
