@@ -18,24 +18,26 @@ from pyspark.sql import functions as F
 CHUNK = "chunk"
 # Chunk widths all divide a UTC day, so a chunk never straddles a UTC day or month.
 CHUNK_WIDTHS_SEC = (86400, 21600, 3600, 900, 300, 60, 10, 1)
-CHUNK_TARGET_ROWS = 2_000_000
+CHUNK_TARGET_ROWS = 100_000
 ID_BLOCK = 65_536
 
 Keys = Sequence[str]
 
 
 def plan_chunk_sec(points: DataFrame, keys: Keys, target_rows: int = CHUNK_TARGET_ROWS) -> int:
-    """The widest chunk whose densest (key, bucket) stays within ``target_rows``.
+    """A chunk width at which the densest (key, bucket) should hold at most ``target_rows``.
 
-    Counts per key and day first (two columns read, map-side combine); only when a day is too dense is the count
-    repeated with narrower buckets. One number comes back to the driver each time.
+    One aggregation over the key and time columns (counts per quarter hour, combined on the map side); two numbers
+    come back. The width decides only how the work is split, never a result.
     """
-    for width in CHUNK_WIDTHS_SEC[:-1]:
-        densest = (points.groupBy(*keys, F.floor(F.col("ts_sec") / width).alias(CHUNK)).count()
-                   .agg(F.max("count")).first()[0])
-        if densest is None or densest <= target_rows:
-            return width
-    return CHUNK_WIDTHS_SEC[-1]
+    quarter = 900
+    counts = points.groupBy(*keys, F.floor(F.col("ts_sec") / quarter).alias("q")).count()
+    days = counts.groupBy(*keys, F.floor(F.col("q") / (86400 // quarter)).alias("d")).agg(
+        F.sum("count").alias("per_day"), F.max("count").alias("per_quarter"))
+    per_day, per_quarter = days.agg(F.max("per_day"), F.max("per_quarter")).first()
+    if per_day is None or per_day <= target_rows:
+        return CHUNK_WIDTHS_SEC[0]
+    return next((w for w in CHUNK_WIDTHS_SEC[1:] if per_quarter * w / quarter <= target_rows), CHUNK_WIDTHS_SEC[-1])
 
 
 def with_time_chunk(points: DataFrame, keys: Keys, chunk_sec: int | None = None) -> DataFrame:
@@ -67,13 +69,18 @@ def attach_by_key(df: DataFrame, per_key: DataFrame, keys: Keys, chunk: str = CH
 
 
 def scan(df: DataFrame, keys: Keys, carry: Sequence[str], counters: dict[str, str],
-         order: Sequence[str] = ("ts_sec", "ord"), chunk: str = CHUNK) -> DataFrame:
+         order: Sequence[str] = ("ts_sec", "ord"), chunk: str = CHUNK, counted: Sequence[str] = ()) -> DataFrame:
     """Exact ``prev_*`` columns and running counters over each key's rows in ``order``.
 
     ``carry`` lists the columns whose previous value is wanted. ``counters`` maps a name to a boolean SQL expression
     over ``carry`` columns ``x`` and their predecessors ``prev_x``; how often it held up to and including the
     row is added under that name. On a key's first row every predecessor is NULL; a NULL condition does not count.
+    ``counted`` columns get their number of values in the chunk as ``n_*``.
+
+    The rows and the chunk table read the same columns of the same shuffle, so Spark runs that shuffle once. (The join
+    back implies non-null keys; saying so up front keeps both sides' filters, and so their shuffles, the same.)
     """
+    df = df.filter(" AND ".join(f"{c} IS NOT NULL" for c in [*keys, chunk]))
     inside = Window.partitionBy(*keys, chunk).orderBy(*order)
     local = df.select(
         "*",
@@ -89,22 +96,24 @@ def scan(df: DataFrame, keys: Keys, carry: Sequence[str], counters: dict[str, st
 
     # One row per chunk: its first and last row, and what it adds to each counter.
     first, last = "_rn = 1", "_is_last"
-    edges = local.filter(f"{first} OR {last}").groupBy(*keys, chunk).agg(
+    edges = local.groupBy(*keys, chunk).agg(
+        *[F.count(c).alias(f"n_{c}") for c in counted],
         *[F.expr(f"max({c}) FILTER (WHERE {first}) AS {c}") for c in carry],
         *[F.expr(f"max({c}) FILTER (WHERE {last}) AS _last_{c}") for c in carry],
-        *[F.expr(f"max(_s_{n}) AS _n_{n}") for n in counters],
+        *[F.expr(f"sum(_f_{n}) AS _n_{n}") for n in counters],
     )
     across = Window.partitionBy(*keys).orderBy(chunk)
     upto = across.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     edges = edges.select("*", *[F.lag(f"_last_{c}").over(across).alias(f"prev_{c}") for c in carry])
     edges = edges.select("*", *[F.expr(f"CAST(coalesce({c}, false) AS BIGINT)").alias(f"_e_{n}")
                                 for n, c in counters.items()])
-    edges = edges.select(*keys, chunk, *[F.col(f"prev_{c}").alias(f"_carry_{c}") for c in carry],
+    counts = [f"n_{c}" for c in counted]
+    edges = edges.select(*keys, chunk, *counts, *[F.col(f"prev_{c}").alias(f"_carry_{c}") for c in carry],
                          *[(F.sum(F.expr(f"_n_{n} + _e_{n}")).over(upto) - F.col(f"_n_{n}")).alias(f"_base_{n}")
                            for n in counters])
 
     return local.join(edges, [*keys, chunk]).select(
-        *df.columns,
+        *df.columns, *counts,
         *[F.expr(f"if({first}, _carry_{c}, prev_{c}) AS prev_{c}") for c in carry],
         *[F.expr(f"_base_{n} + _s_{n} AS {n}") for n in counters],
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,3 +25,12 @@ def staged(df: DataFrame) -> DataFrame:
     """Writes ``df`` once to the checkpoint folder; later readers start from there."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def staged_table(df: DataFrame) -> DataFrame:
+    """Writes a large ``df`` once as Parquet in the same folder: compressed, and later readers take only their columns."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)

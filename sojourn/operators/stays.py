@@ -26,7 +26,7 @@ from sojourn.constants import EARTH_RADIUS_M, STAY_MAX_GAP_SEC, STAY_MIN_SEC, ST
 from sojourn.functions import geo
 from sojourn.operators.ordered import CHUNK, Keys, scan, with_time_chunk
 from sojourn.operators.selection import SUBJECT
-from sojourn.operators.staging import staged
+from sojourn.operators.staging import staged_table
 
 # Guards against last-digit differences between the cut test and the scan.
 _SLACK_M = 0.01
@@ -39,16 +39,22 @@ def islands(points: DataFrame, keys: Keys = SUBJECT, radius_m: float = STAY_RADI
     base = with_time_chunk(points, keys, chunk_sec).select(
         *keys, CHUNK, "ord", "ts_sec", "lat", "lng", "semantic_label",
         F.floor(F.col("ts_sec") / half).cast("bigint").alias("block"))
-    block = Window.partitionBy(*keys, CHUNK, "block")
+    # Placed by (key, chunk) at once and ordered although the frame is the whole block, so that one shuffle and one
+    # sort serve this window and the scan's.
+    base = base.repartition(*keys, CHUNK)
+    block = (Window.partitionBy(*keys, CHUNK, "block").orderBy("ts_sec", "ord")
+             .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     spread = geo.box_extent_m(F.min("lat").over(block), F.max("lat").over(block),
                               F.min("lng").over(block), F.max("lng").over(block))
     base = base.withColumn("wide", (spread > 2 * radius_m + _SLACK_M).cast("int"))
 
     step = geo.haversine_sql("prev_lat", "prev_lng", "lat", "lng")
     cut = (f"ts_sec - prev_ts_sec > {max_gap_sec} OR {step} > {2 * radius_m + _SLACK_M}D"
-           " OR (block = prev_block + 1 AND wide = 1 AND prev_wide = 1)")
-    cut_rows = scan(base, keys, ("ts_sec", "lat", "lng", "block", "wide"), {"island": cut})
-    return cut_rows.select(*keys, CHUNK, "island", "ord", "ts_sec", "lat", "lng", "semantic_label")
+           f" OR (wide = 1 AND prev_wide = 1 AND floor(ts_sec / {half}) = floor(prev_ts_sec / {half}) + 1)")
+    cut_rows = scan(base, keys, ("ts_sec", "lat", "lng", "wide"), {"island": cut}, order=("block", "ts_sec", "ord"),
+                    counted=("semantic_label",))
+    label = F.when(F.col("n_semantic_label") > 0, F.col("semantic_label")).alias("semantic_label")
+    return cut_rows.select(*keys, CHUNK, "island", "ord", "ts_sec", "lat", "lng", label)
 
 
 def _label_of_islands(rows: DataFrame, keys: Keys) -> DataFrame:
@@ -63,7 +69,7 @@ def _label_of_islands(rows: DataFrame, keys: Keys) -> DataFrame:
 def stay_points(points: DataFrame, keys: Keys = SUBJECT, radius_m: float = STAY_RADIUS_M, min_sec: int = STAY_MIN_SEC,
                 max_gap_sec: int = STAY_MAX_GAP_SEC, chunk_sec: int | None = None) -> DataFrame:
     """Stays per key: ``sid`` (0-based, by start), span, centroid, number of points, label."""
-    rows = staged(islands(points, keys, radius_m, min_sec, max_gap_sec, chunk_sec))
+    rows = staged_table(islands(points, keys, radius_m, min_sec, max_gap_sec, chunk_sec))
     per_island = rows.groupBy(*keys, "island").agg(
         F.min("ts_sec").alias("start_sec"), F.max("ts_sec").alias("end_sec"),
         F.avg("lat").alias("lat"), F.avg("lng").alias("lng"), F.count(F.lit(1)).alias("point_count"),
