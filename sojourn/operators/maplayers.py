@@ -76,10 +76,18 @@ def heat_cells(points: DataFrame, scale: DataFrame, keys: Keys = SUBJECT, scale_
             .drop("_linear", "lo", "hi"))
 
 
-def heat_top_cells(cells: DataFrame, keys: Keys = SUBJECT, n: int = HEAT_MAX_CELLS) -> DataFrame:
-    """The n most intense cells of each key (first seen wins ties). Spark trims to n per key before the shuffle."""
-    order = Window.partitionBy(*keys).orderBy(F.desc("intensity"), "first_ord")
-    return cells.withColumn("heat_rank", F.row_number().over(order)).filter(F.col("heat_rank") <= n)
+def heat_top_cells(cells: DataFrame, keys: Keys = SUBJECT, n: int = HEAT_MAX_CELLS, spread: int = 64) -> DataFrame:
+    """The n most intense cells of each key (first seen wins ties).
+
+    Each key's cells are ranked in ``spread`` parts first, so the final ranking sees at most ``spread * n`` rows of a key.
+    """
+    best = (F.desc("intensity"), F.asc("first_ord"))
+    part = F.pmod(F.xxhash64("cell_y", "cell_x"), F.lit(spread))
+    heads = (cells.withColumn("_part", part)
+             .withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*best)))
+             .filter(F.col("_r") <= n).drop("_part", "_r"))
+    return (heads.withColumn("heat_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*best)))
+            .filter(F.col("heat_rank") <= n))
 
 
 # --- routes -----------------------------------------------------------------------------

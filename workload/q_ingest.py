@@ -140,7 +140,7 @@ def _(t: Inputs):
 
 
 @query("ingest_frequent_places", """SELECT s.subject_id, v.ord, v.lat, v.lng, v.label FROM (SELECT DISTINCT concat('t', s) AS subject_id FROM doc WHERE part = 0) s
-    CROSS JOIN (VALUES (0, 50.4, 30.5, 'HOME'), (1, 50.4243, 30.5302, 'WORK'), (2, 50.436, 30.545, NULL), (4, 51.0, 31.0, NULL)) v(ord, lat, lng, label)""", "doc")
+    CROSS JOIN (VALUES (0, 50.4E0, 30.5E0, 'HOME'), (1, 50.4243E0, 30.5302E0, 'WORK'), (2, 50.436E0, 30.545E0, NULL), (4, 51E0, 31E0, NULL)) v(ord, lat, lng, label)""", "doc")
 def _(t: Inputs):
     return exports.frequent_places(exports.parse_documents(_timeline(t)))
 
