@@ -26,7 +26,7 @@ from sojourn.constants import (
     ROUTE_MIN_POINTS,
 )
 from sojourn.functions import geo
-from sojourn.operators.ordered import CHUNK, Keys, attach_by_key, attach_totals, row_position, scan, with_time_chunk
+from sojourn.operators.ordered import CHUNK, Keys, attach_by_key, attach_totals, row_position, scan
 from sojourn.operators.selection import SUBJECT, movement_points
 
 
