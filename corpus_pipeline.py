@@ -1,8 +1,55 @@
-"""The corpus pipeline (being built)."""
+"""From raw documents to packed training sequences: five stages, each over all that its predecessor kept.
 
-STAGES = []
+Every stage is one operator of ``sojourn.llm``; its result is written as Parquet in the shared folder and read again.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sojourn.llm import decontaminate, languages, packing, similar, substrings
+from sojourn.llm.queries import tokenizer_path
+from sojourn.operators.staging import staged_table
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told; the model learns from the rows outside the held-out fold."""
+    train = docs.filter(F.col("doc_id").isNotNull() & ~languages.holdout(F.col("doc_id"), 5, 0))
+    found = languages.identify(docs, languages.learn(train), out="_found")
+    return found.filter(F.col("_found.lang") != languages.UNKNOWN).select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest id of each group of near copies (five-word shingles, similarity of 0.8 or more)."""
+    return similar.one_of_each(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the words of passages that a document of smaller id holds; those left empty go."""
+    return substrings.without_duplicates(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of a benchmark item."""
+    found = decontaminate.search(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), out="_match")
+    return found.filter(~F.col("_match.contaminated")).select(docs.columns)
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of 2048 tokens."""
+    return packing.pack(docs, tokenizer_path())
+
+
+STAGES = [("language ID", language), ("n-gram Jaccard join", near_duplicates), ("substring dedup", repeated_passages),
+          ("benchmark decontamination", decontamination), ("packing", sequences)]
+
+#: The stages learn a model and call a tokenizer, which SQL cannot express; tests hold them against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES:
+        docs = staged_table(stage(spark, docs, sf_dir))
+    return docs

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sojourn.llm import decontaminate, similar, substrings
+from sojourn.llm import decontaminate, languages, packing, similar, substrings, warc
 
 QUERIES, ORACLES = {}, {}
 
@@ -39,3 +39,30 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.search(docs, table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", *[f"match.{c}" for c in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")])
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op3_bin_slack_packing")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query("op6_dictionary_warc")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.shared_folder(spark)
+    archives = warc.write(table(spark, sf_dir, "pages"), folder)
+    return warc.read(spark, archives, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op9_family_language_id")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = languages.holdout(F.col("doc_id"), 5, 0)
+    model = languages.learn(docs.filter(~held_out & F.col("doc_id").isNotNull()))
+    found = languages.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out.alias("held_out"), F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"))

@@ -239,7 +239,7 @@ def _rooted(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def groups(docs: DataFrame, *, k: int = SHINGLE, threshold: Fraction = THRESHOLD, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(id, n_shingles, component_id)``, one row for each row of ``docs``.
+    """``(id, n_shingles, component_id, text_hash)``, one row for each row of ``docs``.
 
     Words ``[^\\x20\\x09-\\x0D]+`` after lowering A-Z. Null, empty and wordless texts have no shingles and link with nothing:
     their component is their own id. A null id takes part in links, and the smallest id of its component that is not null is its
@@ -280,4 +280,19 @@ def groups(docs: DataFrame, *, k: int = SHINGLE, threshold: Fraction = THRESHOLD
     least = named.filter("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("component_id"))
     named = named.join(least, "root", "left")
     return named.select(F.col("id").alias(id), F.col("n").alias("n_shingles"),
-                        F.coalesce("component_id", "id").alias("component_id"))
+                        F.coalesce("component_id", "id").alias("component_id"), F.col("h").alias("text_hash"))
+
+
+def one_of_each(docs: DataFrame, *, k: int = 5, threshold: Fraction = Fraction(80, 100), id: str = "doc_id",
+                text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of their component, all columns kept.
+
+    Rows that repeat (equal ids and texts) are one document. Texts without words stay, and so do rows with a null id that are
+    linked to no other id.
+    """
+    found = groups(docs, k=k, threshold=threshold, id=id, text=text)
+    keep = found.filter(F.col(id).eqNullSafe(F.col("component_id")))
+    key = [F.coalesce(F.col(id).cast("bigint"), F.lit(-1)).alias("_key"), F.col(id).isNull().alias("_none")]
+    keep = keep.select(*key, F.col("text_hash").alias("_hash")).distinct()
+    marked = docs.select("*", *key, F.xxhash64(text).alias("_hash"))
+    return marked.join(keep, ["_key", "_none", "_hash"], "left_semi").dropDuplicates(["_key", "_none", "_hash"]).select(docs.columns)

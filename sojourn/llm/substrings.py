@@ -177,3 +177,17 @@ def parse(docs: DataFrame, *, window: int = WINDOW, id: str = "doc_id", text: st
         return run
 
     return attach_rows(joined, text, out, RESULT, make, drop=[f"{out}_at", f"{out}_h"])
+
+
+def without_duplicates(docs: DataFrame, *, window: int = WINDOW, id: str = "doc_id", text: str = "text", size: str | None = "n_chars") -> DataFrame:
+    """``docs`` with duplicate words taken out of ``text`` (and ``size`` counted anew); rows of which nothing is left go.
+
+    Texts that lose nothing stay as they are, to the character.
+    """
+    out = parse(docs, window=window, id=id, text=text, out="_parsed")
+    out = out.filter("_parsed.n_removed = 0 OR _parsed.n_removed < _parsed.n_words")
+    cut = F.col("_parsed.n_removed") > 0
+    columns = {text: F.when(cut, F.col("_parsed.kept")).otherwise(F.col(text))}
+    if size in docs.columns:
+        columns[size] = F.when(cut, F.length("_parsed.kept").cast(docs.schema[size].dataType)).otherwise(F.col(size))
+    return out.withColumns(columns).select(docs.columns)
