@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sojourn.llm import decontaminate, languages, packing, similar, substrings, warc
+from sojourn.llm import decontaminate, languages, packing, quality, similar, substrings, warc
+from sojourn.operators.staging import staged_table
 
 QUERIES, ORACLES = {}, {}
 
@@ -66,3 +67,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = languages.learn(docs.filter(~held_out & F.col("doc_id").isNotNull()))
     found = languages.identify(docs.select("doc_id", "text"), model)
     return found.select("doc_id", held_out.alias("held_out"), F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"))
+
+
+@query("op4_risk_controlled_quality")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = staged_table(quality.measured(table(spark, sf_dir, "documents")))
+    limits = quality.cutoffs(known, table(spark, sf_dir, "labels"))
+    return quality.judge(known, limits).select(F.col("id").alias("doc_id"), *quality.COUNTS, "base_failed", "kept", "rule")
