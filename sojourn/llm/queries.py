@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sojourn.llm import decontaminate, languages, packing, quality, similar, substrings, warc
+from sojourn.llm import decontaminate, languages, packing, quality, scoring, similar, substrings, toxicity, warc
 from sojourn.operators.staging import staged_table
 
 QUERIES, ORACLES = {}, {}
@@ -74,3 +74,20 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = staged_table(quality.measured(table(spark, sf_dir, "documents")))
     limits = quality.cutoffs(known, table(spark, sf_dir, "labels"))
     return quality.judge(known, limits).select(F.col("id").alias("doc_id"), *quality.COUNTS, "base_failed", "kept", "rule")
+
+
+@query("op5_compression_toxicity")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = languages.holdout(F.col("doc_id"), 5, 0)
+    model = toxicity.learn(docs.filter(~held_out & F.col("doc_id").isNotNull()), table(spark, sf_dir, "labels"))
+    found = toxicity.score(docs, model, out="score")
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op1_log_bilinear_scoring")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = languages.holdout(F.col("doc_id"), 5, 1)
+    found = scoring.score(docs, docs.filter(~held_out))
+    return found.withColumn("held_out", held_out)
