@@ -25,8 +25,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sojourn.llm.stages import released
 from sojourn.llm.words import SPACED, attach_rows, bounds, emit, ngram_hashes, raw, word_hashes
-from sojourn.operators.staging import staged_table
 
 WINDOW = 50
 SEED = 16
@@ -125,7 +125,7 @@ def duplicate_blocks(docs: DataFrame, *, window: int = WINDOW, id: str = "doc_id
     own = own.filter("id IS NOT NULL AND text IS NOT NULL")
     ids = own.select("id", F.unhex(F.md5("text")).alias("digest"), "h")
     firsts = ids.groupBy("digest").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most")
-    copies = staged_table(ids.join(firsts.select("digest", "least"), "digest").filter("id > least")
+    copies = released(ids.join(firsts.select("digest", "least"), "digest").filter("id > least")
                           .select("id", tagged_column(F.lit(-1), F.col("h")).alias("pos")).distinct())
 
     rows = _anchor_rows(own, window, seed)
@@ -133,10 +133,11 @@ def duplicate_blocks(docs: DataFrame, *, window: int = WINDOW, id: str = "doc_id
     near = rows.select("seed", "id", "pos").join(shared, "seed").select("id", "pos")
     near = near.join(copies.select("id").distinct(), "id", "left_anti")
     at = near.groupBy("id").agg(F.collect_list("pos").alias("at"))
-    blocks = staged_table(_block_rows(own.select("id", "h", "text").join(at, "id").select("id", "h", "text", "at"), window, seed))
+    blocks = released(_block_rows(own.select("id", "h", "text").join(at, "id").select("id", "h", "text", "at"), window, seed))
 
     index = blocks.groupBy("block").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most")
-    found = blocks.join(index.select("block", "least"), "block").filter("id > least").select("id", "pos")
+    index = released(index.select("block", "least"))  # read from a table, the join can split a block that many texts hold
+    found = blocks.join(index, "block").filter("id > least").select("id", "pos")
     return found.unionByName(copies).groupBy("id").agg(F.collect_list("pos").alias("at"))
 
 
