@@ -8,7 +8,7 @@ import importlib
 from pyspark import cloudpickle
 
 KERNELS = ("words", "decontaminate", "substrings", "similar", "packing", "warc", "languages", "quality", "toxicity",
-           "scoring")
+           "scoring", "trees", "extraction")
 
 for _name in KERNELS:
     cloudpickle.register_pickle_by_value(importlib.import_module(f"{__name__}.{_name}"))

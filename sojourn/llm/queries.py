@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sojourn.llm import decontaminate, languages, packing, quality, scoring, similar, substrings, toxicity, warc
+from sojourn.llm import decontaminate, extraction, languages, packing, quality, scoring, similar, substrings, toxicity, warc
 from sojourn.operators.staging import staged_table
 
 QUERIES, ORACLES = {}, {}
@@ -91,3 +91,10 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = languages.holdout(F.col("doc_id"), 5, 1)
     found = scoring.score(docs, docs.filter(~held_out))
     return found.withColumn("held_out", held_out)
+
+
+@query("op10_boosted_extraction")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    found = extraction.extract(pages.select("page_id", "url", "html"), extraction.learn(pages), out="text")
+    return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
