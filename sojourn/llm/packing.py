@@ -6,7 +6,7 @@ subset-sum over the multiset of the remaining lengths (a bit set of reachable su
 the sum closest to the room left; walking the bit sets back gives how many of each length to take.
 
 The pool holds a bounded number of remainders at a time, so a task's memory does not depend on the number of documents.
-Only lengths and checksums are shuffled, never texts or ids. Tokenising caches the ids of words in each task, in bounded
+Only lengths and checksums are shuffled, never texts or ids. Tokenising keeps the ids of words in bounded
 tables: words are independent of each other in this vocabulary, and what the fast path cannot decide is left to the library.
 """
 
@@ -21,22 +21,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sojourn.llm.words import emit
+from sojourn.llm.words import SPACED, bounds, emit, raw, word_hashes
 
 SIZE = 2048
 END_ID = 1
 POOL = 8192
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 600_000
+WORDS_AT_ONCE = 1 << 19
 #: The pattern by which the vocabulary splits words (a fixed value of the tokenizer file).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class Encoder:
-    """Ids of whole texts, as little-endian 32-bit bytes, through a cache of words.
+    """Ids of whole texts through a table of words.
 
-    White space separates words in the vocabulary, so a text's ids are those of its words in turn. A word of plain Latin
-    letters is split by the vocabulary's own pattern, and only parts not yet known go to the library, many at once: their ids
-    are told apart by the tokens that end a part. Every other word is encoded as it is.
+    White space separates words in the vocabulary, so a text's ids are those of its words in turn. Words are looked up by a
+    64-bit hash in a sorted table. A new word of plain Latin letters is split by the vocabulary's own pattern, and only parts
+    not yet known go to the library, many at once: their ids are told apart by the tokens that end a part. Every other new
+    word is encoded as it is.
     """
 
     def __init__(self, path: str):
@@ -50,9 +52,14 @@ class Encoder:
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>") and i not in special
         self.split = regex.compile(PIECES).findall
-        self.odd = regex.compile(r"[^\u0000-įı-ɏ]|<\|")
-        self.words: dict[bytes, bytes] = {}
+        self.odd = regex.compile(r"[^\u0000-įı-ɏ]|<\|").search
         self.parts: dict[str, bytes] = {}
+        self._clear()
+
+    def _clear(self) -> None:
+        """An empty table: the end id alone, which no word refers to."""
+        self.hashes, self.begin, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.array([END_ID], dtype="<u4")
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -60,46 +67,74 @@ class Encoder:
     def _learn(self, parts: list[str]) -> None:
         for k in range(0, len(parts), 512):
             some = parts[k:k + 512]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
             cut = np.flatnonzero(self.ends[ids]) + 1
             if len(cut) == len(some):
                 whole, at = ids.tobytes(), [0, *(cut * 4).tolist()]
-                self.parts.update((p, whole[a:b]) for p, a, b in zip(some, at[:-1], at[1:], strict=True))
+                self.parts.update(zip(some, [whole[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], strict=True))
             else:
                 self.parts.update(zip(some, self._plain(some), strict=True))
 
-    def know(self, words: set[bytes]) -> None:
-        if len(self.words) + len(words) > CACHE_ENTRIES:
-            self.words.clear()
+    def _ids(self, words: list[bytes]) -> list[bytes]:
         if len(self.parts) > CACHE_ENTRIES:
             self.parts.clear()
-        split, odd, easy = {}, [], self.odd.search
-        for w in words - self.words.keys():
-            text = w.decode()
-            if easy(text):
-                odd.append((w, text))
-            else:
-                split[w] = self.split(text.lower())
-        self._learn(list({p for s in split.values() for p in s} - self.parts.keys()))
+        texts = b"\n".join(words).decode().split("\n")
+        odd = {i for i, t in enumerate(texts) if self.odd(t)} if self.odd("".join(texts)) else set()
+        split = [self.split(t.lower()) if i not in odd else () for i, t in enumerate(texts)]
+        self._learn(list({p for s in split for p in s} - self.parts.keys()))
         get = self.parts.__getitem__
-        self.words.update((w, b"".join(map(get, s))) for w, s in split.items())
-        self.words.update(zip((w for w, _ in odd), self._plain([t for _, t in odd]), strict=True))
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").encode().split() for t in texts]
-        end, done, at = np.array([END_ID], dtype="<u4").tobytes(), [], 0
-        while at < len(split):
-            # As many texts as have a bounded number of distinct words together, one at least.
-            some: set[bytes] = set(split[at])
-            upto = at + 1
-            while upto < len(split) and len(some) < CACHE_ENTRIES // 4:
-                some.update(split[upto])
-                upto += 1
-            self.know(some)
-            get = self.words.__getitem__
-            done.extend(b"".join(map(get, words)) + end for words in split[at:upto])
-            at = upto
-        return done
+        ids = [get(s[0]) if len(s) == 1 else b"".join(map(get, s)) for s in split]
+        for i, x in zip(sorted(odd), self._plain([texts[i] for i in sorted(odd)]), strict=True):
+            ids[i] = x
+        return ids
+
+    def _know(self, hashes: np.ndarray, words: list[bytes]) -> None:
+        """Adds words, given by their sorted hashes."""
+        if len(self.hashes) + len(words) > CACHE_ENTRIES and len(self.hashes):
+            raise OverflowError
+        ids = self._ids(words)
+        size = np.array([len(x) // 4 for x in ids], dtype=np.int64)
+        begin = len(self.flat) + np.cumsum(size) - size
+        at = np.searchsorted(self.hashes, hashes)
+        self.hashes, self.begin, self.size = np.insert(self.hashes, at, hashes), np.insert(self.begin, at, begin), np.insert(self.size, at, size)
+        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(ids), dtype="<u4")])
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of all texts in turn, each with the end id, and where each text's begin (one more at the end)."""
+        data, offsets = raw(texts)
+        starts, ends, first = bounds(data, offsets, SPACED)
+        done, counts = [], np.zeros(len(starts) + 1, dtype=np.int64)
+        hashes = word_hashes(data, starts, ends)
+        for a in range(0, len(starts), WORDS_AT_ONCE):
+            b = min(a + WORDS_AT_ONCE, len(starts))
+            own, index, back = np.unique(hashes[a:b], return_index=True, return_inverse=True)
+            for attempt in range(2):
+                at = np.searchsorted(self.hashes, own)
+                new = np.flatnonzero(np.r_[self.hashes, np.uint64(0)][at] != own) if len(self.hashes) else np.arange(len(own))
+                try:
+                    if len(new):
+                        self._know(own[new], [data[x:y].tobytes() for x, y in zip(
+                            starts[a + index[new]].tolist(), ends[a + index[new]].tolist(), strict=True)])
+                    break
+                except OverflowError:  # the table is full: begin a new one
+                    self._clear()
+            at = np.searchsorted(self.hashes, own)[back]
+            size = self.size[at]
+            counts[a + 1:b + 1] = size
+            done.append(self.flat[np.repeat(self.begin[at] - np.cumsum(size) + size, size) + np.arange(size.sum())])
+        upto = np.cumsum(counts)[first]
+        ids = np.insert(np.concatenate(done) if done else np.zeros(0, "<u4"), upto[1:], np.uint32(END_ID)).astype("<u4", copy=False)
+        return ids, upto + np.arange(len(first))
+
+
+def encoder(path: str) -> Encoder:
+    """One encoder for each Python worker: Spark keeps workers, so words learned in one task serve the next."""
+    import tokenizers
+
+    held = vars(tokenizers).setdefault("_encoders_by_path", {})
+    if path not in held:
+        held[path] = Encoder(path)
+    return held[path]
 
 
 def closest(lengths: list[int], counts: dict[int, int], room: int) -> dict[int, int]:
@@ -159,15 +194,14 @@ PIECE = ("doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_toke
 
 def _lengths(docs: DataFrame, path: str, size: int) -> DataFrame:
     def make():
-        encoder = Encoder(path)
+        table = encoder(path)
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            n, sums = [], []
-            for ids in encoder.encode(batch.column("text").to_pylist()):
-                n.append(len(ids) // 4)
-                view = memoryview(ids)
-                sums.append([zlib.crc32(view[a:a + 4 * size]) for a in range(0, len(ids), 4 * size)])
-            return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(sums, pa.list_(pa.int64()))],
+            ids, first = table.encode(batch.column("text"))
+            view, at = memoryview(ids).cast("B"), (first * 4).tolist()
+            sums = [[zlib.crc32(view[x:min(x + 4 * size, b)]) for x in range(a, b, 4 * size)]
+                    for a, b in zip(at[:-1], at[1:], strict=True)]
+            return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.diff(first)), pa.array(sums, pa.list_(pa.int64()))],
                                               names=["id", "n", "sums"])
         return run
 
