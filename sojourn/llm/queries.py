@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sojourn.llm import decontaminate, extraction, languages, packing, quality, scoring, similar, substrings, toxicity, warc
+from sojourn.llm import decontaminate, extraction, languages, oracles, packing, quality, scoring, similar, substrings, toxicity, warc
 from sojourn.operators.staging import staged_table
 
 QUERIES, ORACLES = {}, {}
@@ -24,18 +24,18 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-@query("op2_parity_sketch_join")
+@query("op2_parity_sketch_join", oracles.JACCARD)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar.groups(table(spark, sf_dir, "documents"))
+    return similar.groups(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
-@query("op7_relative_parse")
+@query("op7_relative_parse", oracles.REPEATS)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return substrings.parse(docs).select("doc_id", "parsed.n_words", "parsed.n_removed", "parsed.kept_sha256")
 
 
-@query("op8_wu_manber")
+@query("op8_wu_manber", oracles.LEAKS)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.search(docs, table(spark, sf_dir, "benchmark"))
@@ -53,7 +53,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-@query("op6_dictionary_warc")
+@query("op6_dictionary_warc", oracles.WARC)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = warc.shared_folder(spark)
     archives = warc.write(table(spark, sf_dir, "pages"), folder)
