@@ -35,6 +35,7 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 RAW = frozenset("script style textarea title noscript iframe template xmp noembed noframes svg math select button object".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong "
                    "sub sup time tt u var wbr".split())
+SILENT = frozenset("script style noscript template".split())
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
                    "header hgroup hr main menu nav ol p pre search section summary table ul".split())
 #: What an opening tag ends, and what stops the search for it.
@@ -76,7 +77,7 @@ class Page:
             if not name:
                 continue
             name = name.lower()
-            if name not in INLINE:
+            if name not in INLINE and name not in SILENT:
                 block += 1
             elif name == "br":
                 self.texts.append((stack[-1], block, " "))
@@ -131,6 +132,9 @@ class Page:
             blocks.append("".join(own))
         return "\n".join(t for b in blocks if (t := " ".join(b.split())))
 
+    def wrapper(self) -> list[bool]:
+        return [t in ("#", "html", "body") for t in self.tags]
+
     def named(self) -> list[tuple[int, list[str]]]:
         """Elements with tokens of class, id, role and the like."""
         out = []
@@ -187,8 +191,9 @@ class Page:
                      whole[:, 7] / elements, whole[:, 8] / elements, whole[:, 9] / elements, np.log1p(elements), stats[:, 4], same / np.maximum(1, children[np.maximum(parent, 0)])]
 
 
-def decoded(parents: list[int], margin: np.ndarray) -> np.ndarray:
-    """The most likely choice in which nothing is kept below a dropped element."""
+def decoded(parents: list[int], margin: np.ndarray, wrapper: list[bool]) -> np.ndarray:
+    """The most likely choice in which nothing is kept below a dropped element. Wrappers of a whole page are kept."""
+    margin = np.where(np.array(wrapper), 50.0, margin)
     keep_cost, drop_cost = np.logaddexp(0, -margin), np.logaddexp(0, margin)
     keep, drop = keep_cost.tolist(), drop_cost.tolist()
     n = len(keep)
@@ -237,9 +242,10 @@ def training_pages(source: str, seed: int) -> list[str]:
     if not texts["main"]:
         return []
     esc = html.escape
-    words = (" ".join(texts["other"]) or "all rights reserved").split()
+    words = (" ".join(texts["other"] + texts["main"][-2:]) or "all rights reserved").split()
 
     def some(n: int) -> str:
+        n = n * int(rng.choice([1, 1, 2, 6]))
         at = int(rng.integers(0, max(1, len(words) - n)))
         return esc(" ".join(words[at:at + n]))
 
@@ -250,7 +256,12 @@ def training_pages(source: str, seed: int) -> list[str]:
     for b in BUILDS:
         links = "".join(f'<li><a href="/{k}">{esc(t)}</a></li>' for k, t in enumerate(texts["nav"] or ["home", "about"]))
         body, lines = [], texts["main"]
+        short = rng.random() < 0.5  # so that the amount of text alone does not tell
+        if short:
+            lines = lines[:int(rng.integers(1, 5))]
         for k, t in enumerate(lines):
+            if short and rng.random() < 0.7:
+                t = " ".join(t.split()[:int(rng.integers(2, 15))])
             kind = "h1" if k == 0 else rng.choice(["p", "p", "p", "p", "h2", "blockquote", "li"])
             bold = rng.random() < 0.2
             body.append((f"<{kind} data-kept>" + ("<b data-kept>" if bold else "")) + esc(t) + ("<br>" if bold else f"</{kind}>"))
@@ -304,7 +315,7 @@ def extract(pages: DataFrame, model: dict, *, html: str = "html", out: str = "ma
                 return pa.array([p.text(np.ones(len(p.tags), dtype=bool)) for p in read], pa.string())
             some, first = [p.features() for p in read], np.r_[0, np.cumsum([len(p.tags) for p in read])]
             margin = known.margin(np.concatenate(some))
-            return pa.array([p.text(decoded(p.parents, margin[a:b])) for p, a, b in zip(read, first[:-1], first[1:], strict=True)], pa.string())
+            return pa.array([p.text(decoded(p.parents, margin[a:b], p.wrapper())) for p, a, b in zip(read, first[:-1], first[1:], strict=True)], pa.string())
         return run
 
     return attach(pages, html, out, "string", make)
