@@ -6,7 +6,6 @@ METERS_PER_DEGREE = 111_320.0
 
 # --- ingest ---------------------------------------------------------------------------
 VISIT_SAMPLE_SEC = 300
-VISIT_MAX_STEPS = 288
 
 # --- movement -------------------------------------------------------------------------
 WALK_MAX_KMH = 7.0
@@ -38,16 +37,14 @@ HEAT_CELLS_ACROSS = 300
 HEAT_MAX_CELL_M = 120.0
 HEAT_QUIET_SHARE = 0.35
 HEAT_GAMMA = 0.7
-HEAT_MAX_CELLS = 50_000
 ROUTE_GAP_SEC = 1500
 ROUTE_MIN_POINTS = 3
-ROUTE_MAX_VERTICES = 150_000
 ROUTE_KEEP_WHOLE_BELOW = 8
 ROUTE_CELL_M = 40.0
 ROUTE_LEVELS = 6
 BOUNDS_LOW = 0.02
 BOUNDS_HIGH = 0.98
-BOUNDS_MAX_SAMPLE = 200_000
+BOUNDS_CELL_DEG = 1e-3
 BOUNDS_MIN_SPAN_DEG = 0.002
 
 # --- naming ---------------------------------------------------------------------------

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from sojourn.constants import UNKNOWN_PLACE
 from sojourn.functions.geo import valid_coordinate
 
+#: Characters that count as white space in the export's own rules, as a character class.
+WHITE = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
 DECIMAL_NUMBER = r"-?[0-9]+(?:\.[0-9]+)?"
 
 
@@ -27,6 +29,11 @@ def blank_to_null(x) -> Column:
     return F.nullif(_col(x), F.lit(""))
 
 
+def trimmed(x) -> Column:
+    """Without white space at both ends: blanks, tabs, line ends, no-break and other Unicode spaces."""
+    return F.regexp_replace(_col(x), f"^[{WHITE}]+|[{WHITE}]+$", "")
+
+
 def parse_latlng(value) -> Column:
     """First two decimal numbers of a text as ``struct(lat, lng)``; NULL when out of range or absent."""
     numbers = F.regexp_extract_all(_col(value), F.lit(DECIMAL_NUMBER), F.lit(0))
@@ -60,7 +67,7 @@ def to_seconds(text) -> Column:
 
 
 def normalise_label(text) -> Column:
-    label = F.upper(F.trim(_col(text)))
+    label = F.upper(trimmed(text))
     return F.nullif(F.nullif(label, F.lit("")), F.lit("UNKNOWN"))
 
 
@@ -91,7 +98,7 @@ def district_pick(city_district, borough, suburb, neighbourhood, quarter) -> Col
 
 
 def venue_district(neighbourhood) -> Column:
-    return blank_to_null(F.trim(_col(neighbourhood)))
+    return blank_to_null(trimmed(neighbourhood))
 
 
 def resolved_name(name, road, house_number, display_name) -> Column:

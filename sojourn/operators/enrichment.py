@@ -43,7 +43,9 @@ def venue_filter(venues: DataFrame) -> DataFrame:
     raw = F.split(F.coalesce("categories", F.lit("")), ",")
     tokens = F.filter(F.transform(raw, text.category_token), lambda t: t.isNotNull())
     useful = F.filter("_tokens", lambda t: ~F.array_contains(lookups.non_venue_tokens(), t))
-    name = text.blank_to_null(F.trim("name"))
+    name = text.blank_to_null(text.trimmed("name"))
+    # A venue that is given twice counts once: the row that sorts first.
+    venues = venues.groupBy("venue_id").agg(F.min(F.struct("name", "categories", "neighborhood")).alias("_v")).select("venue_id", "_v.*")
     return (venues.withColumn("_tokens", tokens)
             .withColumn("type", F.try_element_at(useful, F.lit(1)))
             .filter(name.isNotNull() & ((F.size("_tokens") == 0) | F.col("type").isNotNull()))
@@ -56,7 +58,10 @@ def venue_names(targets: DataFrame, venues: DataFrame) -> DataFrame:
 
 
 def resolved_addresses(addresses: DataFrame) -> DataFrame:
-    return addresses.select(
+    """One row for each coordinate key. Of several rows of a key the one that sorts first by all its columns counts."""
+    rest = [c for c in addresses.columns if c not in ("lat_key", "lng_key")]
+    once = addresses.groupBy("lat_key", "lng_key").agg(F.min(F.struct(*rest)).alias("_a")).select("lat_key", "lng_key", "_a.*")
+    return once.select(
         "lat_key", "lng_key", text.resolved_name("name", "road", "house_number", "display_name").alias("name"),
         lookups.category_label("type").alias("category"),
         text.district_pick("city_district", "borough", "suburb", "neighbourhood", "quarter").alias("district"))

@@ -6,14 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sojourn.constants import (
+    BOUNDS_CELL_DEG,
     BOUNDS_HIGH,
     BOUNDS_LOW,
-    BOUNDS_MAX_SAMPLE,
     BOUNDS_MIN_SPAN_DEG,
     HEAT_CELLS_ACROSS,
     HEAT_GAMMA,
     HEAT_MAX_CELL_M,
-    HEAT_MAX_CELLS,
     HEAT_QUIET_SHARE,
     METERS_PER_DEGREE,
     MIN_SPAN_DEG,
@@ -22,11 +21,10 @@ from sojourn.constants import (
     ROUTE_GAP_SEC,
     ROUTE_KEEP_WHOLE_BELOW,
     ROUTE_LEVELS,
-    ROUTE_MAX_VERTICES,
     ROUTE_MIN_POINTS,
 )
 from sojourn.functions import geo
-from sojourn.operators.ordered import CHUNK, Keys, attach_by_key, attach_totals, row_position, scan
+from sojourn.operators.ordered import CHUNK, Keys, attach_by_key, attach_totals, scan
 from sojourn.operators.selection import SUBJECT, movement_points
 
 
@@ -76,7 +74,7 @@ def heat_cells(points: DataFrame, scale: DataFrame, keys: Keys = SUBJECT, scale_
             .drop("_linear", "lo", "hi"))
 
 
-def heat_top_cells(cells: DataFrame, keys: Keys = SUBJECT, n: int = HEAT_MAX_CELLS, spread: int = 64) -> DataFrame:
+def heat_top_cells(cells: DataFrame, n: int, keys: Keys = SUBJECT, spread: int = 64) -> DataFrame:
     """The n most intense cells of each key (first seen wins ties).
 
     Each key's cells are ranked in ``spread`` parts first, so the final ranking sees at most ``spread * n`` rows of a key.
@@ -115,13 +113,10 @@ def routes(points: DataFrame, keys: Keys = SUBJECT, chunk_sec: int | None = None
             .withColumn("idx", F.col("pos") - F.col("_start")).drop("_start"))
 
 
-def route_thin(vertices: DataFrame, keys: Keys = SUBJECT, max_vertices: int = ROUTE_MAX_VERTICES) -> DataFrame:
-    """Keeps every n-th vertex of longer segments (and each last one) once a key has more than ``max_vertices``."""
-    totals = attach_totals(vertices, keys, _all=(F.count(F.lit(1)), F.sum))
-    stride = F.greatest(F.ceil(F.col("_all") / F.lit(float(max_vertices))), F.lit(1))
-    keep = ((F.col("segment_len") < ROUTE_KEEP_WHOLE_BELOW) | (F.col("idx") % stride == 0)
-            | (F.col("idx") == F.col("segment_len") - 1))
-    return totals.filter(keep).drop("_all")
+def route_thin(vertices: DataFrame, stride: int) -> DataFrame:
+    """Every ``stride``-th vertex of longer segments and each last one; short segments stay whole. For drawing only."""
+    return vertices.filter((F.col("segment_len") < ROUTE_KEEP_WHOLE_BELOW) | (F.col("idx") % stride == 0)
+                           | (F.col("idx") == F.col("segment_len") - 1))
 
 
 def route_density(vertices: DataFrame, keys: Keys = SUBJECT, cell_m: float = ROUTE_CELL_M) -> DataFrame:
@@ -164,23 +159,34 @@ def route_levels(edges: DataFrame, keys: Keys = SUBJECT, levels: int = ROUTE_LEV
 
 # --- bounds -----------------------------------------------------------------------------
 
-def robust_bounds(points: DataFrame, keys: Keys = SUBJECT, max_sample: int = BOUNDS_MAX_SAMPLE) -> DataFrame:
-    """The 2nd to 98th percentile box (exact ranks of an even sample), or the padded true extent when that is thin."""
-    placed = row_position(points.select(*keys, "ord", "lat", "lng"), keys, "ord")
-    stride = F.greatest(F.ceil(F.col("n") / F.lit(float(max_sample))), F.lit(1))
-    # At most max_sample rows per key remain, so ranking them by key is bounded.
-    sample = placed.filter(F.col("pos") % stride == 0).withColumn("m", F.ceil(F.col("n") / stride))
-    by = Window.partitionBy(*keys)
-    ranked = sample.select(*keys, "m", "lat", "lng", (F.row_number().over(by.orderBy("lat")) - 1).alias("r_lat"),
-                           (F.row_number().over(by.orderBy("lng")) - 1).alias("r_lng"))
-    low, high = F.floor((F.col("m") - 1) * F.lit(BOUNDS_LOW)), F.ceil((F.col("m") - 1) * F.lit(BOUNDS_HIGH))
-
-    def pick(value, rank, at):
-        return F.max(F.when(F.col(rank) == at, F.col(value)))
-
-    core = ranked.groupBy(*keys).agg(
-        pick("lat", "r_lat", low).alias("min_lat"), pick("lng", "r_lng", low).alias("min_lng"),
-        pick("lat", "r_lat", high).alias("max_lat"), pick("lng", "r_lng", high).alias("max_lng"))
+def _ranked(points: DataFrame, keys: Keys) -> DataFrame:
+    """``(keys, axis, low, high)``: the exact values at the two percentile ranks of each axis, over all rows.
+
+    Rows are counted by value; values lie in cells of a thousandth of a degree, and only the cells that hold a wanted rank
+    are looked into, so no window sees a key's rows, only its cells or the distinct values of one cell.
+    """
+    axes = F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.col(a).alias("v")) for a in ("lat", "lng")])).alias("x")
+    values = (points.select(*keys, axes).select(*keys, "x.axis", "x.v").filter("v IS NOT NULL")
+              .withColumn("cell", F.floor(F.col("v") / F.lit(BOUNDS_CELL_DEG)))
+              .groupBy(*keys, "axis", "cell", "v").agg(F.count(F.lit(1)).alias("c")))
+    whole = Window.partitionBy(*keys, "axis")
+    cells = values.groupBy(*keys, "axis", "cell").agg(F.sum("c").alias("m"))
+    cells = cells.select("*", (F.sum("m").over(whole.orderBy("cell")) - F.col("m")).alias("base"), F.sum("m").over(whole).alias("n"))
+    ranks = F.explode(F.array(F.struct(F.lit("low").alias("end"), F.floor((F.col("n") - 1) * F.lit(BOUNDS_LOW)).alias("rank")),
+                              F.struct(F.lit("high").alias("end"), F.ceil((F.col("n") - 1) * F.lit(BOUNDS_HIGH)).alias("rank")))).alias("w")
+    wanted = cells.select(*keys, "axis", "cell", "base", "m", ranks).filter("w.rank >= base AND w.rank < base + m")
+    inside = values.join(wanted.select(*keys, "axis", "cell", "base", "w.end", "w.rank"), [*keys, "axis", "cell"])
+    upto = Window.partitionBy(*keys, "axis", "end").orderBy("v")
+    reached = inside.withColumn("upto", F.col("base") + F.sum("c").over(upto)).filter("upto > rank")
+    picked = reached.groupBy(*keys, "axis", "end").agg(F.min("v").alias("v"))
+    return picked.groupBy(*keys).agg(*[
+        F.max(F.when((F.col("axis") == a) & (F.col("end") == e), F.col("v"))).alias(n)
+        for a, e, n in (("lat", "low", "min_lat"), ("lng", "low", "min_lng"), ("lat", "high", "max_lat"), ("lng", "high", "max_lng"))])
+
+
+def robust_bounds(points: DataFrame, keys: Keys = SUBJECT) -> DataFrame:
+    """The 2nd to 98th percentile box (exact ranks of all points), or the padded true extent when that is thin."""
+    core = _ranked(points, keys)
     extent = points.groupBy(*keys).agg(F.min("lat").alias("lat0"), F.max("lat").alias("lat1"),
                                        F.min("lng").alias("lng0"), F.max("lng").alias("lng1"))
     thin = ((F.col("max_lat") - F.col("min_lat") < BOUNDS_MIN_SPAN_DEG)

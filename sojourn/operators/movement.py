@@ -69,9 +69,9 @@ def activities_or_heuristic(points: DataFrame, activities: DataFrame, keys: Keys
 
 def km_by_mode(points: DataFrame, activities: DataFrame, keys: Keys = SUBJECT,
                leg_rows: DataFrame | None = None) -> DataFrame:
-    """Four rows per key, zeros kept, with the provenance flag."""
+    """Four rows per key that has points or activities, zeros kept, with the provenance flag."""
     totals = activities_or_heuristic(points, activities, keys, leg_rows)
-    known = (points.select(*keys).distinct()
+    known = (points.select(*keys).unionByName(activities.select(*keys)).distinct()
              .join(activities.select(*keys, F.lit(True).alias("labelled")).distinct(), list(keys), "left"))
     grid = known.select(*keys, F.coalesce("labelled", F.lit(False)).alias("labelled"),
                         F.explode(F.array(*[F.lit(m) for m in MODES])).alias("mode"))

@@ -6,10 +6,12 @@ the pieces of a history that arrives as several documents. Everything after that
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sojourn.constants import VISIT_MAX_STEPS, VISIT_SAMPLE_SEC
+from sojourn.constants import VISIT_SAMPLE_SEC
 from sojourn.functions import geo, lookups, text
 
 PING = "struct<latitudeE7: double, longitudeE7: double, timestamp: string, timestampMs: string>"
@@ -23,27 +25,35 @@ SEGMENT = (
 PROFILE = "struct<frequentPlaces: array<struct<placeLocation: string, label: string>>>"
 DOCUMENT = f"locations array<{PING}>, semanticSegments array<{SEGMENT}>, userLocationProfile {PROFILE}"
 
-# Order of what one element yields: visit samples, activity start, activity end, waypoints.
-_PER_ELEMENT = 1 << 16
-_ACTIVITY_START = VISIT_MAX_STEPS + 1
-_ACTIVITY_END = VISIT_MAX_STEPS + 2
-_WAYPOINTS = VISIT_MAX_STEPS + 3
+# ``ord`` is (part, element, k) in one number: 18, 23 and 22 bits. k orders what one element yields: visit samples, activity
+# start, activity end, waypoints. A number that does not fit its bits is an error, never a collision.
+_PER_ELEMENT = 1 << 22
+_VISIT_SLOTS = 1 << 21
+_ACTIVITY_START = _VISIT_SLOTS
+_ACTIVITY_END = _VISIT_SLOTS + 1
+_WAYPOINTS = _VISIT_SLOTS + 2
 _POINT = ("array<struct<k: bigint, ts_sec: bigint, lat: double, lng: double, source: string,"
           " semantic_label: string, kind: string>>")
 ELEMENTS_PER_PART = 1 << 23
+PARTS = 1 << 18
 
 
 # --- readers ----------------------------------------------------------------------------
 
 def read_export_files(spark: SparkSession, path: str) -> DataFrame:
-    """One whole JSON document per file, as exported; the file's name (without extension) is the subject.
+    """One whole JSON document per file, as exported. Every file is one history, whatever its name.
 
+    ``file_id`` is the file's full path. The subject is its path below the folder that ``path`` names (up to the first
+    wildcard), without the extension: exports of all people carry the same file name, so they lie in folders of their own.
     A document cannot be split, so one file is one task. Large fleets should land documents as JSON lines.
     """
     docs = (spark.read.schema(f"{DOCUMENT}, _corrupt_record string").option("multiLine", True)
             .option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
-    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-    return docs.select(F.regexp_replace(name, r"\.json$", "").alias("subject_id"), name.alias("file_id"),
+    fixed = re.split(r"[*?\[{]", re.sub(r"^[a-z0-9+.-]+://[^/]*|^file:", "", path))[0]
+    folder = fixed[:fixed.rfind("/") + 1] if fixed.endswith(".json") or fixed != path else fixed.rstrip("/") + "/"
+    file_id = F.col("_metadata.file_path")
+    below = F.regexp_replace(F.url_decode(F.regexp_replace(file_id, r"\+", "%2B")), "^.*?" + re.escape(re.sub("/+", "/", folder)), "")
+    return docs.select(F.regexp_replace(below, r"\.json$", "").alias("subject_id"), file_id.alias("file_id"),
                        F.lit(0).cast("bigint").alias("part"), "locations", "semanticSegments",
                        "userLocationProfile", "_corrupt_record")
 
@@ -89,7 +99,9 @@ def rejects(exports: DataFrame) -> DataFrame:
 # --- elements ---------------------------------------------------------------------------
 
 def _elements(exports: DataFrame, form: str) -> DataFrame:
-    position = F.col("part") * F.lit(ELEMENTS_PER_PART) + F.col("i")
+    position = F.when((F.col("i") < ELEMENTS_PER_PART) & F.col("part").between(0, PARTS - 1),
+                      F.col("part") * F.lit(ELEMENTS_PER_PART) + F.col("i"))
+    position = F.coalesce(position, F.raise_error(F.lit("a document has too many elements, or a part is out of range")).cast("bigint"))
     return (exports.filter(_format() == form).select("subject_id", "file_id", "part", F.posexplode(form).alias("i", "e"))
             .select("subject_id", "file_id", position.alias("position"), "e"))
 
@@ -130,8 +142,8 @@ def _visit_samples() -> Column:
     """A visit's span as evenly spaced presence samples, both ends included."""
     start, end, at = F.col("start_sec"), F.col("end_sec"), F.col("visit_at")
     span = end - start
-    steps = F.when(span > 0, F.least(F.greatest(text.js_round(span / F.lit(float(VISIT_SAMPLE_SEC))), F.lit(1)),
-                                     F.lit(VISIT_MAX_STEPS))).otherwise(F.lit(0)).cast("bigint")
+    steps = F.when(span > 0, F.greatest(text.js_round(span / F.lit(float(VISIT_SAMPLE_SEC))), F.lit(1))).otherwise(F.lit(0)).cast("bigint")
+    steps = F.when(steps < _VISIT_SLOTS, steps).otherwise(F.raise_error(F.lit("a visit is longer than its samples can be numbered")).cast("bigint"))
 
     def sample(i: Column) -> Column:
         when = F.when(steps > 0, text.js_round(start + span * i / F.greatest(steps, F.lit(1)))).otherwise(start)
@@ -223,7 +235,7 @@ def frequent_places(exports: DataFrame) -> DataFrame:
     return (rows.withColumn("at", text.read_location("f.placeLocation")).filter(F.col("at").isNotNull())
             .select("subject_id", (F.col("part") * F.lit(ELEMENTS_PER_PART) + F.col("i")).alias("ord"),
                     F.col("at.lat").alias("lat"), F.col("at.lng").alias("lng"),
-                    text.blank_to_null(F.upper(F.trim("f.label"))).alias("label")))
+                    text.blank_to_null(F.upper(text.trimmed("f.label"))).alias("label")))
 
 
 def ingest_report(exports: DataFrame) -> DataFrame:

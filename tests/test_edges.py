@@ -1,6 +1,7 @@
 """Boundary cases, one hand-made table each."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -149,7 +150,7 @@ def test_bounds_leave_outliers_out(make_points):
 def test_thinning_keeps_short_segments_and_last_points(make_points):
     long = [(T + 60 * i, north(50 * i), 30) for i in range(21)]
     short = [(T + 9000 + 60 * i, north(50 * i), 31) for i in range(5)]
-    got = maplayers.route_thin(maplayers.routes(make_points(long + short)), max_vertices=9).collect()
+    got = maplayers.route_thin(maplayers.routes(make_points(long + short)), stride=3).collect()
     by = {}
     for r in got:
         by.setdefault(r.segment_id, []).append(r.idx)
@@ -213,3 +214,38 @@ def test_scalar_rules(spark):
                     text.category_token("d").alias("t"), geo.scaled_key(F.lit(-50.12345)).alias("k")).first()
     assert (r["at"].lat, r["at"].lng, r.l, r.m, r.t, r.k) == (50.45, 30.52, "HOME", "transit", "creme_brulee", -501235)
     assert lookups.vocabulary(spark, "travel_mode").count() == 13 and lookups.vocabulary(spark, "category_label").count() == 33
+
+
+def test_bounds_are_exact_ranks_of_all_rows(make_points):
+    rng = random.Random(2)
+    rows = [(T + i, 50 + rng.choice([0, 0, 0.0004, 0.002, 3]) + rng.random() * 1e-5, 30 + rng.random(), "movement", None, "ab"[i % 3 == 0]) for i in range(900)]
+    got = {r.subject_id: r for r in maplayers.robust_bounds(make_points(rows)).collect()}
+    for who in "ab":
+        lat, lng = sorted(r[1] for r in rows if r[5] == who), sorted(r[2] for r in rows if r[5] == who)
+        low, high = math.floor((len(lat) - 1) * 0.02), math.ceil((len(lat) - 1) * 0.98)
+        assert (got[who].min_lat, got[who].max_lat, got[who].min_lng, got[who].max_lng) == (lat[low], lat[high], lng[low], lng[high])
+
+
+def test_repeated_addresses_and_venues_count_once(spark):
+    targets = spark.createDataFrame([("a", 0, 50.0, 30.0, 60)], "subject_id string, cluster_id int, lat double, lng double, total_duration_sec bigint")
+    address = (500000, 300000, "B", "r", "1", "d", "cafe", None, None, None, None, None)
+    addresses = spark.createDataFrame([address, (*address[:2], "A", *address[3:])],
+                                      "lat_key bigint, lng_key bigint, name string, road string, house_number string, display_name string, type string,"
+                                      " city_district string, borough string, suburb string, neighbourhood string, quarter string")
+    assert [r.name for r in enrichment.address_lookup(targets, addresses).collect()] == ["A"]
+    venues = spark.createDataFrame([(1, "\tV\u00a0", 50.0, 30.0, "Bank", " N\n")] * 2,
+                                   "venue_id int, name string, lat double, lng double, categories string, neighborhood string")
+    named = enrichment.two_tier_names(targets, venues, addresses).collect()
+    assert [(r.name, r.district) for r in named] == [("V", "N")]
+
+
+def test_people_with_activities_only_have_totals(spark, make_points):
+    acts = spark.createDataFrame([("z", 0, 10, 2500.0, "walk", "WALKING")],
+                                 "subject_id string, start_sec bigint, end_sec bigint, distance_m double, mode string, raw_type string")
+    km = movement.km_by_mode(make_points([]), acts)
+    assert {r["mode"]: (r.km, r.labelled) for r in km.collect()} == {"walk": (2.5, True), "transit": (0.0, True), "drive": (0.0, True), "other": (0.0, True)}
+
+
+def test_all_white_space_is_trimmed(spark):
+    rows = spark.createDataFrame([("\tHome\n",), ("\u00a0 home\ufeff",), (" \u2003",), (None,)], "a string")
+    assert [r.l for r in rows.select(text.normalise_label("a").alias("l")).collect()] == ["HOME", "HOME", None, None]

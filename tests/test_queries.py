@@ -5,6 +5,7 @@ import pytest
 
 import __spark_entry__ as entry_point
 from check import TABLES, rows_of
+from workload import all_queries
 
 SF = "/root/testdata/sf0.001"
 QUERIES, ORACLES = entry_point.queries(), entry_point.oracle_sql()
@@ -19,7 +20,7 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(all_queries.QUERIES))
 def test_query(spark, con, name):
     df = QUERIES[name](spark, SF)
     rel = con.execute(ORACLES[name])

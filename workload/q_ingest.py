@@ -73,7 +73,7 @@ def _everything(t: Inputs):
 
 
 _TS_ROUND = "CAST(floor(floor(ms) / 1000E0 + 0.5) AS BIGINT)"
-_ORD = f"(part * 8388608 + i) * 65536"
+_ORD = "(part * 8388608 + i) * 4194304"
 cte("doc", f"""SELECT *, {_TS_ROUND} AS t0, ts_sec + (k + 1) * 120 AS t1, CAST(floor(event_id / {_PART}) AS BIGINT) AS part,
       row_number() OVER (PARTITION BY s, CAST(floor(event_id / {_PART}) AS BIGINT) ORDER BY event_id) - 1 AS i,
       lat_e7 / 1E7 AS la, lng_e7 / 1E7 AS ln FROM raw""", "raw")
@@ -82,17 +82,17 @@ cte("ping_rows", f"""SELECT concat('p', s) AS subject_id, {_ORD} AS ord, la AS l
 cte("visit_span", """SELECT *, CASE WHEN event_id % 64 = 6 THEN ts_sec + 259200 WHEN event_id % 8 = 2 THEN NULL ELSE t1 END AS t_end,
       CASE WHEN event_id % 64 = 6 THEN NULL WHEN event_id % 8 = 0 THEN 'INFERRED_WORK' WHEN event_id % 8 = 2 THEN 'HOME' END AS lab
     FROM doc WHERE event_id % 8 IN (0, 1, 2, 6)""", "doc")
-cte("visit_steps", """SELECT *, CASE WHEN t_end > t0 THEN CAST(least(greatest(floor((t_end - t0) / 300E0 + 0.5), 1), 288) AS BIGINT) ELSE 0 END AS steps
+cte("visit_steps", """SELECT *, CASE WHEN t_end > t0 THEN CAST(greatest(floor((t_end - t0) / 300E0 + 0.5), 1) AS BIGINT) ELSE 0 END AS steps
     FROM visit_span""", "visit_span")
 cte("visit_rows", f"""SELECT concat('t', s) AS subject_id, {_ORD} + n AS ord, la AS lat, ln AS lng,
       CASE WHEN steps > 0 THEN CAST(floor(t0 + (t_end - t0) * n / CAST(steps AS DOUBLE) + 0.5) AS BIGINT) ELSE t0 END AS ts_sec,
       'visit' AS source, lab AS semantic_label FROM visit_steps, LATERAL (SELECT unnest(range(steps + 1)) AS n) u""", "visit_steps")
-cte("act_rows", f"""SELECT concat('t', s) AS subject_id, {_ORD} + n AS ord, CASE WHEN (n = 289) = (event_id % 8 = 3) THEN la ELSE ln END AS lat,
-      CASE WHEN (n = 289) = (event_id % 8 = 3) THEN ln ELSE la END AS lng, CASE WHEN n = 289 THEN t0 ELSE t1 END AS ts_sec, 'movement' AS source,
+cte("act_rows", f"""SELECT concat('t', s) AS subject_id, {_ORD} + n AS ord, CASE WHEN (n = 2097152) = (event_id % 8 = 3) THEN la ELSE ln END AS lat,
+      CASE WHEN (n = 2097152) = (event_id % 8 = 3) THEN ln ELSE la END AS lng, CASE WHEN n = 2097152 THEN t0 ELSE t1 END AS ts_sec, 'movement' AS source,
       CAST(NULL AS VARCHAR) AS semantic_label
-    FROM doc, LATERAL (SELECT unnest([289, 290]) AS n) u
-    WHERE (event_id % 8 = 3 AND (n = 289 OR k % 4 <> 0)) OR (event_id % 8 = 6 AND event_id % 64 <> 6)""", "doc")
-cte("way_rows", f"""SELECT concat('t', s) AS subject_id, {_ORD} + 291 + n AS ord, CASE WHEN n = 0 THEN la ELSE ln END AS lat, CASE WHEN n = 0 THEN ln ELSE la END AS lng,
+    FROM doc, LATERAL (SELECT unnest([2097152, 2097153]) AS n) u
+    WHERE (event_id % 8 = 3 AND (n = 2097152 OR k % 4 <> 0)) OR (event_id % 8 = 6 AND event_id % 64 <> 6)""", "doc")
+cte("way_rows", f"""SELECT concat('t', s) AS subject_id, {_ORD} + 2097154 + n AS ord, CASE WHEN n = 0 THEN la ELSE ln END AS lat, CASE WHEN n = 0 THEN ln ELSE la END AS lng,
       CASE WHEN n = 0 THEN t1 ELSE t0 + k * 60 END AS ts_sec, 'movement' AS source, CAST(NULL AS VARCHAR) AS semantic_label
     FROM doc, LATERAL (SELECT unnest([0, 1]) AS n) u WHERE event_id % 8 = 4""", "doc")
 cte("act_table", """SELECT concat('t', s) AS subject_id, t0 AS start_sec, t1 AS end_sec,
@@ -157,7 +157,7 @@ def _(t: Inputs):
 cte("yield", """SELECT concat('p', s) AS subject_id, part, CASE WHEN event_id % 10 IN (0, 1, 3) THEN 0 ELSE 1 END AS n, event_id % 10 NOT IN (0, 1, 3) AS useful FROM doc
     UNION ALL SELECT concat('ep', s), part, 0, false FROM (SELECT DISTINCT s, part FROM doc)
     UNION ALL SELECT concat('t', d.s), d.part, coalesce(c.n, 0), coalesce(c.n, 0) > 0 OR (d.event_id % 8 = 5 AND d.k >= 20) FROM doc d
-      LEFT JOIN (SELECT subject_id, CAST(floor(ord / 65536) AS BIGINT) AS e, count(*) AS n FROM
+      LEFT JOIN (SELECT subject_id, CAST(floor(ord / 4194304) AS BIGINT) AS e, count(*) AS n FROM
         (SELECT subject_id, ord FROM visit_rows UNION ALL SELECT subject_id, ord FROM act_rows UNION ALL SELECT subject_id, ord FROM way_rows) GROUP BY ALL) c
       ON c.subject_id = concat('t', d.s) AND c.e = d.part * 8388608 + d.i""", "doc", "visit_rows", "act_rows", "way_rows")
 

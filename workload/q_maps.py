@@ -57,9 +57,7 @@ cte("vert0", """SELECT *, count(*) OVER (PARTITION BY subject_id, segment_id) AS
         SELECT *, CASE WHEN dt_sec > 0 AND (dt_sec > 1500 OR kmh > 200) THEN 1 ELSE 0 END AS brk FROM trk2))
     WHERE p_ts IS NULL OR dt_sec > 0""", "trk2")
 cte("vert", "SELECT * FROM vert0 WHERE segment_len >= 3", "vert0")
-_CAP = 300
-cte("thin", f"""SELECT * FROM (SELECT *, greatest(ceil(count(*) OVER (PARTITION BY subject_id) / {_CAP}E0), 1) AS stride FROM vert)
-    WHERE segment_len < 8 OR idx % stride = 0 OR idx = segment_len - 1""", "vert")
+cte("thin", "SELECT * FROM vert WHERE segment_len < 8 OR idx % 3 = 0 OR idx = segment_len - 1", "vert")
 
 
 @query("routes", "SELECT subject_id, CAST(segment_id AS BIGINT) AS segment_id, idx, segment_len, ord FROM vert", "vert")
@@ -69,8 +67,7 @@ def _(t: Inputs):
 
 @query("route_thin", "SELECT subject_id, CAST(segment_id AS BIGINT) AS segment_id, idx, ord FROM thin", "thin")
 def _(t: Inputs):
-    # A small vertex budget, so that thinning takes place at every data size.
-    return maplayers.route_thin(maplayers.routes(t.points), max_vertices=_CAP).select("subject_id", "segment_id", "idx", "ord")
+    return maplayers.route_thin(maplayers.routes(t.points), stride=3).select("subject_id", "segment_id", "idx", "ord")
 
 
 _SIZE = "(40E0 / 111320E0)"
@@ -108,11 +105,9 @@ def _(t: Inputs):
       SELECT *, floor((m - 1) * 0.02E0) AS lo, ceil((m - 1) * 0.98E0) AS hi FROM (
         SELECT subject_id, lat, lng, count(*) OVER (PARTITION BY subject_id) AS m, row_number() OVER (PARTITION BY subject_id ORDER BY lat) - 1 AS rl,
                row_number() OVER (PARTITION BY subject_id ORDER BY lng) - 1 AS rg
-        FROM (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY ord) - 1 AS pos, count(*) OVER (PARTITION BY subject_id) AS n FROM points)
-        WHERE pos % CAST(greatest(ceil(n / 200E0), 1) AS BIGINT) = 0)) GROUP BY 1""", "points")
+        FROM points)) GROUP BY 1""", "points")
 def _(t: Inputs):
-    # A sample of at most 200 per person, so that the stride is at work at every data size.
-    return maplayers.robust_bounds(t.points, max_sample=200).select(
+    return maplayers.robust_bounds(t.points).select(
         "subject_id", *[F.round(c, 6).alias(c) for c in ("min_lat", "min_lng", "max_lat", "max_lng")])
 
 
