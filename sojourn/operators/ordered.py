@@ -15,37 +15,50 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sojourn.operators.staging import staged
+
 CHUNK = "chunk"
-# Chunk widths all divide a UTC day, so a chunk never straddles a UTC day or month.
-CHUNK_WIDTHS_SEC = (86400, 21600, 3600, 900, 300, 60, 10, 1)
 CHUNK_TARGET_ROWS = 100_000
+DAY_SEC, QUARTER_SEC = 86_400, 900
+# A second with too many rows is cut into so many pieces by ``ord``.
+PIECES = 256
 ID_BLOCK = 65_536
 
 Keys = Sequence[str]
 
 
-def plan_chunk_sec(points: DataFrame, keys: Keys, target_rows: int = CHUNK_TARGET_ROWS) -> int:
-    """A chunk width at which the densest (key, bucket) should hold at most ``target_rows``.
+def with_time_chunk(points: DataFrame, keys: Keys, chunk_sec: int | None = None, target_rows: int | None = None) -> DataFrame:
+    """Adds the chunk, a number that grows with (ts_sec, ord). It decides only how work is split, never a result.
 
-    One aggregation over the key and time columns (counts per quarter hour, combined on the map side); two numbers
-    come back. The width decides only how the work is split, never a result.
+    With ``chunk_sec`` all chunks have that width. Otherwise a chunk is one UTC day of a key. Where a key has more than
+    ``target_rows`` on a day, that day is cut into quarters of an hour; where a quarter still has more, into seconds; and a second
+    with more is cut into ranges of ``ord``. Calm keys and days keep their few chunks. No chunk straddles a UTC day.
     """
-    quarter = 900
-    counts = points.groupBy(*keys, F.floor(F.col("ts_sec") / quarter).alias("q")).count()
-    days = counts.groupBy(*keys, F.floor(F.col("q") / (86400 // quarter)).alias("d")).agg(
-        F.sum("count").alias("per_day"), F.max("count").alias("per_quarter"))
-    per_day, per_quarter = days.agg(F.max("per_day"), F.max("per_quarter")).first()
-    if per_day is None or per_day <= target_rows:
-        return CHUNK_WIDTHS_SEC[0]
-    return next((w for w in CHUNK_WIDTHS_SEC[1:] if per_quarter * w / quarter <= target_rows), CHUNK_WIDTHS_SEC[-1])
-
-
-def with_time_chunk(points: DataFrame, keys: Keys, chunk_sec: int | None = None) -> DataFrame:
-    """Adds the time bucket; without a width given, the width is measured."""
     if CHUNK in points.columns:
         return points
-    width = chunk_sec or plan_chunk_sec(points, keys)
-    return points.withColumn(CHUNK, F.floor(F.col("ts_sec") / width).cast("bigint"))
+    if chunk_sec:
+        return points.withColumn(CHUNK, F.floor(F.col("ts_sec") / chunk_sec).cast("bigint"))
+    target = target_rows or CHUNK_TARGET_ROWS
+    day, quarter = (F.floor(F.col("ts_sec") / n).cast("bigint") for n in (DAY_SEC, QUARTER_SEC))
+    per_quarter = points.groupBy(*keys, quarter.alias("_q")).agg(F.count(F.lit(1)).alias("_n"))
+    days = per_quarter.groupBy(*keys, F.floor(F.col("_q") * QUARTER_SEC / DAY_SEC).cast("bigint").alias("_d")).agg(
+        F.sum("_n").alias("_m"), F.collect_set(F.when(F.col("_n") > target, F.col("_q"))).alias("_crowded"))
+    days = days.filter(F.col("_m") > target)
+    if days.isEmpty():
+        return points.withColumn(CHUNK, day)
+    days = staged(days.drop("_m"))
+    crowded = days.select(*keys, F.explode("_crowded").alias("_q"))
+    pieces = [i / PIECES for i in range(1, PIECES)]
+    seconds = points.withColumn("_q", quarter).join(crowded, [*keys, "_q"]).groupBy(*keys, "ts_sec").agg(
+        F.count(F.lit(1)).alias("_n"), F.percentile_approx("ord", pieces, 10 * PIECES).alias("cuts")).filter(F.col("_n") > target)
+    hot = seconds.groupBy(*keys, day.alias("_d")).agg(F.collect_list(F.struct("ts_sec", "cuts")).alias("_hot"))
+    plan = staged(days.join(hot, [*keys, "_d"], "left"))
+    placed = points.withColumn("_d", day).join(plan, [*keys, "_d"], "left")
+    burst = F.filter("_hot", lambda h: h["ts_sec"] == F.col("ts_sec"))
+    piece = F.when(F.size(burst) > 0, F.size(F.filter(burst[0]["cuts"], lambda c: c < F.col("ord")))).otherwise(0)
+    start = (F.when(F.col("_crowded").isNull(), F.col("_d") * DAY_SEC)
+             .when(F.array_contains("_crowded", quarter), F.col("ts_sec")).otherwise(quarter * QUARTER_SEC))
+    return placed.withColumn(CHUNK, (start * PIECES + F.coalesce(piece, F.lit(0))).cast("bigint")).select(*points.columns, CHUNK)
 
 
 def with_id_chunk(df: DataFrame, column: str, block: int = ID_BLOCK) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sojourn.operators import movement, patterns, places, selection, stays
-from sojourn.operators.ordered import Keys, plan_chunk_sec
+from sojourn.operators.ordered import Keys, with_time_chunk
 from sojourn.operators.staging import staged
 
 PERIOD_KEYS = ("subject_id", "period_key")
@@ -52,15 +52,15 @@ def run_all(points: DataFrame, activities: DataFrame, trips: DataFrame, frequent
     Periods are exploded, not rolled up: stays and clusters of a month are found in that month's points alone.
     """
     keys: Keys = PERIOD_KEYS if by_period else ("subject_id",)
-    width = chunk_sec or plan_chunk_sec(points, ("subject_id",))
+    points = with_time_chunk(points, ("subject_id",), chunk_sec)  # planned once for all that follows
     if by_period:
         points = selection.period_explode(points, tz)
         activities = selection.period_explode(activities, tz, "start_sec")
         trips = selection.period_explode(trips, tz, "start_sec")
     spans = patterns.span_days(points, keys)
-    tracked = staged(movement.track(points, keys, width))
+    tracked = staged(movement.track(points, keys))
     leg_rows = movement.legs_of(tracked, keys)
-    clustered = places.clustered_stays(stays.stay_points(points, keys, chunk_sec=width), keys)
+    clustered = places.clustered_stays(stays.stay_points(points, keys), keys)
     built = places.nearest_frequent_place(places.place_build(clustered, keys), frequent_places, keys)
     built = staged(places.place_rank(places.place_lifecycle(built, spans, keys), keys))
     runs = movement.journeys_of(tracked, keys)
@@ -70,8 +70,8 @@ def run_all(points: DataFrame, activities: DataFrame, trips: DataFrame, frequent
         day_km=movement.km_by_day(leg_rows, keys), journeys=runs,
         longest_journey=movement.longest_journey(runs, trips, keys),
         stays=clustered, places=built,
-        footprint=patterns.footprint_month(points, keys, width),
-        coverage=patterns.coverage(points, keys, width), busiest=patterns.busiest(points, keys, tz))
+        footprint=patterns.footprint_month(points, keys),
+        coverage=patterns.coverage(points, keys), busiest=patterns.busiest(points, keys, tz))
 
 
 def headline(points: DataFrame, place_rows: DataFrame, keys: Keys = ("subject_id",)) -> DataFrame:

@@ -161,3 +161,19 @@ def test_results_do_not_depend_on_the_chunk_width(spark, make_points, chunk_sec)
         (lambda c: maplayers.route_density(maplayers.routes(points, chunk_sec=c)), ("subject_id", "a_lat", "b_lng", "passes")),
     ):
         assert shown(build(chunk_sec), *cols) == shown(build(21600), *cols)
+
+
+def test_bursts_are_cut_by_time_and_then_by_order(make_points):
+    rng = random.Random(7)
+    rows = [(1704067200 + 3600, 50 + rng.random(), 30) for _ in range(3000)]  # one second
+    rows += [(1704067200 + 7200 + i // 20, 50 + rng.random() / 1e3, 30) for i in range(2000)]  # a hundred seconds
+    rows += [(1704067200 + 86400 + 60 * i, 50, 30) for i in range(90)]  # a calm day
+    rows += [(1704067200 + 900 * i, 50, 30, "movement", None, "calm") for i in range(900)]
+    chunked = with_time_chunk(make_points(rows), ["subject_id"], target_rows=100)
+    sizes = chunked.groupBy("subject_id", "chunk").count().collect()
+    assert max(r["count"] for r in sizes if r.subject_id != "calm") <= 100
+    assert sum(r.subject_id == "calm" for r in sizes) == 10
+    order = [r.chunk for r in chunked.filter("subject_id = 'a'").orderBy("ts_sec", "ord").collect()]
+    assert order == sorted(order)
+    got = scan(chunked, ["subject_id"], ("ord",), {}, chunk="chunk").filter("subject_id = 'a'").orderBy("ts_sec", "ord").collect()
+    assert [r.prev_ord for r in got] == [None] + [r.ord for r in got][:-1]
