@@ -57,12 +57,16 @@ CROSS JOIN (SELECT 1 AS ord, 50.4000E0 AS lat, 30.5000E0 AS lng, 'HOME' AS label
   UNION ALL SELECT 4, 51.0000E0, 31.0000E0, 'WORK') v
 """
 
-TARGETS = """
-SELECT concat('u', CAST(p.s AS STRING)) AS subject_id, CAST(q.spot AS INT) AS cluster_id,
-       50.40E0 + 0.012E0 * q.spot + 0.000013E0 * p.s AS lat, 30.50E0 + 0.015E0 * q.spot + 0.000013E0 * p.s AS lng,
-       CAST(3600 * (1 + p.s) * (5 - q.spot) AS BIGINT) AS total_duration_sec
-FROM (SELECT DISTINCT CAST(user_id % 10 AS INT) AS s FROM {events}) p
-CROSS JOIN (SELECT 0 AS spot UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) q
+# Every customer is a place of the person of its nation; two customers share a site. Suppliers are venues near sites.
+_SITE_LAT = "(-60E0 + 0.002E0 * ({0} * 37 % 60000))"
+_SITE_LNG = "(30.50E0 + 0.015E0 * ({0} % 11))"
+_SITE = "CAST(floor(c_custkey / 2E0) AS BIGINT)"
+
+TARGETS = f"""
+SELECT concat('u', CAST(c_nationkey AS STRING)) AS subject_id, CAST(c_custkey AS INT) AS cluster_id,
+       {_SITE_LAT.format(_SITE)} + 0.000013E0 * (c_custkey % 2) AS lat, {_SITE_LNG.format(_SITE)} + 0.000013E0 * (c_custkey % 2) AS lng,
+       CAST(1200 * (1 + c_custkey % 17) * (1 + c_custkey % 3) AS BIGINT) AS total_duration_sec
+FROM {{customer}}
 """
 
 ADDRESSES = """
@@ -71,22 +75,30 @@ SELECT lat_key, lng_key,
        CASE spot WHEN 0 THEN 'Oak St' WHEN 1 THEN 'Elm St' WHEN 3 THEN 'Ring Rd' END AS road,
        CASE spot WHEN 0 THEN '1' WHEN 1 THEN '22' END AS house_number,
        CASE spot WHEN 2 THEN 'Mill Pond, Northside, Town' ELSE 'x, y' END AS display_name,
-       CASE spot WHEN 0 THEN 'apartments' WHEN 1 THEN 'cafe' WHEN 2 THEN 'park' ELSE 'tertiary' END AS type,
-       CASE spot WHEN 0 THEN 'East' END AS city_district, CAST(NULL AS STRING) AS borough,
-       CASE spot WHEN 1 THEN 'Centre' WHEN 0 THEN 'ignored' END AS suburb, CAST(NULL AS STRING) AS neighbourhood,
+       CASE kind WHEN 0 THEN 'apartments' WHEN 1 THEN 'cafe' WHEN 2 THEN 'park' WHEN 3 THEN 'bank' WHEN 4 THEN 'school'
+                 WHEN 5 THEN 'hospital' WHEN 6 THEN 'restaurant' WHEN 7 THEN 'supermarket' ELSE 'tertiary' END AS type,
+       CASE spot WHEN 0 THEN concat('East ', CAST(kind AS STRING)) END AS city_district, CAST(NULL AS STRING) AS borough,
+       CASE spot WHEN 1 THEN concat('Centre ', CAST(kind AS STRING)) WHEN 0 THEN 'ignored' END AS suburb, CAST(NULL AS STRING) AS neighbourhood,
        CASE spot WHEN 2 THEN 'Northside' END AS quarter
-FROM (SELECT DISTINCT t.cluster_id AS spot, CAST(floor(t.lat * 1E4 + 0.5E0) AS BIGINT) AS lat_key,
-             CAST(floor(t.lng * 1E4 + 0.5E0) AS BIGINT) AS lng_key FROM {targets} t) k
+FROM (SELECT lat_key, lng_key, first % 5 AS spot, first % 9 AS kind
+      FROM (SELECT CAST(floor(t.lat * 1E4 + 0.5E0) AS BIGINT) AS lat_key, CAST(floor(t.lng * 1E4 + 0.5E0) AS BIGINT) AS lng_key,
+                   min(t.cluster_id) AS first FROM {targets} t GROUP BY 1, 2) k) x
 WHERE spot < 4
 """
 
-VENUES = """
-SELECT 1 AS venue_id, 'Corner Bank' AS name, 50.4002E0 AS lat, 30.5001E0 AS lng, 'Bank' AS categories, ' Old Town ' AS neighborhood
-UNION ALL SELECT 2, 'Far Cafe', 50.4006E0, 30.5001E0, 'Coffee Shop', 'Old Town'
-UNION ALL SELECT 3, 'Centre', 50.4121E0, 30.5151E0, 'Neighborhood,City', NULL
-UNION ALL SELECT 4, ' ', 50.4241E0, 30.5301E0, 'Park', NULL
-UNION ALL SELECT 5, 'Gym', 50.4373E0, 30.5450E0, 'Gym / Fitness Center', ''
-UNION ALL SELECT 6, 'Café Nine', 50.4481E0, 30.5601E0, 'Town,Café', 'Riverside'
+VENUES = f"""
+SELECT CAST(s_suppkey AS INT) AS venue_id,
+       CASE s_suppkey % 7 WHEN 0 THEN 'Corner Bank' WHEN 1 THEN 'Far Cafe' WHEN 2 THEN 'Centre' WHEN 3 THEN ' ' WHEN 4 THEN 'Gym'
+                          WHEN 5 THEN 'Café Nine' ELSE s_name END AS name,
+       {_SITE_LAT.format('s_suppkey')} + CASE s_suppkey % 7 WHEN 1 THEN 0.0006E0 WHEN 4 THEN 0.0013E0 ELSE 0.0002E0 END AS lat,
+       {_SITE_LNG.format('s_suppkey')} + 0.0001E0 AS lng,
+       CASE s_suppkey % 7 WHEN 0 THEN 'Bank' WHEN 1 THEN 'Coffee Shop' WHEN 2 THEN 'Neighborhood,City' WHEN 3 THEN 'Park'
+                          WHEN 4 THEN 'Gym / Fitness Center' WHEN 5 THEN 'Town,Café' ELSE 'Hotel' END AS categories,
+       CASE s_suppkey % 7 WHEN 0 THEN ' Old Town ' WHEN 1 THEN 'Old Town' WHEN 4 THEN '' WHEN 5 THEN 'Riverside' END AS neighborhood
+FROM {{supplier}}
+UNION ALL
+SELECT CAST(s_suppkey + 1000000000 AS INT), 'Next Door', {_SITE_LAT.format('s_suppkey')} + 0.0001E0, {_SITE_LNG.format('s_suppkey')}, 'Bakery', NULL
+FROM {{supplier}} WHERE s_suppkey % 5 = 0
 """
 
 # Fields that the text expressions and the export documents are built from.
@@ -150,7 +162,7 @@ class Inputs:
 
     @cached_property
     def targets(self) -> DataFrame:
-        return self.sql(TARGETS, events=self.events)
+        return self.sql(TARGETS, customer=self.table("customer"))
 
     @cached_property
     def addresses(self) -> DataFrame:
@@ -158,7 +170,7 @@ class Inputs:
 
     @cached_property
     def venues(self) -> DataFrame:
-        return self.sql(VENUES)
+        return self.sql(VENUES, supplier=self.table("supplier"))
 
     @cached_property
     def raw(self) -> DataFrame:
@@ -170,4 +182,5 @@ class Inputs:
 
 
 def duckdb_text(text: str) -> str:
-    return text.format(TS_SEC=TS_SEC["duckdb"], TS_MS=TS_MS["duckdb"], events="events", targets="targets", raw="raw")
+    return text.format(TS_SEC=TS_SEC["duckdb"], TS_MS=TS_MS["duckdb"], events="events", targets="targets", raw="raw",
+                       customer="customer", supplier="supplier")

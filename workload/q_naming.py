@@ -63,7 +63,7 @@ def _(t: Inputs):
     return _two_tier(t).select(*_NAMED.split(", "))
 
 
-_SEM = "CASE cluster_id WHEN 0 THEN 'HOME' WHEN 1 THEN 'INFERRED_WORK' WHEN 2 THEN 'SEARCHED_ADDRESS' END"
+_SEM = "CASE cluster_id % 5 WHEN 0 THEN 'HOME' WHEN 1 THEN 'INFERRED_WORK' WHEN 2 THEN 'SEARCHED_ADDRESS' END"
 cte("display", f"""SELECT k.subject_id, k.cluster_id, k.total_duration_sec, coalesce(g.name, printf('%.3f, %.3f', k.lat, k.lng)) AS display_name,
       g.category, g.district, b.badge AS semantic_badge
     FROM (SELECT *, {_SEM} AS sem FROM keyed) k LEFT JOIN addressed g ON g.subject_id = k.subject_id AND g.cluster_id = k.cluster_id
