@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from sojourn.llm.words import attach, emit, raw
 
 UNKNOWN = "und"
-SAMPLE = 700
+SAMPLE = 400
 DIMS = 1 << 13
 REGULAR = 1e-2
 RESULT = "struct<lang:string,score:double>"
@@ -91,10 +91,11 @@ class Model:
         self.families: dict[str, list[str]] = defaultdict(list)
         for lang in sorted(set(langs)):
             self.families[family_of(lang)].append(lang)
-        scale = 1 / np.sqrt(x.mean(axis=0) + 1e-6)
-        x = x * scale
-        norm = float(np.sqrt((x * x).sum(axis=1).mean())) or 1.0
-        x, self.machines, columns = x / norm, [], []
+        scale = (1 / np.sqrt(x.mean(axis=0, dtype=np.float64) + 1e-6)).astype(np.float32)
+        x *= scale  # in place: this is the largest thing that the driver holds
+        norm = float(np.sqrt(np.einsum("ij,ij->", x, x) / max(1, len(x)))) or 1.0
+        x /= np.float32(norm)
+        self.machines, columns = [], []
         gram = (x @ x.T).astype(np.float64)
 
         def add(kind: str, a: str, b: str, rows: np.ndarray, y: np.ndarray) -> None:
@@ -197,11 +198,14 @@ def learn(docs: DataFrame, *, sample: int = SAMPLE, id: str = "doc_id", text: st
                                               names=["lang", "at", "part"])
         return run
 
-    got = sorted((r.lang, bytes(r.at), bytes(r.part)) for r in emit(drawn, "text", "lang string, at binary, part binary", make).collect())
+    got = emit(drawn, "text", "lang string, at binary, part binary", make).toArrow()
+    got = got.sort_by([("lang", "ascending"), ("at", "ascending"), ("part", "ascending")])
     x = np.zeros((len(got), DIMS), np.float32)
-    for i, (_, at, part) in enumerate(got):
-        x[i, np.frombuffer(at, np.uint16)] = np.frombuffer(part, np.float32)
-    return Model(x, [r[0] for r in got])
+    for i, (at, part) in enumerate(zip(got["at"], got["part"], strict=True)):
+        x[i, np.frombuffer(at.as_buffer(), np.uint16)] = np.frombuffer(part.as_buffer(), np.float32)
+    langs = got["lang"].to_pylist()
+    del got
+    return Model(x, langs)
 
 
 def identify(docs: DataFrame, model: Model, *, text: str = "text", out: str = "found") -> DataFrame:
