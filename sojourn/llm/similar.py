@@ -1,15 +1,19 @@
 """N-gram Jaccard join by parity sketches.
 
 A text's set holds the hashes of its distinct ``k``-word shingles. Sets are compared in bands of sizes. In each band the
-shingles are dealt by hash to parts, and each part keeps 64 parity bits: every shingle flips one. The Hamming distance of
-two sketches is at most the size of the symmetric difference, which the threshold bounds by D; of D + 1 + S parts at least
-S + 1 are therefore equal (pigeonhole), so linked sets share the key (band, part, bits) of some part that is not weak.
-Weak parts (few bits, shared by chance) are not used unless a set has more than S of them.
+shingles are dealt by hash to parts, and each part is the XOR of the hashes of its shingles. A shingle that only one of two
+sets holds changes one part, and the threshold bounds the symmetric difference by D; of D + 1 + S parts at least S + 1 are
+therefore equal (pigeonhole), so linked sets share the key (band, part, bits) of some part that is not weak. Weak parts (of one
+shingle or none, equal by chance or by a common passage) make no keys; a set with more than S of them also offers its D + 1
+smallest hashes, one of which any other such set that links with it offers too.
 
-Within a key every set is compared with the smallest id only; then, for keys whose sets are still in different components,
-all their sketches are compared in square tiles by Hamming distance, and only pairs that pass are verified. Each candidate
-is verified on the shingle hashes of the two texts. So a group of n near copies costs n comparisons as a rule, links inside
-a found component are not listed, and no link between components is lost.
+A second sketch has parity bits, four times as many as the set has shingles: the Hamming distance of two
+of them is at most the symmetric difference, so pairs further apart than D are dropped before any text is fetched.
+
+Within a key every set is compared with the smallest id only, on the shingle hashes of the two texts. Then sets of a key that
+are still in different components are gathered to clusters by shared keys, and the sets of a cluster are compared in square
+tiles, by Hamming distance first. A tile returns only links that join components. So a group of n near copies costs n
+comparisons as a rule, links inside a found component are not listed, and no link between components is lost.
 
 Equal sets are one node (its id: a 64-bit hash of the set), so exact copies cost one row per key and batch.
 """
@@ -23,15 +27,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sojourn.llm.stages import released
 from sojourn.llm.words import SPACED, bounds, emit, lower_ascii, mix, ngram_hashes, raw, word_hashes
-from sojourn.operators.staging import staged, staged_table
+from sojourn.operators.staging import staged
 
 SHINGLE = 4
 THRESHOLD = Fraction(85, 100)
 #: Ratio of neighbouring band limits.
-BAND = 1.5
-WEAK_BITS = 2
+BAND = 1.25
+#: Parts of so few shingles make no keys.
+WEAK = 1
 TILE = 512
+TILE_WORDS = 64
 
 
 def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
@@ -81,27 +88,25 @@ class Bands:
     def spare(self, band: int) -> int:
         return self.most(band) // 4 + 4
 
+    def check_words(self, band: int) -> int:
+        """Four positions for each shingle: then few shingles cancel out, and the distance is close to the difference."""
+        return (4 * self.limits[band + 1] + 63) // 64
+
     def parts(self, band: int) -> int:
         return self.most(band) + 1 + self.spare(band)
 
 
-def sketch(s: np.ndarray, parts: int) -> np.ndarray:
-    """Parity bits of each part. ``s`` is sorted, and parts are ranges of hashes."""
-    words = np.zeros(parts, dtype=np.uint64)
-    if len(s):
-        part = ((s >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-        begin = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-        bits = np.uint64(1) << (mix(s) & np.uint64(63))
-        words[part[begin].astype(np.int64)] = np.bitwise_xor.reduceat(bits, begin)
-    return words
-
-
-def part_keys(words: np.ndarray, band: int, spare: int) -> np.ndarray:
-    use = np.bitwise_count(words) > WEAK_BITS
-    if len(words) - int(use.sum()) > spare:
-        use[:] = True
-    at = np.flatnonzero(use).astype(np.uint64)
-    return mix(words[use] ^ mix(at + np.uint64(band << 40)))
+def part_keys(s: np.ndarray, band: int, parts: int, spare: int, most: int) -> np.ndarray:
+    """Keys of a set in one band. ``s`` is sorted, and parts are ranges of hashes."""
+    part = ((s >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    begin = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+    size = np.diff(np.append(begin, len(s)))
+    bits = np.bitwise_xor.reduceat(mix(s), begin)
+    use = size > WEAK
+    keys = mix(bits[use] ^ mix(part[begin[use]] + np.uint64(band << 40)))
+    if parts - int(use.sum()) > spare:
+        keys = np.concatenate([keys, mix(s[:most + 1] ^ mix(np.uint64([(band << 40) + (1 << 39)])))])
+    return keys
 
 
 def jaccard_links(a: np.ndarray, b: np.ndarray, threshold: Fraction) -> bool:
@@ -111,40 +116,114 @@ def jaccard_links(a: np.ndarray, b: np.ndarray, threshold: Fraction) -> bool:
     return both * threshold.denominator >= threshold.numerator * (len(a) + len(b) - both)
 
 
-def _nodes(own: DataFrame, k: int) -> DataFrame:
+def check_bits(s: np.ndarray, words: int) -> np.ndarray:
+    """A short sketch of the whole set, to tell unrelated sets apart before texts are fetched."""
+    out = np.zeros(words, dtype=np.uint64)
+    if len(s):
+        h = mix(s ^ np.uint64(0x5851F42D4C957F2D))
+        odd = np.bincount((((h >> np.uint64(32)) * np.uint64(words * 64)) >> np.uint64(32)).astype(np.int64), minlength=words * 64) & 1
+        out = np.packbits(odd.astype(np.uint8)).view(np.uint64)
+    return out
+
+
+def near_enough(apart, a, b, threshold: Fraction):
+    """Whether sets of sizes ``a`` and ``b`` with sketches so far apart may link."""
+    up, down = threshold.numerator, threshold.denominator
+    return (apart * (up + down) <= (down - up) * (a + b)) & (np.minimum(a, b) * down >= up * np.maximum(a, b))
+
+
+def _nodes(own: DataFrame, k: int, threshold: Fraction) -> DataFrame:
+    """Size, node and check sketches (one for each band) of each row's set."""
+    bands = Bands(threshold)
+
     def make():
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             sets = shingle_sets(batch.column("text"), k)
+            bits = [[{"band": b, "bits": check_bits(s, bands.check_words(b)).tobytes()} for b in bands.bounds(len(s))]
+                    if len(s) else [] for s in sets]
+            kind = pa.list_(pa.struct([("band", pa.int32()), ("bits", pa.binary())]))
             return pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), batch.column("h")],
-                names=["id", "n", "node", "h"])
+                 pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), batch.column("h"), pa.array(bits, kind)],
+                names=["id", "n", "node", "h", "bits"])
         return run
 
-    return emit(own, "text", "id bigint, n bigint, node bigint, h bigint", make)
+    return emit(own, "text", "id bigint, n bigint, node bigint, h bigint, bits array<struct<band:int,bits:binary>>", make)
 
 
 def _keys(own: DataFrame, k: int, threshold: Fraction) -> DataFrame:
-    def make():
-        bands = Bands(threshold)
+    bands = Bands(threshold)
 
+    def make():
         def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-            keys, nodes, seen = [], [], set()
+            keys, nodes, layouts, seen = [], [], [], set()
             for s in shingle_sets(batch.column("text"), k):
                 if not len(s) or (node := node_of(s)) in seen:
                     continue
                 seen.add(node)
                 for band in bands.bounds(len(s)):
-                    own_keys = part_keys(sketch(s, bands.parts(band)), band, bands.spare(band))
+                    own_keys = part_keys(s, band, bands.parts(band), bands.spare(band), bands.most(band))
                     keys.append(own_keys)
                     nodes.append(np.full(len(own_keys), node))
+                    layouts.append(np.full(len(own_keys), band, np.int32))
             if not keys:
                 return None
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes))],
-                                              names=["key", "node"])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes)),
+                                               pa.array(np.concatenate(layouts))], names=["key", "node", "band"])
         return run
 
-    return emit(own, "text", "key bigint, node bigint", make)
+    return emit(own, "text", "key bigint, node bigint, band int", make)
+
+
+def _members(keys: DataFrame) -> DataFrame:
+    """``(key, band, node, pivot)``: the sets that share a key with a smaller one, and the smallest of the key.
+
+    Rows come sorted, so a key streams through its task in constant memory, however many sets share it.
+    """
+
+    def run(batches):
+        last_key = last_node = pivot = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, node = batch.column("key").to_numpy(), batch.column("node").to_numpy()
+            first = np.r_[last_key is None or key[0] != last_key, key[1:] != key[:-1]]
+            again = np.r_[not first[0] and node[0] == last_node, ~first[1:] & (node[1:] == node[:-1])]
+            begin = np.maximum.accumulate(np.where(first, np.arange(len(key)), -1))
+            least = np.where(begin >= 0, node[begin], 0 if pivot is None else pivot)
+            take = pa.array(~first & ~again)
+            last_key, last_node, pivot = key[-1], node[-1], least[-1]
+            yield pa.RecordBatch.from_arrays([batch.column("key").filter(take), batch.column("band").filter(take),
+                                              batch.column("node").filter(take), pa.array(least).filter(take)],
+                                             names=["key", "band", "node", "pivot"])
+
+    dealt = keys.repartition("key").sortWithinPartitions("key", "node")
+    return dealt.mapInArrow(run, "key bigint, band int, node bigint, pivot bigint")
+
+
+def _near(pairs: DataFrame, bits: DataFrame, threshold: Fraction) -> DataFrame:
+    """Those of the pairs (a, b) of nodes of one band whose check sketches allow a link."""
+    x = bits.select(F.col("node").alias("a"), "band", F.col("n").alias("na"), F.col("bits").alias("xa"))
+    y = bits.select(F.col("node").alias("b"), "band", F.col("n").alias("nb"), F.col("bits").alias("xb"))
+    both = pairs.join(x, ["a", "band"]).join(y, ["b", "band"])
+
+    def run(batches):
+        for batch in batches:
+            apart = np.array([int(np.bitwise_count(np.frombuffer(p, np.uint64) ^ np.frombuffer(q, np.uint64)).sum())
+                              for p, q in zip(batch.column("xa").to_pylist(), batch.column("xb").to_pylist(), strict=True)], dtype=np.int64)
+            good = pa.array(near_enough(apart, batch.column("na").to_numpy(), batch.column("nb").to_numpy(), threshold))
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good)], names=["a", "b"])
+
+    return both.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _texts(own: DataFrame, real: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``(node, text)``: one text for each node of the pairs."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    picked = real.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct("id", "h")).alias("x"))
+    picked = picked.select("node", F.coalesce("x.id", F.lit(-1)).alias("k"), F.col("x.id").isNull().alias("none"), F.col("x.h").alias("h"))
+    keyed = own.select(F.coalesce("id", F.lit(-1)).alias("k"), F.col("id").isNull().alias("none"), "h", "text")
+    return keyed.join(picked, ["k", "none", "h"]).groupBy("node").agg(F.first("text").alias("text"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: Fraction) -> DataFrame:
@@ -154,64 +233,95 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: Fraction) -
 
     def make():
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            good = np.array([jaccard_links(x, y, threshold) for x, y in zip(
-                shingle_sets(batch.column("ta"), k), shingle_sets(batch.column("tb"), k), strict=True)], dtype=bool)
-            return pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(good)), batch.column("b").filter(pa.array(good))],
-                                              names=["a", "b"])
+            good = pa.array([jaccard_links(x, y, threshold) for x, y in zip(
+                shingle_sets(batch.column("ta"), k), shingle_sets(batch.column("tb"), k), strict=True)], pa.bool_())
+            return pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good)], names=["a", "b"])
         return run
 
     return emit(both, "ta", "a bigint, b bigint", make)
 
 
-def _sketches(texts: DataFrame, k: int, threshold: Fraction) -> DataFrame:
-    """One row for each node and band: its size and its sketch."""
+def compared(nodes: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray,
+             threshold: Fraction) -> list[tuple[int, int]]:
+    """Links between sets of different components, so many as join all components that have one."""
+    joined: dict[int, int] = {}
 
-    def make():
-        bands = Bands(threshold)
-
-        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rows = [(node, band, len(s), sketch(s, bands.parts(band)).tobytes())
-                    for node, s in zip(batch.column("node").to_pylist(), shingle_sets(batch.column("text"), k), strict=True)
-                    for band in (bands.bounds(len(s)) if len(s) else ())]
-            node, band, n, bits = zip(*rows, strict=True) if rows else ((), (), (), ())
-            return pa.RecordBatch.from_arrays(
-                [pa.array(node, pa.int64()), pa.array(band, pa.int32()), pa.array(n, pa.int64()), pa.array(bits, pa.binary())],
-                names=["node", "band", "n", "bits"])
-        return run
+    def find(x: int) -> int:
+        while x in joined:
+            x = joined[x]
+        return x
 
-    return emit(texts, "text", "node bigint, band int, n bigint, bits binary", make)
+    n = np.array([len(s) for s in sets], dtype=np.int64)
+    bits = np.stack([check_bits(s, TILE_WORDS) for s in sets])
+    found = []
+    for i in left.tolist():
+        at = right[(roots[right] != roots[i]) & near_enough(0, n[right], n[i], threshold)]
+        at = at[near_enough(np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1).astype(np.int64), n[at], n[i], threshold)]
+        for j in at.tolist():
+            x, y = find(int(roots[i])), find(int(roots[j]))
+            if x != y and jaccard_links(sets[i], sets[j], threshold):
+                joined[max(x, y)] = min(x, y)
+                found.append((int(nodes[i]), int(nodes[j])))
+    return found
 
 
-def _tiles(members: DataFrame, threshold: Fraction) -> DataFrame:
-    """Pairs of sets of one key and different components that are near by size and by Hamming distance.
+def _tiles(left: DataFrame, threshold: Fraction) -> DataFrame:
+    """Links (a, b) between components of a cluster. ``left``: (cluster, node, root, shingles as bytes).
 
-    Members of a key are dealt to tiles by hash; a task holds two tiles at a time, whatever the size of the group.
+    Nodes are dealt to tiles by hash; a task holds two tiles at a time, whatever the size of the cluster, and gives back
+    at most one link for each node that it holds.
     """
-    size = members.groupBy("key").agg(F.count("*").alias("m"))
-    dealt = members.join(size, "key").withColumn("of", F.ceil(F.col("m") / TILE).cast("int"))
+    size = left.groupBy("cluster").agg(F.count("*").alias("m"))
+    dealt = left.join(size, "cluster").withColumn("of", F.ceil(F.col("m") / TILE).cast("int"))
     dealt = dealt.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("of")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
-    dealt = dealt.select("key", F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"), "tile", "node", "root",
-                         "n", "bits")
-
-    def run(pdf):
-        import pandas as pd
-        out = []
-        left, right = pdf[pdf.tile == pdf.p.iloc[0]], pdf[pdf.tile == pdf.q.iloc[0]]
-        x, y = (np.array([np.frombuffer(b, np.uint64) for b in side.bits]) for side in (left, right))
-        nodes, roots, n = (right[c].to_numpy() for c in ("node", "root", "n"))
-        for i in range(len(left)):
-            a, root, size = left.node.iat[i], left.root.iat[i], int(left.n.iat[i])
-            apart = np.bitwise_count(x[i] ^ y).sum(axis=1).astype(np.int64) if len(y) else np.zeros(0, np.int64)
-            t = threshold
-            total = n + size
-            fits = (roots != root) & (nodes > a) if pdf.p.iloc[0] == pdf.q.iloc[0] else roots != root
-            fits &= apart * (t.numerator + t.denominator) <= (t.denominator - t.numerator) * total
-            fits &= np.minimum(n, size) * t.denominator >= t.numerator * np.maximum(n, size)
-            out.extend((min(a, b), max(a, b)) for b in nodes[fits])
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
-
-    return dealt.groupBy("key", "p", "q").applyInPandas(run, "a bigint, b bigint").distinct()
+    dealt = dealt.select("cluster", F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"), "tile", "node", "root", "s")
+
+    def run(batches):
+        """Groups (cluster, p, q) arrive one after the other; one that a batch cuts is carried into the next."""
+        group = ("cluster", "p", "q")
+
+        def out(batch: pa.RecordBatch) -> pa.RecordBatch:
+            own = np.stack([batch.column(c).to_numpy() for c in group], axis=1)
+            cut = (np.flatnonzero((own[1:] != own[:-1]).any(axis=1)) + 1).tolist()
+            tile, node, root = (batch.column(c).to_numpy() for c in ("tile", "node", "root"))
+            body, found = batch.column("s").to_pylist(), []
+            for a, b in zip([0, *cut], [*cut, len(own)], strict=True):
+                side, sets = tile[a:b], [np.frombuffer(x, np.uint64) for x in body[a:b]]
+                first, second = np.flatnonzero(side == own[a, 1]), np.flatnonzero(side == own[a, 2])
+                if len(first) and len(second):
+                    found += compared(node[a:b], root[a:b], sets, first, second, threshold)
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+        held = None
+        for batch in batches:
+            if held is not None:
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            if not batch.num_rows:
+                continue
+            own = np.stack([batch.column(c).to_numpy() for c in group], axis=1)
+            other = np.flatnonzero((own != own[-1]).any(axis=1))
+            begin = int(other[-1]) + 1 if len(other) else 0
+            held = batch.slice(begin)
+            if begin:
+                yield out(batch.slice(0, begin))
+        if held is not None and held.num_rows:
+            yield out(held)
+
+    placed = dealt.repartition("cluster", "p", "q").sortWithinPartitions("cluster", "p", "q")
+    return placed.mapInArrow(run, "a bigint, b bigint")
+
+
+def _sets(texts: DataFrame, k: int) -> DataFrame:
+    """``(node, s)``: the sorted shingle hashes of each node, as bytes."""
+
+    def make():
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            made = [s.tobytes() for s in shingle_sets(batch.column("text"), k)]
+            return pa.RecordBatch.from_arrays([batch.column("node"), pa.array(made, pa.binary())], names=["node", "s"])
+        return run
+
+    return emit(texts, "text", "node bigint, s binary", make)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -246,34 +356,28 @@ def groups(docs: DataFrame, *, k: int = SHINGLE, threshold: Fraction = THRESHOLD
     component (null if there is none). Rows that repeat are in one component. Other columns are not read.
     """
     own = docs.select(F.col(id).cast("bigint").alias("id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
-    nodes = staged_table(_nodes(own, k))
-    real = nodes.filter("node IS NOT NULL")
-
-    keys = _keys(own.filter("text IS NOT NULL"), k, threshold)
-    shared = keys.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("most"),
-                                     F.count("*").alias("m")).filter("pivot < most")
-    members = staged_table(keys.join(shared.select("key", "pivot", "m"), "key").select("key", "node", "pivot", "m"))
-
-    pairs = members.filter("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    involved = members.select("node").distinct()
-    # One text for each node that shares a key with another: picked by id and digest, then joined once.
-    picked = real.join(involved, "node", "left_semi").groupBy("node").agg(F.min(F.struct("id", "h")).alias("x"))
-    picked = picked.select("node", F.col("x.id").alias("id"), F.col("x.h").alias("h"))
-    texts = own.join(picked, own.id.eqNullSafe(picked.id) & (own.h == picked.h)).select("node", "text").dropDuplicates(["node"])
-    texts = staged_table(texts)
-    links = staged(_verified(pairs, texts, k, threshold))
-
-    # Keys whose sets are still apart.
-    left = _rooted(members.filter("m > 2"), links)
-    apart = left.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("key")
-    left = staged(left.join(apart, "key").select("key", "node", "root").distinct())
+    nodes = released(_nodes(own, k, threshold))
+    real = nodes.filter("node IS NOT NULL").select("id", "n", "node", "h")
+    bits = nodes.select("node", "n", F.explode("bits").alias("x")).select("node", "n", "x.band", "x.bits")
+    bits = released(bits.dropDuplicates(["node", "band"]))
+    members = released(_members(_keys(own.filter("text IS NOT NULL"), k, threshold)))
+
+    pairs = members.select(F.col("pivot").alias("a"), F.col("node").alias("b"), "band").distinct()
+    near = released(_near(pairs, bits, threshold))
+    links = released(_verified(near, released(_texts(own, real, near)), k, threshold))
+
+    # Sets that share a key and are still apart: clusters of them, by shared keys, are compared in tiles.
+    held = members.select("key", "node", "pivot").union(members.select("key", F.col("pivot").alias("node"), "pivot")).distinct()
+    held = _rooted(held, links)
+    apart = held.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("m"))
+    apart = apart.filter("x < y AND m > 2").select("key")
+    left = released(held.join(apart, "key").select("node", "root", "pivot").distinct())
     if not left.isEmpty():
-        seen = _sketches(texts.join(left.select("node").distinct(), "node", "left_semi"), k, threshold)
-        held = left.join(seen, "node").select("key", "node", "root", "n", "bits", "band")
-        held = held.withColumn("key", F.xxhash64("key", "band")).drop("band")
-        more = _tiles(held, threshold)
-        more = more.join(pairs, ["a", "b"], "left_anti")
-        links = staged(links.unionByName(_verified(more, texts, k, threshold)))
+        clusters = components(left.select(F.col("pivot").alias("a"), F.col("node").alias("b"))).withColumnRenamed("root", "cluster")
+        nodes_left = left.select("node", "root").distinct().join(clusters, "node")
+        texts = _texts(own, real, left.select(F.col("node").alias("a"), F.col("node").alias("b")))
+        more = released(_tiles(released(nodes_left.join(_sets(texts, k), "node")), threshold))
+        links = released(links.union(more))
 
     rooted = _rooted(real.select("node").distinct(), links)
     named = nodes.join(rooted, "node", "left")
