@@ -24,9 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sojourn.llm.stages import released
 from sojourn.llm.words import attach, emit
 
-SAMPLE = 4000
+SAMPLE = 2000
 WORDS = 6
 BASE_BYTES = 64 << 10
 TOXIC_BYTES = 2 << 10
@@ -142,9 +143,12 @@ def learn(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, id: str =
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
         return {"share": n1 / max(1, n1 + n0)}
-    part = F.when(F.col("toxic") == 1, min(1.0, sample / n1)).otherwise(min(1.0, sample / n0)) * (1 << 20)
-    marks = marks.filter(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 20)) < part)
-    drawn = docs.select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("text")).join(marks, "id").select("id", "text", "toxic")
+    share = {1: min(1.0, sample / n1), 0: min(1.0, sample / n0)}
+    place = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 20))
+    marks = marks.filter(place < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]) * (1 << 20))
+    # Most texts are left out before anything is shuffled, and the sample is written once.
+    some = docs.select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("text")).filter(place < max(share.values()) * (1 << 20))
+    drawn = released(some.join(marks, "id").select("id", "text", "toxic"))
 
     def count():
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
