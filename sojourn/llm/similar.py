@@ -375,7 +375,7 @@ def groups(docs: DataFrame, *, k: int = SHINGLE, threshold: Fraction = THRESHOLD
     if not left.isEmpty():
         clusters = components(left.select(F.col("pivot").alias("a"), F.col("node").alias("b"))).withColumnRenamed("root", "cluster")
         nodes_left = left.select("node", "root").distinct().join(clusters, "node")
-        texts = _texts(own, real, left.select(F.col("node").alias("a"), F.col("node").alias("b")))
+        texts = released(_texts(own, real, left.select(F.col("node").alias("a"), F.col("node").alias("b"))))
         more = released(_tiles(released(nodes_left.join(_sets(texts, k), "node")), threshold))
         links = released(links.union(more))
 
