@@ -11,7 +11,8 @@ are taken apart, and the same texts are put together again as pages of other bui
 bars, reader comments, notices, forms), whose labels are known.
 
 Null and empty html give an empty text. Broken markup is read as browsers do: unclosed elements end with their parents, what
-is no tag is text. Rows that repeat are extracted each. A column named like the result is replaced.
+is no tag is text, and an unclosed script, style, title, text area or frame takes the rest of the page. Of an unclosed ``noscript``
+or ``template`` only the tag is left out. Rows that repeat are extracted each. A column named like the result is replaced.
 """
 
 from __future__ import annotations
@@ -32,7 +33,12 @@ SAMPLE = 240
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*+[^>]*)>|<[!?/][^>]*>|<[a-zA-Z/!?][^>]*\Z", re.S)
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|itemprop)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template xmp noembed noframes svg math select button object".split())
+#: Elements whose content is no markup, elements that are not shown, and elements in which a tag may close itself.
+RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
+HIDDEN = frozenset("noscript template".split())
+FOREIGN = frozenset("svg math".split())
+RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I | re.A) for t in RAW}
+HIDDEN_TAG = {t: re.compile(rf"<!--.*?(?:-->|\Z)|<script[\s/>].*?(?:</script|\Z)|<(/?){t}(?=[\s/>])", re.I | re.A | re.S) for t in HIDDEN}
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong "
                    "sub sup time tt u var wbr".split())
 SILENT = frozenset("script style noscript template".split())
@@ -64,7 +70,7 @@ class Page:
     def _read(self, source: str) -> None:
         stack, block, at, end = [0], 0, 0, len(source)
         tags = self.tags
-        lowered = None
+        endless, bodies = set(), {}
         while at < end:
             found = TOKEN.search(source, at)
             upto = found.start() if found else end
@@ -97,18 +103,44 @@ class Page:
             self.parents.append(stack[-1])
             self.depths.append(len(stack))
             self.attrs.append(found[3])
-            if name in VOID or found[3].endswith("/") and name in ("svg", "math"):
+            if name in VOID or found[3].endswith("/") and (name in FOREIGN or self._foreign(stack)):
                 continue
             if name in RAW:
-                if lowered is None:
-                    lowered = source.lower() if len(source.lower()) == len(source) else source
-                close = lowered.find("</" + name, at)
-                if close < 0:
+                close = None if name in endless else RAW_END[name].search(source, at)
+                if close:
+                    at = source.find(">", close.end()) + 1 or end
+                    continue
+                if not self._foreign(stack):
                     return
-                at = source.find(">", close) + 1 or end
+                endless.add(name)
+                continue
+            if name in HIDDEN:
+                if name not in bodies:
+                    bodies[name] = self._bodies(source, name)
+                close = bodies[name].get(found.start())
+                if close is not None:
+                    at = source.find(">", close) + 1 or end
                 continue
             stack.append(len(tags) - 1)
 
+    def _foreign(self, stack: list[int]) -> bool:
+        for k in reversed(stack):
+            if self.tags[k] in FOREIGN or self.tags[k] == "foreignobject":
+                return self.tags[k] in FOREIGN
+        return False
+
+    @staticmethod
+    def _bodies(source: str, name: str) -> dict[int, int]:
+        """Where each element of that name begins and its own end tag."""
+        out, begun = {}, []
+        for found in HIDDEN_TAG[name].finditer(source):
+            if found[1]:
+                if begun:
+                    out[begun.pop()] = found.start()
+            elif found[1] is not None:
+                begun.append(found.start())
+        return out
+
     def _end(self, stack: list[int], names: set[str], stops: set[str]) -> None:
         for k in range(len(stack) - 1, 0, -1):
             tag = self.tags[stack[k]]

@@ -178,6 +178,20 @@ def test_broken_markup():
     assert everything("<ul><li>a<li>b<div>c</ul>d") == "a\nb\nc\nd"
 
 
+@pytest.mark.parametrize("page, want", [
+    *[(f"<article><p>a</p><{t}>b<p>c</p></article><p>d</p>", "a\nb\nc\nd") for t in ("button", "object", "select", "svg", "math")],
+    *[(f"<article><p>a</p><{t}><p>c</p></article><p>d</p>", "a\nc\nd") for t in ("noscript", "template")],
+    ("<p>a</p><template>b<template>c</template>d</template><noscript>e</noscript><p>f</p>", "a\nf"),
+    ("<p>a <object>b <object>c</object> d</object> e</p>", "a\nb\nc\nd\ne"),
+    ("<p>a</p><svg><title>b<path d='m'/><g/></svg><p>c</p>", "a\nb\nc"),
+    ("\u0130 a<SCRIPT>x</SCRIPT> b<script>'</scripts>'</Script > c", "\u0130 a b c"),
+    ("a<title>b", "a"),
+])
+def test_only_raw_elements_take_the_rest(page, want):
+    read = extraction.Page(page)
+    assert read.text(np.ones(len(read.tags), dtype=bool)) == want
+
+
 def test_extraction(spark):
     rng, rows = random.Random(6), []
     for i in range(80):
