@@ -1,11 +1,13 @@
 """Quality rules with risk-controlled cutoffs.
 
 Each rule rejects texts whose value of one feature lies above a cutoff. Cutoffs are chosen for each stratum (language): a
-ladder of settings goes from lenient to strict, each taking one share of the good training rows as cutoffs of all useful
-rules. The settings are tested in this order on labelled holdout rows that took no part in making them: a setting is
+ladder of settings goes from lenient to strict. It begins with the most lenient cutoffs of the rule that hits most bad training rows and
+adds the other useful rules one by one; after that each setting takes one share of the good training rows as cutoffs of all useful rules. The settings are tested in this order on labelled holdout rows that took no part in making them: a setting is
 certified if the exact binomial bound on its false rejections lies below ``risk``, and the strictest setting before the
 first that fails is used (fixed sequence, so one ladder needs no correction within; Holm's correction over the strata keeps the chance of any
-wrong certificate below ``chance``). A stratum without a certified setting rejects nothing.
+wrong certificate below ``chance``). Strata with too few good holdout rows to be certified alone share one common ladder, made and
+tested on all their rows, so its bound holds for them together and not for each; where they are too few together, the smallest other strata
+join them. Who shares depends on numbers of rows only. A ladder without a certified setting rejects nothing, and so does a stratum without labelled rows.
 
 Counts and cutoffs come from all labelled rows by aggregation. Features of a text are made in one pass over all texts.
 
@@ -119,6 +121,23 @@ def certified(tests: dict[str, list[tuple[int, int]]], risk: float, chance: floa
     return out
 
 
+def groups(sizes: dict[str, int], risk: float, chance: float) -> dict[str, str]:
+    """The ladder of each stratum by its number of good holdout rows: its own, or the common one (named by all who share it).
+
+    A stratum stands alone if it could be certified at the strictest of Holm's levels with one false rejection.
+    """
+    def enough(n: int) -> bool:
+        return n > 0 and tail(1, n, risk) <= chance / len(sizes)
+
+    order = sorted(sizes, key=lambda s: (sizes[s], s))
+    shared = [s for s in order if not enough(sizes[s])]
+    for s in order[len(shared):]:
+        if not shared or enough(sum(sizes[x] for x in shared)):
+            break
+        shared.append(s)
+    return {s: "+".join(sorted(shared)) if s in shared else s for s in sizes}
+
+
 def base_failed():
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
@@ -131,6 +150,11 @@ def cutoffs(known: DataFrame, labels: DataFrame, *, label_id: str = "doc_id", qu
     rows = known.filter(~base_failed()).join(marks, "id")
     rows = rows.withColumn("train", F.crc32(F.col("id").cast("string").cast("binary")) % 5 < 2)
     rows = staged_table(rows.select("stratum", "good", "train", *RULES))
+    sizes = {r.stratum: r.n for r in rows.groupBy("stratum").agg(F.count_if(F.expr("good = 1 AND NOT train")).alias("n")).toLocalIterator()}
+    if not sizes:
+        return {}
+    group = groups(sizes, risk, chance)
+    rows = rows.withColumn("stratum", F.create_map(*[F.lit(v) for pair in sorted(group.items()) for v in pair])[F.col("stratum")])
     good = rows.filter("good = 1 AND train")
     levels = [1 - s for s in SHARES[::1]]
     grid = {r.stratum: r.asDict() for r in good.groupBy("stratum").agg(
@@ -145,18 +169,34 @@ def cutoffs(known: DataFrame, labels: DataFrame, *, label_id: str = "doc_id", qu
     names = {key: f"{key[0]}_{key[1]}" for key in over}
     seen = rows.filter("train").groupBy("stratum").agg(
         *[F.avg(F.when(F.col("good") == g, v.cast("double"))).alias(f"{names[key]}_{g}") for key, v in over.items() for g in (0, 1)])
-    useful = {(r.stratum, *key): (r[f"{n}_0"] or 0) > 5 * (r[f"{n}_1"] or 0) + 0.001 for r in seen.toLocalIterator() for key, n in names.items()}
-
-    def hit(j: int):
-        parts = [F.col("stratum").isin([s for s in grid if useful.get((s, c, j))]) & over[c, j] for c in RULES
-                 if any(useful.get((s, c, j)) for s in grid)]
+    useful, hits = {}, {}
+    for r in seen.toLocalIterator():
+        for (c, j), n in names.items():
+            useful[r.stratum, c, j] = (r[f"{n}_0"] or 0) > 5 * (r[f"{n}_1"] or 0) + 0.001
+            hits[r.stratum, c, j] = r[f"{n}_0"] or 0
+
+    def setting(s: str, i: int) -> list[tuple[str, int]]:
+        """The rules of a setting and their places in ``SHARES``."""
+        j = max(0, i - len(RULES) + 1)
+        own = [c for c in RULES if useful.get((s, c, j))]
+        return [(c, j) for c in sorted(own, key=lambda c: -hits[s, c, j])[:i + 1 if j == 0 else None]]
+
+    settings = range(len(RULES) + len(SHARES) - 1)
+
+    def hit(i: int):
+        used: dict[tuple[str, int], list[str]] = {}
+        for s in grid:
+            for key in setting(s, i):
+                used.setdefault(key, []).append(s)
+        parts = [F.col("stratum").isin(of) & over[key] for key, of in used.items()]
         return F.reduce(F.array(*parts), F.lit(False), lambda a, b: a | b) if parts else F.lit(False)
 
     ladder = rows.filter("good = 1 AND NOT train").groupBy("stratum").agg(
-        F.count("*").alias("n"), *[F.sum(hit(j).cast("int")).alias(f"k{j}") for j in range(len(SHARES))])
-    tests = {r.stratum: [(int(r[f"k{j}"]), r.n) for j in range(len(SHARES))] for r in ladder.toLocalIterator()}
+        F.count("*").alias("n"), *[F.sum(hit(i).cast("int")).alias(f"k{i}") for i in settings])
+    tests = {r.stratum: [(int(r[f"k{i}"]), r.n) for i in settings] for r in ladder.toLocalIterator()}
     chosen = certified(tests, risk, chance)
-    return {s: {c: float(grid[s][c][j]) for c in RULES if useful.get((s, c, j))} for s, j in chosen.items() if j >= 0 and s in grid}
+    limits = {g: {c: float(grid[g][c][j]) for c, j in setting(g, i)} for g, i in chosen.items() if i >= 0 and g in grid}
+    return {s: limits[g] for s, g in group.items() if g in limits}
 
 
 def judge(known: DataFrame, limits: dict[str, dict[str, float]]) -> DataFrame:

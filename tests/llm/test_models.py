@@ -98,6 +98,29 @@ def test_quality_limits_hold(corpus):
     assert all(r.rule is None for r in quality.judge(known, quality.cutoffs(known, labels.limit(0))).collect())
 
 
+def test_quality_rules_of_small_languages(spark):
+    rng, rows, marks = random.Random(9), [], []
+    for lang, n in (("en", 1800), ("de", 450), ("fr", 450), ("es", 400), (None, 30)):
+        for _ in range(n):
+            text, bad = speech(lang or "en", rng, 60), rng.random() < 0.2
+            marks.append((len(rows), int(not bad)))
+            rows.append((len(rows), " ".join(w + "###" for w in text.split()) if bad else text, lang))
+    known = quality.measured(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).cache()
+    limits = quality.cutoffs(known, spark.createDataFrame(marks, "doc_id bigint, quality int"))
+    good = dict(marks)
+    judged = [r for r in quality.judge(known, limits).collect() if not r.base_failed]
+    for s in ("en", "de", "fr", "es", ""):
+        bad = [r for r in judged if r.stratum == s and not good[r.id]]
+        assert len(bad) > 2 and not any(r.kept for r in bad)
+    assert sum(not r.kept for r in judged if good[r.id]) <= 0.02 * len(judged)
+
+
+def test_quality_groups_can_be_certified():
+    assert quality.groups({"en": 1184, "fr": 296, "de": 276, "es": 173}, 0.01, 0.05) == {"en": "en", **dict.fromkeys(("fr", "de", "es"), "de+es+fr")}
+    assert quality.groups({"en": 5000, "de": 900, "": 3}, 0.01, 0.05) == {"en": "en", "de": "+de", "": "+de"}
+    assert set(quality.groups({"a": 5, "b": 0}, 0.01, 0.05).values()) == {"a+b"} and quality.groups({"a": 900}, 0.01, 0.05) == {"a": "a"}
+
+
 def test_binomial_tail_and_certificates():
     assert math.isclose(quality.tail(2, 10, 0.3), sum(math.comb(10, i) * 0.3 ** i * 0.7 ** (10 - i) for i in range(3)))
     tests = {"a": [(0, 1000), (2, 1000), (30, 1000), (0, 1000)], "b": [(0, 20)], "c": []}
