@@ -1,8 +1,9 @@
 """Toxicity by compression distance.
 
-Two Zstandard dictionaries are trained: one on ordinary text, and one on toxic text. Both begin with the same base, trained on
-windows of ordinary text, so ordinary words cost the same with either; the toxic one ends with the pieces (word beginnings)
-that toxic texts hold far more often than ordinary ones, the other with as many bytes of ordinary text. Every text is cut
+Both dictionaries begin with the same base, trained by Zstandard on windows of a few words of ordinary rows, so ordinary words cost
+the same with either. The toxic one ends with pieces, counted over all drawn rows and not trained by Zstandard: word beginnings that
+toxic rows hold far more often than ordinary ones. A piece is taken on evidence alone (a number of toxic rows, and a bound on
+the chance of that number), however small its share of all toxic rows. The other ends with as many bytes of ordinary windows. Every text is cut
 into windows of a few words, each window is compressed with both, and the difference of the lengths is its gain. Counts of
 windows by gain, the largest gain and the mean gain go into a logistic function, fitted on labelled rows and weighted to
 the shares of all labelled rows, so 0.5 is a calibrated threshold.
@@ -30,12 +31,11 @@ from sojourn.llm.words import attach, emit
 SAMPLE = 2000
 WORDS = 6
 BASE_BYTES = 64 << 10
-TOXIC_BYTES = 2 << 10
 PIECE_LENGTHS = (3, 4, 5, 6, 7, 8, 10)
-#: Share of toxic rows that hold a piece, and how many times the share of ordinary rows that is, at least.
-PIECE_SHARE, PIECE_RATIO = 0.015, 8
-#: Share of toxic rows times logarithm of the ratio, at least: what a piece tells in all.
-PIECE_WORTH = 0.12
+#: Toxic rows that hold a piece, and how many times the share of ordinary rows their share is, at least.
+PIECE_ROWS, PIECE_RATIO = 4, 8
+#: Chance, at most, of so many toxic rows among those that hold a piece if it told nothing (Chernoff's bound).
+PIECE_CHANCE = 1e-5
 WINDOWS_OF_EACH = 24
 AT_ONCE = 1 << 16
 
@@ -64,16 +64,26 @@ def trained(samples: list[bytes], size: int) -> bytes:
     return b"".join(samples)[:BASE_BYTES]
 
 
-def chosen(counts: list[tuple[str, int, int]], toxic: int, ordinary: int, size: int = TOXIC_BYTES) -> bytes:
-    """The pieces that tell most, the best at the end; of pieces that begin alike only one."""
-    rated = {p: (t / toxic) * math.log((t / toxic) / ((o + 0.5) / ordinary)) for p, t, o in counts}
-    kept: list[str] = []
-    for p in sorted(rated, key=lambda p: (-round(rated[p], 6), -len(p), p)):
-        if rated[p] >= PIECE_WORTH and not any(p.startswith(q) or q.startswith(p) for q in kept):
-            kept.append(p)
-            if sum(len(q.encode()) + 1 for q in kept) > size:
-                break
-    return "".join(" " + p for p in reversed(kept)).encode()
+def surprise(t: int, o: int, toxic: int, ordinary: int) -> float:
+    """Minus the logarithm of Chernoff's bound on the chance of ``t`` or more toxic rows among ``t + o``."""
+    n, p = t + o, toxic / (toxic + ordinary)
+    if t <= n * p:
+        return 0.0
+    return t * math.log(t / n / p) + (o * math.log(o / n / (1 - p)) if o else 0.0)
+
+
+def chosen(counts: list[tuple[str, int, int]], toxic: int, ordinary: int) -> list[str]:
+    """All pieces with evidence enough, the surest first; of pieces that begin alike only one."""
+    sure = {p: surprise(t, o, toxic, ordinary) for p, t, o in counts
+            if t >= PIECE_ROWS and t / toxic > PIECE_RATIO * (o + 0.5) / ordinary}
+    kept: dict[str, None] = {}
+    begun: set[str] = set()
+    for p in sorted(sure, key=lambda p: (-round(sure[p], 6), -len(p), p)):
+        begins = [p[:k] for k in range(1, len(p) + 1)]
+        if sure[p] >= -math.log(PIECE_CHANCE) and p not in begun and not any(q in kept for q in begins):
+            kept[p] = None
+            begun.update(begins)
+    return list(kept)
 
 
 class Gains:
@@ -84,7 +94,8 @@ class Gains:
 
         def compressor(content: bytes):
             given = z.ZstdCompressionDict(content)
-            how = z.ZstdCompressionParameters(window_log=17, hash_log=17, chain_log=17, search_log=5, min_match=3, target_length=64,
+            log = max(17, (len(content) + (1 << 15)).bit_length())
+            how = z.ZstdCompressionParameters(window_log=log, hash_log=log, chain_log=log, search_log=5, min_match=3, target_length=64,
                                               strategy=z.STRATEGY_BTULTRA2, format=z.FORMAT_ZSTD1_MAGICLESS, write_content_size=False,
                                               write_dict_id=False, write_checksum=False)
             given.precompute_compress(compression_params=how)
@@ -173,14 +184,14 @@ def learn(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, id: str =
     held = {r.toxic: r["count"] for r in drawn.groupBy("toxic").count().collect()}
     m1, m0 = max(1, held.get(1, 0)), max(1, held.get(0, 0))
     counts = emit(drawn, "text", "piece string, t bigint, o bigint", count).groupBy("piece").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
-    counts = counts.filter((F.col("t") >= max(3, PIECE_SHARE * m1)) & (F.col("t") / m1 > PIECE_RATIO * (F.col("o") + 0.5) / m0))
-    rating = F.col("t") / m1 * F.log((F.col("t") / m1) / ((F.col("o") + 0.5) / m0))
-    best = [(r.piece, r.t, r.o) for r in counts.orderBy(rating.desc(), F.length("piece").desc(), "piece").limit(4096).collect()]
+    counts = counts.filter((F.col("t") >= PIECE_ROWS) & (F.col("t") / m1 > PIECE_RATIO * (F.col("o") + 0.5) / m0))
+    best = chosen([(r.piece, r.t, r.o) for r in counts.collect()], m1, m0)
     ordinary = sorted(bytes(r.w) for r in emit(drawn, "text", "w binary", cut).collect())
     spread = np.random.default_rng(5).permutation(len(ordinary))
     ordinary = [ordinary[i] for i in spread]
-    base, tail = trained(ordinary, BASE_BYTES), chosen(best, m1, m0)
-    model = {"share": n1 / (n1 + n0), "ordinary": base + b"".join(ordinary[:200])[:len(tail)].ljust(len(tail)), "toxic": base + tail}
+    base, tail = trained(ordinary, BASE_BYTES), "".join(" " + p for p in reversed(best)).encode()
+    like = b"".join(ordinary)
+    model = {"share": n1 / (n1 + n0), "pieces": best, "ordinary": base + like[:len(tail)].ljust(len(tail)), "toxic": base + tail}
 
     def measure():
         gains = Gains(model["ordinary"], model["toxic"])

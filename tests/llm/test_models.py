@@ -75,6 +75,22 @@ def test_toxicity(corpus):
     assert {r.toxicity for r in none.collect()} == {0.0}
 
 
+def test_toxic_words_of_a_small_part_are_learned(spark):
+    rng, rows, marks = random.Random(7), [], []
+    for i in range(3000):
+        w, toxic = speech("en", rng, 40).split(), i % 6 == 0
+        if toxic:
+            for k in (3, 13, 23):
+                w.insert(k, "zubbak" if i % 300 == 0 else rng.choice(SLURS))
+        rows.append((i, " ".join(w)))
+        marks.append((i, int(toxic)))
+    docs = spark.createDataFrame(rows + [(9000, rows[1][1] + " zubbak zubbak zubbak"), (9001, rows[1][1])], "doc_id bigint, text string")
+    model = toxicity.learn(docs.filter("doc_id < 9000"), spark.createDataFrame(marks, "doc_id bigint, toxic int"))
+    assert b" zubbak" in model["toxic"]
+    got = {r.doc_id: r.toxicity for r in toxicity.score(docs, model).filter("doc_id >= 9000").collect()}
+    assert got[9000] > 0.5 > got[9001]
+
+
 def test_quality_counts_equal_brute_force(corpus):
     docs, _ = corpus
     extra = ["a b c a b c", "x\nx\n\nx\n \ny", "a a a a", "é# <b>|", "one\r\none\n"]
