@@ -51,3 +51,38 @@ pos AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM hit, unnest(range(i, i +
 its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY ALL)
 SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)"""
+
+_CRC = "xor(list_reduce(list_transform(string_split({}, ''), lambda x: CAST(ord(x) AS BIGINT)), lambda c, b: xor(c >> 8, tab[xor(c & 255, b) + 1]), 4294967295), 4294967295)"
+_FIELD = "coalesce(CAST(strlen(CAST({0} AS VARCHAR)) AS VARCHAR) || ':' || CAST({0} AS VARCHAR), '-')"
+
+
+def _leaf(text: str) -> str:
+    return f"sha256({' || '.join(_FIELD.format(c) for c in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+
+
+MANIFEST = f"""
+WITH RECURSIVE crc AS (SELECT list(v ORDER BY i) AS tab FROM (SELECT i, list_reduce(range(0, 8),
+  lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS v FROM range(0, 256) t(i))),
+d AS (SELECT doc_id, coalesce('=' || lang, '') AS part, {_leaf('text')} AS h,
+  {_leaf(f"translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}')")} AS other,
+  doc_id IS NOT NULL AND {_CRC.format('CAST(doc_id AS VARCHAR)')} % 3 = 0 AS changed FROM documents, crc),
+leaf AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY doc_id NULLS FIRST, h) - 1 AS i, count(*) OVER (PARTITION BY part) AS n FROM d),
+lv AS (SELECT 0 AS l, part, i, n, h FROM leaf UNION ALL
+  SELECT l + 1, part, i // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY i)) FROM lv WHERE n > 1 GROUP BY l, part, i // 8, n),
+top AS (SELECT part, h, row_number() OVER (ORDER BY part) - 1 AS i, count(*) OVER () AS n FROM lv WHERE n = 1),
+rt AS (SELECT 0 AS l, i, n, h FROM top UNION ALL
+  SELECT l + 1, i // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY i)) FROM rt WHERE n > 1 GROUP BY l, i // 8, n),
+root AS (SELECT h FROM rt WHERE n = 1),
+near AS (SELECT a.l, a.part, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS x,
+  coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS y
+  FROM lv a JOIN lv b ON a.l = b.l AND a.part = b.part AND a.i // 8 = b.i // 8 WHERE a.n > 1 GROUP BY a.l, a.part, a.i),
+far AS (SELECT a.l, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS x,
+  coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS y
+  FROM rt a JOIN rt b ON a.l = b.l AND a.i // 8 = b.i // 8 WHERE a.n > 1 GROUP BY a.l, a.i),
+low AS (SELECT part, i AS leaf, 0 AS l, i, CASE WHEN changed THEN other ELSE h END AS f, '' AS proof FROM leaf UNION ALL
+  SELECT low.part, leaf, low.l + 1, low.i // 8, sha256(x || f || y), proof || x || y
+  FROM low JOIN near ON near.l = low.l AND near.part = low.part AND near.i = low.i),
+high AS (SELECT low.part, leaf, 0 AS l, top.i, f, proof FROM low JOIN top USING (part) JOIN lv ON lv.part = low.part AND lv.l = low.l AND lv.n = 1 UNION ALL
+  SELECT high.part, leaf, high.l + 1, high.i // 8, sha256(x || f || y), proof || x || y FROM high JOIN far ON far.l = high.l AND far.i = high.i)
+SELECT leaf.doc_id, leaf.h AS leaf, top.h AS subroot, root.h AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = root.h AS verified
+FROM leaf JOIN high ON high.part = leaf.part AND high.leaf = leaf.i JOIN rt ON rt.l = high.l AND rt.n = 1 JOIN top ON top.part = leaf.part, root"""

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sojourn.llm import decontaminate, extraction, languages, oracles, packing, quality, scoring, similar, substrings, toxicity, warc
+from sojourn.llm import decontaminate, extraction, languages, manifest, oracles, packing, quality, scoring, similar, substrings, toxicity, warc
 from sojourn.operators.staging import staged_table
 
 QUERIES, ORACLES = {}, {}
@@ -98,3 +100,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     found = extraction.extract(pages.select("page_id", "url", "html"), extraction.learn(pages), out="text")
     return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
+@query("op13_midstate_manifest", oracles.MANIFEST)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    return manifest.verify(table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"],
+                           changed=F.crc32(F.col("doc_id").cast("string")) % 3 == 0, changes={"text": text})
