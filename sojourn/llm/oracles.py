@@ -86,3 +86,28 @@ high AS (SELECT low.part, leaf, 0 AS l, top.i, f, proof FROM low JOIN top USING
   SELECT high.part, leaf, high.l + 1, high.i // 8, sha256(x || f || y), proof || x || y FROM high JOIN far ON far.l = high.l AND far.i = high.i)
 SELECT leaf.doc_id, leaf.h AS leaf, top.h AS subroot, root.h AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = root.h AS verified
 FROM leaf JOIN high ON high.part = leaf.part AND high.leaf = leaf.i JOIN rt ON rt.l = high.l AND rt.n = 1 JOIN top ON top.part = leaf.part, root"""
+
+
+def _codes() -> str:
+    """Six rounds, each a pair of tables: the nearest entry of each part, and the entries moved to the floors of their means."""
+    near = """n{0} AS MATERIALIZED (SELECT vec_id, label, p, v, min(ROW(d, e)) AS b FROM (
+  SELECT vec_id, label, part.p, part.v, e, CAST(list_sum(list_transform(list_zip(part.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d
+  FROM part JOIN c{0} c ON c.p = part.p) GROUP BY ALL)"""
+    move = """c{1} AS MATERIALIZED (SELECT c.p, c.e, coalesce(m.v, c.v) AS v FROM c{0} c LEFT JOIN (
+  SELECT p, e, list(CAST((s - (s % n + n) % n) // n AS BIGINT) ORDER BY j) AS v FROM (
+    SELECT p, b[2] AS e, j, sum(v[j]) AS s, count(*) AS n FROM n{0}, unnest(range(1, len(v) + 1)) t(j) GROUP BY ALL) GROUP BY ALL) m USING (p, e))"""
+    rounds = [x for r in range(6) for x in (near.format(r), move.format(r, r + 1))]
+    return ",\n".join([
+        """WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        "part AS MATERIALIZED (SELECT vec_id, label, p, q[p * (len(q) // 8) + 1:(p + 1) * (len(q) // 8)] AS v FROM k, range(0, 8) t(p))",
+        """c0 AS MATERIALIZED (SELECT p, e, v FROM (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, v FROM part) WHERE e < 16)""",
+        *rounds, near.format(6),
+        """book AS (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY p, e, j)) AS h
+  FROM (SELECT p, e, unnest(range(1, len(v) + 1)) AS j, unnest(v) AS x FROM c6))""",
+        """row AS (SELECT vec_id, label, string_agg(lpad(format('{:x}', b[2]), 2, '0'), '' ORDER BY p) AS code, CAST(sum(b[1]) AS BIGINT) AS error
+  FROM n6 GROUP BY ALL)"""]) + """
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM row, book"""
+
+
+CODES = _codes()

@@ -7,7 +7,7 @@ import string
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sojourn.llm import decontaminate, extraction, languages, manifest, oracles, packing, quality, scoring, similar, substrings, toxicity, warc
+from sojourn.llm import codes, decontaminate, extraction, languages, manifest, oracles, packing, quality, scoring, similar, substrings, toxicity, warc
 from sojourn.operators.staging import staged_table
 
 QUERIES, ORACLES = {}, {}
@@ -102,6 +102,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
 
 
+@query("op11_sliced_codes", oracles.CODES)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 @query("op13_midstate_manifest", oracles.MANIFEST)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
