@@ -7,7 +7,7 @@ import string
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sojourn.llm import codes, decontaminate, extraction, languages, manifest, oracles, packing, quality, scoring, similar, substrings, toxicity, warc
+from sojourn.llm import codes, decontaminate, extraction, languages, manifest, minhash, oracles, packing, quality, scoring, similar, substrings, toxicity, warc
 from sojourn.operators.staging import staged_table
 
 QUERIES, ORACLES = {}, {}
@@ -107,6 +107,11 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.compress(table(spark, sf_dir, "embeddings"))
 
 
+@query("op12_signature_join", oracles.NEAR)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query("op13_midstate_manifest", oracles.MANIFEST)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
