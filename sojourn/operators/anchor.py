@@ -1,5 +1,8 @@
 """The anchor scan of a track's islands over streaming Arrow batches.
 
+``anchor_scan`` walks whole islands. ``speculative_scan`` walks overlapping stretches of an island, each from its own first point,
+and tells where the walk of a stretch meets the one that starts at the stretch's last piece: from there on they are the same.
+
 This module travels to the Python workers by value, so they need numpy and pyarrow but not this package.
 """
 
@@ -36,20 +39,59 @@ def anchor_scan(keys: list[str], radius_m: float, min_sec: int):
                 key = tuple(c[lo].as_py() for c in ids)
                 if key != last_key:
                     if walker is not None:
-                        out.extend(walker.finish())
+                        out.extend(row for _, _, row in walker.finish())
                     walker, last_key = _Walker(key[:-1], radius_m, min_sec), key
                 walker.feed(lat[lo:hi], lng[lo:hi], ts[lo:hi], label[lo:hi])
-                out.extend(walker.take())
+                out.extend(row for _, _, row in walker.take())
             if out:
                 yield _to_batch(out, keys)
         if walker is not None:
-            out = walker.finish()
+            out = [row for _, _, row in walker.finish()]
             if out:
                 yield _to_batch(out, keys)
 
     return run
 
 
+def speculative_scan(keys: list[str], radius_m: float, min_sec: int):
+    """The kernel for ``mapInArrow``: rows arrive sorted by key, island, stretch and position.
+
+    ``last`` marks the rows of a stretch's last piece, ``final`` stretches at whose end the island ends. Each stretch yields its stays
+    up to the meeting point and one row without times, whose ``pos`` is the meeting point (null if the walks do not meet).
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stretch: _Stretch | None = None
+        last_key = None
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            ids = [batch.column(k) for k in [*keys, "island", "stretch"]]
+            starts = _group_starts(ids, batch.num_rows)
+            columns = [batch.column(c).to_numpy() for c in ("lat", "lng", "ts_sec")]
+            pos = batch.column("pos").to_numpy()
+            last, final = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("last", "final"))
+            label = batch.column("semantic_label").to_pylist()
+            out: list[tuple] = []
+            for lo, hi in zip(starts, [*starts[1:], batch.num_rows]):
+                key = tuple(c[lo].as_py() for c in ids)
+                if key != last_key:
+                    if stretch is not None:
+                        out.extend(stretch.finish())
+                    stretch, last_key = _Stretch(key, radius_m, min_sec, bool(final[lo])), key
+                cut = lo + int(np.searchsorted(last[lo:hi], True))
+                for a, b, end in ((lo, cut, False), (cut, hi, True)):
+                    if a < b:
+                        stretch.feed(*(c[a:b] for c in columns), label[a:b], pos[a:b], end)
+                out.extend(stretch.take())
+            if out:
+                yield _to_batch(out, keys, ["island", "stretch", "pos"])
+        if stretch is not None:
+            yield _to_batch(stretch.finish(), keys, ["island", "stretch", "pos"])
+
+    return run
+
+
 def _group_starts(columns: list[pa.Array], n: int) -> list[int]:
     changed = np.zeros(n, dtype=bool)
     changed[0] = True
@@ -59,9 +101,9 @@ def _group_starts(columns: list[pa.Array], n: int) -> list[int]:
     return np.flatnonzero(changed).tolist()
 
 
-def _to_batch(rows: list[tuple], keys: list[str]) -> pa.RecordBatch:
-    names = [*keys, "start_sec", "end_sec", "lat", "lng", "point_count", "semantic_label"]
-    types = [pa.string()] * len(keys) + [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.string()]
+def _to_batch(rows: list[tuple], keys: list[str], numbers: list[str] = []) -> pa.RecordBatch:
+    names = [*keys, *numbers, "start_sec", "end_sec", "lat", "lng", "point_count", "semantic_label"]
+    types = [pa.string()] * len(keys) + [pa.int64()] * (len(numbers) + 2) + [pa.float64(), pa.float64(), pa.int64(), pa.string()]
     columns = [pa.array(c) if i < len(keys) else pa.array(c, type=types[i]) for i, c in enumerate(zip(*rows))]
     return pa.RecordBatch.from_arrays(columns, names=names)
 
@@ -83,10 +125,12 @@ class _Walker:
         self.lat = self.lng = np.empty(0)
         self.ts = np.empty(0, dtype=np.int64)
         self.label: list[str | None] = []
+        self.at = 0  # position of the first buffered point
         self.open: dict | None = None
         self.done: list[tuple] = []
 
     def take(self) -> list[tuple]:
+        """Finished stays: position of the anchor, position after the last point, row."""
         done, self.done = self.done, []
         return done
 
@@ -97,6 +141,10 @@ class _Walker:
         self.label = self.label + label
         self._advance(final=False)
 
+    def frontier(self) -> int:
+        """The last position that the walk is known to reach: an undecided or open anchor, or the point after the last one."""
+        return self.open["pos"] if self.open is not None else self.at
+
     def finish(self) -> list[tuple]:
         self._advance(final=True)
         self._close()
@@ -127,7 +175,7 @@ class _Walker:
                 counts[text] = counts.get(text, 0) + 1
 
     def _begin(self, i: int) -> None:
-        self.open = {"anchor": (self.lat[i], self.lng[i]), "start": int(self.ts[i]), "lat": 0.0, "lng": 0.0,
+        self.open = {"pos": self.at + i, "anchor": (self.lat[i], self.lng[i]), "start": int(self.ts[i]), "lat": 0.0, "lng": 0.0,
                      "n": 0, "end": 0, "labels": {}}
 
     def _close(self) -> None:
@@ -135,8 +183,8 @@ class _Walker:
         if run is None:
             return
         label = max(run["labels"], key=run["labels"].get) if run["labels"] else None
-        self.done.append((*self.key, run["start"], run["end"], run["lat"] / run["n"], run["lng"] / run["n"],
-                          run["n"], label))
+        self.done.append((run["pos"], run["pos"] + run["n"], (*self.key, run["start"], run["end"], run["lat"] / run["n"],
+                                                              run["lng"] / run["n"], run["n"], label)))
 
     def _advance(self, final: bool) -> None:
         n, i = len(self.ts), 0
@@ -148,6 +196,7 @@ class _Walker:
         if i < n:
             i = self._scan_from(i, final)
         self.lat, self.lng, self.ts, self.label = self.lat[i:], self.lng[i:], self.ts[i:], self.label[i:]
+        self.at += i
 
     def _scan_from(self, i: int, final: bool) -> int:
         """Walks anchors from ``i``; returns the first index that must stay buffered."""
@@ -179,3 +228,55 @@ class _Walker:
                 return i
             else:
                 i += 1
+
+
+class _Stretch:
+    """The walk of a stretch and, over its last piece, the walk from that piece's first point."""
+
+    def __init__(self, key: tuple, radius_m: float, min_sec: int, final: bool):
+        self.key, self.final = key, final
+        self.own, self.other = (_Walker(key[:-2], radius_m, min_sec) for _ in range(2))
+        self.begin = self.piece = None  # first position of the stretch and of its last piece
+        self.end = 0
+        self.late: list[tuple] = []  # stays that reach into the last piece
+        self.theirs: list[tuple] = []
+        self.sure: list[tuple] = []
+
+    def feed(self, lat, lng, ts, label, pos, last: bool) -> None:
+        if self.begin is None:
+            self.begin = self.own.at = int(pos[0])
+        if last and self.piece is None:
+            self.piece = self.other.at = int(pos[0])
+        self.end = int(pos[-1]) + 1
+        self.own.feed(lat, lng, ts, label)
+        self._sort(self.own.take())
+        if last:
+            self.other.feed(lat, lng, ts, label)
+            self.theirs += [(a, b) for a, b, _ in self.other.take()]
+
+    def _sort(self, stays: list[tuple]) -> None:
+        for a, b, row in stays:
+            (self.sure if self.piece is None or b <= self.piece else self.late).append((a, b, row))
+
+    def _row(self, a: int, row: tuple) -> tuple:
+        head = len(self.key) - 2
+        return (*self.key, a, *row[head:])
+
+    def take(self) -> list[tuple]:
+        sure, self.sure = self.sure, []
+        return [self._row(a, row) for a, _, row in sure]
+
+    def finish(self) -> list[tuple]:
+        if self.final:
+            self._sort(self.own.finish())
+            self.theirs += [(a, b) for a, b, _ in self.other.finish()]
+        meet = None
+        if self.piece is not None:
+            reach = [self.end if self.final else walk.frontier() for walk in (self.own, self.other)]
+            both = np.ones(max(min(reach) - self.piece + 1, 0), dtype=bool)
+            for a, b in [*[(a, b) for a, b, _ in self.late], *self.theirs]:
+                both[max(a + 1 - self.piece, 0):max(b - self.piece, 0)] = False
+            if both.any():
+                meet = self.piece + int(both.argmax())
+        stays = [self._row(a, row) for a, _, row in self.late if self.piece is None or (meet is not None and a < meet)]
+        return self.take() + stays + [(*self.key, meet, None, None, None, None, None, None)]

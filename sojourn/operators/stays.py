@@ -9,7 +9,8 @@ The anchor scan is sequential, so the track is first cut where the scan is *cert
 
 The pieces (islands) are independent. Islands shorter than the minimum stay are dropped, islands that fit within one
 radius are a single stay and become a plain aggregation (so a phone that never moves is split over all tasks), and
-only the rest goes through a streaming Arrow kernel whose memory does not grow with the island.
+only the rest goes through a streaming Arrow kernel whose memory does not grow with the island. Islands of many points are
+scanned piece by piece by many tasks at once (``operators/stretches.py``).
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ from sojourn.functions import geo
 from sojourn.operators.anchor import anchor_scan
 from sojourn.operators.ordered import CHUNK, Keys, scan, with_time_chunk
 from sojourn.operators.selection import SUBJECT
-from sojourn.operators.staging import staged_table
+from sojourn.operators.staging import staged, staged_table
+from sojourn.operators.stretches import PIECE_ROWS, STAY, speculative_stays
 
 # Guards against last-digit differences between the cut test and the scan.
 _SLACK_M = 0.01
@@ -64,32 +66,40 @@ def _label_of_islands(rows: DataFrame, keys: Keys) -> DataFrame:
 
 
 def stay_points(points: DataFrame, keys: Keys = SUBJECT, radius_m: float = STAY_RADIUS_M, min_sec: int = STAY_MIN_SEC,
-                max_gap_sec: int = STAY_MAX_GAP_SEC, chunk_sec: int | None = None) -> DataFrame:
+                max_gap_sec: int = STAY_MAX_GAP_SEC, chunk_sec: int | None = None, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """Stays per key: ``sid`` (0-based, by start), span, centroid, number of points, label."""
     rows = staged_table(islands(points, keys, radius_m, min_sec, max_gap_sec, chunk_sec))
     per_island = rows.groupBy(*keys, "island").agg(
         F.min("ts_sec").alias("start_sec"), F.max("ts_sec").alias("end_sec"),
         F.avg("lat").alias("lat"), F.avg("lng").alias("lng"), F.count(F.lit(1)).alias("point_count"),
         geo.box_diagonal_m(F.min("lat"), F.max("lat"), F.min("lng"), F.max("lng")).alias("_reach"),
+        F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"),
     ).filter(F.col("end_sec") - F.col("start_sec") >= min_sec)
+    per_island = staged(per_island)
     compact = F.col("_reach") <= radius_m - _SLACK_M
+    long = F.col("point_count") > 2 * piece_rows
+    stay = [f.split()[0] for f in STAY.split(", ")]
 
-    whole = (per_island.filter(compact).drop("_reach")
-             .join(_label_of_islands(rows, keys), [*keys, "island"], "left").drop("island"))
+    whole = (per_island.filter(compact).join(_label_of_islands(rows, keys), [*keys, "island"], "left").select(*keys, *stay))
 
     # Rows of the remaining islands: selected per (island, chunk), so that a huge compact island is never gathered.
-    pieces = (rows.select(*keys, "island", CHUNK).distinct()
-              .join(per_island.filter(~compact).select(*keys, "island"), [*keys, "island"], "left_semi"))
-    rest = (rows.join(pieces, [*keys, "island", CHUNK], "left_semi")
-            .select(*keys, "island", "pos", "ts_sec", "lat", "lng", "semantic_label")
-            .repartition(*keys, "island").sortWithinPartitions(*keys, "island", "pos"))
+    chunks = rows.select(*keys, "island", CHUNK).distinct()
+
+    def of(some: DataFrame) -> DataFrame:
+        pieces = chunks.join(some.select(*keys, "island", "first_pos", "last_pos"), [*keys, "island"])
+        return rows.join(pieces, [*keys, "island", CHUNK]).select(
+            *keys, "island", "pos", "ts_sec", "lat", "lng", "semantic_label", "first_pos", "last_pos")
+
+    rest = of(per_island.filter(~compact & ~long)).drop("first_pos", "last_pos")
+    rest = rest.repartition(*keys, "island").sortWithinPartitions(*keys, "island", "pos")
     key_fields = [f"{f.name} {f.dataType.simpleString()}" for f in points.schema if f.name in keys]
     key_fields.sort(key=lambda s: list(keys).index(s.split()[0]))
-    schema = ", ".join(key_fields + ["start_sec bigint", "end_sec bigint", "lat double", "lng double",
-                                     "point_count bigint", "semantic_label string"])
-    walked = rest.mapInArrow(anchor_scan(list(keys), radius_m, min_sec), schema)
+    walked = rest.mapInArrow(anchor_scan(list(keys), radius_m, min_sec), ", ".join([*key_fields, STAY]))
 
-    stays = whole.select(*walked.columns).unionByName(walked)
+    stays = whole.unionByName(walked)
+    many = per_island.filter(~compact & long)
+    if not many.isEmpty():
+        stays = stays.unionByName(speculative_stays(of(many), keys, radius_m, min_sec, piece_rows))
     # Stays are disjoint and at least min_sec long: a key has at most (its span / min_sec) of them.
     by_start = Window.partitionBy(*keys).orderBy("start_sec")
     return stays.withColumn("sid", (F.row_number().over(by_start) - 1).cast("bigint"))
