@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sojourn.llm import tiles
 from sojourn.llm.similar import components, node_of, shingle_sets
 from sojourn.llm.stages import released
 from sojourn.llm.words import emit, mix
@@ -38,8 +39,6 @@ COORDINATES = 64
 #: Chance of losing a link of exactly the threshold's similarity; closer sets are lost far less often.
 MISS = 1e-9
 SPAN = 1 << 15
-TILE = 1024
-TILE_BYTES = 16 << 20
 
 
 def matches_needed(coordinates: int, threshold: Fraction, miss: float = MISS) -> int:
@@ -226,44 +225,7 @@ class Tile:
 
 
 def _tiles(left: DataFrame, coordinates: int, least: int, threshold: Fraction) -> DataFrame:
-    """Links (a, b) between components of a cluster. ``left``: (cluster, node, root, n, sig, s).
-
-    A cluster that fits a tile goes to a group of several such. The nodes of a larger one are dealt by size to bands of neighbouring
-    limits in the ratio of the threshold, and by hash to tiles within a band; tiles of one band and of neighbouring bands meet.
-    """
-    weight = F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum(F.octet_length("s")) / TILE_BYTES)).cast("int")
-    whole = left.groupBy("cluster").agg(F.count("*").alias("m"), F.sum(F.octet_length("s")).alias("bytes"), weight.alias("of"))
-    whole = released(whole)
-    small = whole.filter("of <= 1").agg(F.sum("m").alias("m"), F.sum("bytes").alias("bytes")).first()
-    pools = 1 + int(max((small.m or 0) / TILE, (small.bytes or 0) / TILE_BYTES))
-    dealt = left.join(whole.select("cluster", "of"), "cluster")
-    columns = ("node", "root", "sig", "s", "first", "second")
-    group = ("cluster", "band", "kind", "p", "q")
-
-    pooled = dealt.filter("of <= 1").select(
-        F.pmod(F.xxhash64("cluster"), F.lit(pools)).alias("cluster"), *[F.lit(x).alias(c) for c, x in (("band", -1), ("kind", 0), ("p", 0), ("q", 0))],
-        "node", "root", "sig", "s", F.lit(True).alias("first"), F.lit(True).alias("second"))
-
-    # A band is a little wider than the ratio, so linked sets are at most one band apart.
-    large = dealt.filter("of > 1").withColumn("band", F.floor(F.log(F.col("n")) / (-1.001 * math.log(float(threshold)))).cast("int"))
-    bands = released(large.groupBy("cluster", "band").agg(weight.alias("tiles")))
-    large = large.join(bands, ["cluster", "band"])
-    for name, step in (("above", 1), ("below", -1)):
-        other = bands.select("cluster", (F.col("band") - step).alias("band"), F.col("tiles").alias(name))
-        large = large.join(other, ["cluster", "band"], "left").fillna(0, [name])
-    large = large.withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-
-    def meet(tiles: str, band, kind: int, p, q, first, second):
-        rows = large.filter(F.col(tiles) > 0).withColumn("other", F.explode(F.sequence(F.lit(0), F.col(tiles) - 1)))
-        return rows.select("cluster", band.alias("band"), F.lit(kind).alias("kind"), p.alias("p"), q.alias("q"), "node", "root", "sig", "s",
-                           first.alias("first"), second.alias("second"))
-
-    own, other, band = F.col("own"), F.col("other"), F.col("band")
-    yes, no = F.lit(True), F.lit(False)
-    inside = meet("tiles", band, 0, F.least(own, other), F.greatest(own, other), own <= other, own >= other)
-    upward = meet("above", band, 1, own, other, yes, no)
-    downward = meet("below", band - 1, 1, other, own, no, yes)
-    placed = pooled.unionByName(inside).unionByName(upward).unionByName(downward)
+    """Links (a, b) between components of a cluster. ``left``: (cluster, node, root, n, sig, s)."""
 
     def run(rows: pa.Table) -> pa.Table:
         node, root = (rows.column(c).to_numpy() for c in ("node", "root"))
@@ -274,7 +236,8 @@ def _tiles(left: DataFrame, coordinates: int, least: int, threshold: Fraction) -
             found = Tile(node, root, signatures(rows.column("sig").combine_chunks(), coordinates), sets).joined(first, second, least, threshold)
         return pa.table({c: pa.array([x[i] for x in found], pa.int64()) for i, c in enumerate("ab")})
 
-    return placed.select(*group, *columns).groupBy(*group).applyInArrow(run, "a bigint, b bigint")
+    placed = tiles.dealt(left, "s", threshold)
+    return placed.groupBy(*tiles.GROUP).applyInArrow(run, "a bigint, b bigint")
 
 
 def _sets(texts: DataFrame, k: int) -> DataFrame:

@@ -11,9 +11,10 @@ A second sketch has parity bits, four times as many as the set has shingles: the
 of them is at most the symmetric difference, so pairs further apart than D are dropped before any text is fetched.
 
 Within a key every set is compared with the smallest id only, on the shingle hashes of the two texts. Then sets of a key that
-are still in different components are gathered to clusters by shared keys, and the sets of a cluster are compared in square
-tiles, by Hamming distance first. A tile returns only links that join components. So a group of n near copies costs n
-comparisons as a rule, links inside a found component are not listed, and no link between components is lost.
+are still in different components are gathered to clusters by shared keys, and the sets of a cluster are compared in
+tiles, by Hamming distance first, where their sizes allow a link. A tile returns only links that join components. So a group of n near copies costs n
+comparisons as a rule, links inside a found component are not listed, and no link between components is lost. Only sketches are dealt to the
+tiles at first; the shingles of a set follow if its sketch may link with that of another component.
 
 Equal sets are one node (its id: a 64-bit hash of the set), so exact copies cost one row per key and batch.
 """
@@ -24,9 +25,11 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sojourn.llm import tiles
 from sojourn.llm.stages import released
 from sojourn.llm.words import SPACED, bounds, emit, lower_ascii, mix, ngram_hashes, raw, word_hashes
 from sojourn.operators.staging import staged
@@ -37,8 +40,9 @@ THRESHOLD = Fraction(85, 100)
 BAND = 1.25
 #: Parts of so few shingles make no keys.
 WEAK = 1
-TILE = 512
 TILE_WORDS = 64
+#: Tasks that share a hub of the components' graph.
+SPREAD = 16
 
 
 def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
@@ -209,8 +213,12 @@ def _near(pairs: DataFrame, bits: DataFrame, threshold: Fraction) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            apart = np.array([int(np.bitwise_count(np.frombuffer(p, np.uint64) ^ np.frombuffer(q, np.uint64)).sum())
-                              for p, q in zip(batch.column("xa").to_pylist(), batch.column("xb").to_pylist(), strict=True)], dtype=np.int64)
+            if not batch.num_rows:
+                continue
+            # Both sketches of a pair are of one band and so of one length.
+            words = pc.binary_length(batch.column("xa")).to_numpy().astype(np.int64) // 8
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64) for c in ("xa", "xb"))
+            apart = np.add.reduceat(np.bitwise_count(x ^ y).astype(np.int64), np.cumsum(words) - words)
             good = pa.array(near_enough(apart, batch.column("na").to_numpy(), batch.column("nb").to_numpy(), threshold))
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good)], names=["a", "b"])
 
@@ -241,7 +249,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: Fraction) -
     return emit(both, "ta", "a bigint, b bigint", make)
 
 
-def compared(nodes: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray,
+def may_meet(i: int, n: np.ndarray, roots: np.ndarray, origin: np.ndarray, bits: np.ndarray, right: np.ndarray, threshold: Fraction) -> np.ndarray:
+    """Those ``right`` nodes of another component in the cluster of node ``i`` whose sketches allow a link with it."""
+    at = right[(roots[right] != roots[i]) & (origin[right] == origin[i]) & near_enough(0, n[right], n[i], threshold)]
+    return at[near_enough(np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1).astype(np.int64), n[at], n[i], threshold)]
+
+
+def compared(nodes: np.ndarray, roots: np.ndarray, origin: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray,
              threshold: Fraction) -> list[tuple[int, int]]:
     """Links between sets of different components, so many as join all components that have one."""
     joined: dict[int, int] = {}
@@ -255,9 +269,7 @@ def compared(nodes: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], left:
     bits = np.stack([check_bits(s, TILE_WORDS) for s in sets])
     found = []
     for i in left.tolist():
-        at = right[(roots[right] != roots[i]) & near_enough(0, n[right], n[i], threshold)]
-        at = at[near_enough(np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1).astype(np.int64), n[at], n[i], threshold)]
-        for j in at.tolist():
+        for j in may_meet(i, n, roots, origin, bits, right, threshold).tolist():
             x, y = find(int(roots[i])), find(int(roots[j]))
             if x != y and jaccard_links(sets[i], sets[j], threshold):
                 joined[max(x, y)] = min(x, y)
@@ -265,51 +277,52 @@ def compared(nodes: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], left:
     return found
 
 
+def _sides(rows: pa.Table) -> tuple:
+    node, root, origin = (rows.column(c).to_numpy() for c in ("node", "root", "origin"))
+    first, second = (np.flatnonzero(rows.column(c).to_numpy(zero_copy_only=False)) for c in ("first", "second"))
+    return node, root, origin, first, second
+
+
+def _candidates(left: DataFrame, threshold: Fraction) -> DataFrame:
+    """``(node)``: the nodes of which some sketch of another component allows a link. ``left``: (cluster, node, root, n, bits)."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        node, root, origin, first, second = _sides(rows)
+        n = rows.column("n").to_numpy()
+        bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint64).reshape(len(n), TILE_WORDS)
+        seen = np.zeros(len(n), bool)
+        for i in first.tolist():
+            at = may_meet(i, n, root, origin, bits, second, threshold)
+            if len(at):
+                seen[i] = seen[at] = True
+        return pa.table({"node": pa.array(node[seen])})
+
+    return tiles.dealt(left, "bits", threshold).groupBy(*tiles.GROUP).applyInArrow(run, "node bigint").distinct()
+
+
 def _tiles(left: DataFrame, threshold: Fraction) -> DataFrame:
-    """Links (a, b) between components of a cluster. ``left``: (cluster, node, root, shingles as bytes).
+    """Links (a, b) between components of a cluster. ``left``: (cluster, node, root, n, s)."""
 
-    Nodes are dealt to tiles by hash; a task holds two tiles at a time, whatever the size of the cluster, and gives back
-    at most one link for each node that it holds.
-    """
-    size = left.groupBy("cluster").agg(F.count("*").alias("m"))
-    dealt = left.join(size, "cluster").withColumn("of", F.ceil(F.col("m") / TILE).cast("int"))
-    dealt = dealt.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("of")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
-    dealt = dealt.select("cluster", F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"), "tile", "node", "root", "s")
+    def run(rows: pa.Table) -> pa.Table:
+        node, root, origin, first, second = _sides(rows)
+        sets = [np.frombuffer(x, np.uint64) for x in rows.column("s").to_pylist()]
+        found = compared(node, root, origin, sets, first, second, threshold)
+        return pa.table({c: pa.array([x[i] for x in found], pa.int64()) for i, c in enumerate("ab")})
 
-    def run(batches):
-        """Groups (cluster, p, q) arrive one after the other; one that a batch cuts is carried into the next."""
-        group = ("cluster", "p", "q")
-
-        def out(batch: pa.RecordBatch) -> pa.RecordBatch:
-            own = np.stack([batch.column(c).to_numpy() for c in group], axis=1)
-            cut = (np.flatnonzero((own[1:] != own[:-1]).any(axis=1)) + 1).tolist()
-            tile, node, root = (batch.column(c).to_numpy() for c in ("tile", "node", "root"))
-            body, found = batch.column("s").to_pylist(), []
-            for a, b in zip([0, *cut], [*cut, len(own)], strict=True):
-                side, sets = tile[a:b], [np.frombuffer(x, np.uint64) for x in body[a:b]]
-                first, second = np.flatnonzero(side == own[a, 1]), np.flatnonzero(side == own[a, 2])
-                if len(first) and len(second):
-                    found += compared(node[a:b], root[a:b], sets, first, second, threshold)
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
-
-        held = None
-        for batch in batches:
-            if held is not None:
-                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-            if not batch.num_rows:
-                continue
-            own = np.stack([batch.column(c).to_numpy() for c in group], axis=1)
-            other = np.flatnonzero((own != own[-1]).any(axis=1))
-            begin = int(other[-1]) + 1 if len(other) else 0
-            held = batch.slice(begin)
-            if begin:
-                yield out(batch.slice(0, begin))
-        if held is not None and held.num_rows:
-            yield out(held)
+    return tiles.dealt(left, "s", threshold).groupBy(*tiles.GROUP).applyInArrow(run, "a bigint, b bigint")
 
-    placed = dealt.repartition("cluster", "p", "q").sortWithinPartitions("cluster", "p", "q")
-    return placed.mapInArrow(run, "a bigint, b bigint")
+
+def _sketches(texts: DataFrame, k: int) -> DataFrame:
+    """``(node, n, bits)``: the size of each node's set and its sketch of fixed length."""
+
+    def make():
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            sets = shingle_sets(batch.column("text"), k)
+            return pa.RecordBatch.from_arrays([batch.column("node"), pa.array([len(s) for s in sets], pa.int64()),
+                                               pa.array([check_bits(s, TILE_WORDS).tobytes() for s in sets], pa.binary())], names=["node", "n", "bits"])
+        return run
+
+    return emit(texts, "text", "node bigint, n bigint, bits binary", make)
 
 
 def _sets(texts: DataFrame, k: int) -> DataFrame:
@@ -324,22 +337,24 @@ def _sets(texts: DataFrame, k: int) -> DataFrame:
     return emit(texts, "text", "node bigint, s binary", make)
 
 
-def components(links: DataFrame) -> DataFrame:
-    """``(a, b)`` links to ``(node, root)``: each linked node and the smallest node of its component.
+def _least(rows: DataFrame) -> DataFrame:
+    """``(u, v)`` rows with ``m``, the smallest ``v`` of each ``u``. A hub's rows are spread over ``SPREAD`` tasks, and only its partial results meet."""
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(SPREAD)))
+    parts = rows.groupBy("u", "part").agg(F.min("v").alias("m"))
+    parts = parts.select("u", "part", F.min("m").over(Window.partitionBy("u")).alias("m"))
+    return rows.join(parts, ["u", "part"]).drop("part")
 
-    Large-star and small-star steps in turn. The smallest neighbour is an aggregate and comes back by a join, so a hub
-    with many links is split like any skewed key.
-    """
+
+def components(links: DataFrame) -> DataFrame:
+    """``(a, b)`` links to ``(node, root)``: each linked node and the smallest node of its component, by large-star and small-star steps in turn."""
     edges = staged(links.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
     while before != (now := tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())):
         before = now
-        both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = staged(small.union(least.select("u", F.col("m").alias("v"))).filter("u != v").distinct())
+        both = _least(edges.union(edges.select("v", "u")))
+        large = both.filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).filter("u != v").distinct()
+        down = _least(large)
+        edges = staged(down.select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", F.col("m").alias("v"))).filter("u != v").distinct())
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
 
 
@@ -376,27 +391,32 @@ def groups(docs: DataFrame, *, k: int = SHINGLE, threshold: Fraction = THRESHOLD
         clusters = components(left.select(F.col("pivot").alias("a"), F.col("node").alias("b"))).withColumnRenamed("root", "cluster")
         nodes_left = left.select("node", "root").distinct().join(clusters, "node")
         texts = released(_texts(own, real, left.select(F.col("node").alias("a"), F.col("node").alias("b"))))
-        more = released(_tiles(released(nodes_left.join(_sets(texts, k), "node")), threshold))
+        sized = released(nodes_left.join(_sketches(texts, k), "node"))
+        some = released(_candidates(sized, threshold))
+        sets = _sets(texts.join(some, "node", "left_semi"), k)
+        more = released(_tiles(released(sized.drop("bits").join(sets, "node")), threshold))
         links = released(links.union(more))
 
-    rooted = _rooted(real.select("node").distinct(), links)
-    named = nodes.join(rooted, "node", "left")
-    least = named.filter("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("component_id"))
-    named = named.join(least, "root", "left")
+    # Per node first, so that only the last join meets all rows of a group of copies, and its other side is a written table.
+    rooted = released(_rooted(real.groupBy("node").agg(F.min("id").alias("least")), links))
+    component = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    component = released(rooted.join(component, "root").select("node", "component_id"))
+    named = nodes.join(component, "node", "left")
     return named.select(F.col("id").alias(id), F.col("n").alias("n_shingles"),
                         F.coalesce("component_id", "id").alias("component_id"), F.col("h").alias("text_hash"))
 
 
 def one_of_each(docs: DataFrame, *, k: int = 5, threshold: Fraction = Fraction(80, 100), id: str = "doc_id",
                 text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their component, all columns kept.
+    """The rows of ``docs`` whose id is the smallest of their component, all columns kept, whatever their names.
 
-    Rows that repeat (equal ids and texts) are one document. Texts without words stay, and so do rows with a null id that are
-    linked to no other id.
+    Rows that repeat (equal ids and texts) are one document; which of them stays, if other columns differ, is the first by all columns.
+    Texts without words stay, and so do rows with a null id that are linked to no other id. An empty table gives no rows.
     """
     found = groups(docs, k=k, threshold=threshold, id=id, text=text)
     keep = found.filter(F.col(id).eqNullSafe(F.col("component_id")))
-    key = [F.coalesce(F.col(id).cast("bigint"), F.lit(-1)).alias("_key"), F.col(id).isNull().alias("_none")]
-    keep = keep.select(*key, F.col("text_hash").alias("_hash")).distinct()
-    marked = docs.select("*", *key, F.xxhash64(text).alias("_hash"))
-    return marked.join(keep, ["_key", "_none", "_hash"], "left_semi").dropDuplicates(["_key", "_none", "_hash"]).select(docs.columns)
+    key = [F.coalesce(F.col(id).cast("bigint"), F.lit(-1)).alias("i"), F.col(id).isNull().alias("none")]
+    keep = keep.select(*key, F.col("text_hash").alias("h")).distinct()
+    marked = docs.select(*key, F.xxhash64(text).alias("h"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    kept = marked.join(keep, ["i", "none", "h"], "left_semi").groupBy("i", "none", "h").agg(F.min("row").alias("row"))
+    return kept.select("row.*")

@@ -6,7 +6,7 @@ from fractions import Fraction
 import numpy as np
 import pytest
 
-from sojourn.llm import minhash
+from sojourn.llm import minhash, tiles
 from tests.llm import rules
 
 
@@ -26,7 +26,7 @@ def family(prose, n, edits, seed, pool=40, first=100):
 
 
 def test_matches_needed():
-    assert minhash.matches_needed(64, Fraction(80, 100)) == 28
+    assert minhash.matches_needed(64, Fraction(80, 100)) == 30
     assert minhash.matches_needed(4, Fraction(80, 100)) == 1 and minhash.matches_needed(64, Fraction(1)) == 64
 
 
@@ -58,7 +58,7 @@ def test_groups_equal_brute_force(documents, odd_texts, prose, k, percent):
 
 @pytest.mark.parametrize("tile", [16, 4096])
 def test_large_family_of_borderline_copies(documents, prose, monkeypatch, tile):
-    monkeypatch.setattr(minhash, "TILE", tile)
+    monkeypatch.setattr(tiles.dealt, "__defaults__", (tile, tiles.TILE_BYTES))
     rows = family(prose, 220, [3, 4, 5, 6, 7], 70) + family(prose, 60, [2, 9], 71, first=600)
     rows += [(800 + i, t + " " + " ".join(f"x{i}y{j}" for j in range(i % 40))) for i, (_, t) in enumerate(rows[:80])]  # sizes that differ
     assert found(documents(rows)) == rules.jaccard_groups(rows, 4, 80)

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sojourn.llm import decontaminate, packing, similar, substrings, warc, words
+from sojourn.llm import decontaminate, packing, similar, substrings, tiles, warc, words
 from sojourn.llm.queries import tokenizer_path
 from tests.llm import rules
 
@@ -43,7 +43,7 @@ def test_groups_equal_brute_force(documents, odd_texts, prose, k, percent):
 
 
 def test_large_group_of_borderline_copies(documents, prose, monkeypatch):
-    monkeypatch.setattr(similar, "TILE", 16)
+    monkeypatch.setattr(tiles.dealt, "__defaults__", (16, tiles.TILE_BYTES))
     base, rng = prose(70, 120).split(" "), random.Random(5)
     rows = []
     for i in range(150):
