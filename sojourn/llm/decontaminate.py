@@ -8,7 +8,7 @@ The items are dealt into blocks of bounded size; each block is broadcast and sea
 with the hits so far carried along. Documents are never shuffled.
 
 Nulls and texts without words have no words, hence no hits and no windows. Repeated items each count under their own id
-(equal ids count once). Rows that repeat are searched each. Empty tables give empty results or no hits. A column of
+(equal ids count once); items without an id are searched for and hit, but are no items by name. Rows that repeat are searched each. Empty tables give empty results or no hits. A column of
 ``docs`` that is named like the result is replaced.
 """
 
@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sojourn.llm.stages import fresh
 from sojourn.llm.words import ALNUM, attach, bounds, lower_ascii, ngram_hashes, raw, word_hashes
 from sojourn.operators.staging import staged_table
 
@@ -90,7 +91,7 @@ def tables(items: list[tuple[str, str | None]], size: int) -> list[Patterns]:
 
 
 def _pass(docs: DataFrame, items, size: int, text: str, out: str, before: bool) -> DataFrame:
-    carried = f"{out}_before"
+    carried = fresh(f"{out}_before", docs)
     if before:
         docs = docs.withColumnRenamed(out, carried)
 
@@ -113,7 +114,7 @@ def _pass(docs: DataFrame, items, size: int, text: str, out: str, before: bool)
                         found[k].update(owners)
             rows = []
             for k in range(len(texts)):
-                own, names = hit[first[k]:first[k + 1]], sorted(found[k])
+                own, names = hit[first[k]:first[k + 1]], sorted(found[k] - {None})
                 rows.append({"n_words": len(own), "n_hit": int(own.sum()), "n_items": len(names), "items": names,
                              "items_sha256": hashlib.sha256(",".join(names).encode()).hexdigest(),
                              "contaminated": bool(own.any()), "hits": np.packbits(own).tobytes() if own.any() else b""})
@@ -156,7 +157,7 @@ def search(docs: DataFrame, items: DataFrame, *, size: int = WINDOW, text: str =
            item_text: str = "text", out: str = "match", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with a struct ``out``: words, hit words (count and bit map), items that occur, and whether any does."""
     spark = docs.sparkSession
-    items = items.select(F.col(item).cast("string").alias("i"), F.col(item_text).alias("t")).filter("i IS NOT NULL")
+    items = items.select(F.col(item).cast("string").alias("i"), F.col(item_text).alias("t"))
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = int(total // block_bytes) + 1
     for k in range(blocks):

@@ -50,7 +50,7 @@ pat AS (SELECT DISTINCT item, n, array_to_string(w[i:i + n - 1], ' ') AS p FROM
 win AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS p FROM d, (SELECT DISTINCT n FROM pat) l, unnest(range(1, len(w) - n + 2)) t(i)),
 hit AS (SELECT doc_id, i, pat.n, item FROM win JOIN pat USING (n, p)),
 pos AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM hit, unnest(range(i, i + n)) u(k) GROUP BY ALL),
-its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY ALL)
+its AS (SELECT doc_id, count(item) AS n_items, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY ALL)
 SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)"""
 

@@ -215,7 +215,7 @@ def score(docs: DataFrame, training: DataFrame, *, id: str = "doc_id", text: str
     parts = Lexicon.of(counts)
     parts |= {"table": train(triples(training.select(F.col(text).alias("text")), parts))}
     shared = docs.sparkSession.sparkContext.broadcast(parts)
-    own = docs.select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("text"), F.pmod(F.xxhash64(text), F.lit(1 << 15)).cast("smallint").alias("tag"))
+    own = docs.select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("tag"))
 
     def make():
         known = Lexicon(shared.value)
@@ -262,7 +262,7 @@ def score(docs: DataFrame, training: DataFrame, *, id: str = "doc_id", text: str
                 names=["id", "tag", "h", "times", "n", "seen", "base", "model"])
         return run
 
-    rows = emit(own, "text", "id bigint, tag smallint, h bigint, times int, n bigint, seen double, base double, model double", make)
+    rows = emit(own, "text", "id bigint, tag bigint, h bigint, times int, n bigint, seen double, base double, model double", make)
     # A text's own row has times = 0 and a hash that only spreads it; it takes no count.
     rare = counts.filter(F.col("kind") >= 0).select(F.col("h").alias("word"), "c")
     joined = rows.join(rare, (F.col("h") == F.col("word")) & (F.col("times") > 0), "left")

@@ -1,4 +1,4 @@
-"""Staging that gives the disk of finished shuffles back."""
+"""Staging that gives the disk of finished shuffles back, and names for carried columns."""
 
 from __future__ import annotations
 
@@ -19,3 +19,11 @@ def released(df: DataFrame) -> DataFrame:
     gc.collect()
     df.sparkSession._jvm.System.gc()
     return table
+
+
+def fresh(name: str, df: DataFrame) -> str:
+    """``name``, with underscores in front while ``df`` has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

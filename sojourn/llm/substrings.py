@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sojourn.llm.stages import released
+from sojourn.llm.stages import fresh, released
 from sojourn.llm.words import SPACED, attach_rows, bounds, emit, ngram_hashes, raw, word_hashes
 
 WINDOW = 50
@@ -130,8 +130,11 @@ def duplicate_blocks(docs: DataFrame, *, window: int = WINDOW, id: str = "doc_id
 
     rows = _anchor_rows(own, window, seed)
     shared = rows.groupBy("seed").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a < b").select("seed")
+    shared = released(shared)  # read from a table, the join can split a seed that many texts hold
     near = rows.select("seed", "id", "pos").join(shared, "seed").select("id", "pos")
-    near = near.join(copies.select("id").distinct(), "id", "left_anti")
+    # Of an id with several texts only the copied one is done with.
+    tag = F.shiftright("pos", 32).alias("tag")
+    near = near.select("*", tag).join(copies.select("id", tag), ["id", "tag"], "left_anti")
     at = near.groupBy("id").agg(F.collect_list("pos").alias("at"))
     blocks = released(_block_rows(own.select("id", "h", "text").join(at, "id").select("id", "h", "text", "at"), window, seed))
 
@@ -149,15 +152,15 @@ def parse(docs: DataFrame, *, window: int = WINDOW, id: str = "doc_id", text: st
           out: str = "parsed") -> DataFrame:
     """``docs`` with a struct ``out``: words, removed words, duplicate spans (first word, end), kept words and their digest."""
     docs = docs.drop(out)
-    found = duplicate_blocks(docs, window=window, id=id, text=text, seed=seed).select(
-        F.col("id").alias(f"{out}_id"), F.col("at").alias(f"{out}_at"))
-    joined = docs.join(found, docs[id].cast("bigint") == F.col(f"{out}_id"), "left").drop(f"{out}_id")
-    joined = joined.withColumn(f"{out}_h", F.xxhash64(text).bitwiseAND(F.lit((1 << TAG) - 1)))
+    key, begins_, tag_ = (fresh(f"{out}_{c}", docs) for c in ("id", "at", "tag"))
+    found = duplicate_blocks(docs, window=window, id=id, text=text, seed=seed).select(F.col("id").alias(key), F.col("at").alias(begins_))
+    joined = docs.join(found, docs[id].cast("bigint") == F.col(key), "left").drop(key)
+    joined = joined.withColumn(tag_, F.xxhash64(text).bitwiseAND(F.lit((1 << TAG) - 1)))
     schema = joined.schema
 
     def make():
         def run(row: pa.StructArray) -> pa.Array:
-            at, tags = row.field(f"{out}_at").to_pylist(), row.field(f"{out}_h").to_pylist()
+            at, tags = row.field(begins_).to_pylist(), row.field(tag_).to_pylist()
             done = []
             for body, begins, tag in zip(row.field(text), at, tags, strict=True):
                 words = (body.as_py() or "").encode().split()
@@ -177,7 +180,7 @@ def parse(docs: DataFrame, *, window: int = WINDOW, id: str = "doc_id", text: st
                                                   ("kept", pa.string()), ("kept_sha256", pa.string())]))
         return run
 
-    return attach_rows(joined, text, out, RESULT, make, drop=[f"{out}_at", f"{out}_h"])
+    return attach_rows(joined, text, out, RESULT, make, drop=[begins_, tag_])
 
 
 def without_duplicates(docs: DataFrame, *, window: int = WINDOW, id: str = "doc_id", text: str = "text", size: str | None = "n_chars") -> DataFrame:
@@ -185,10 +188,11 @@ def without_duplicates(docs: DataFrame, *, window: int = WINDOW, id: str = "doc_
 
     Texts that lose nothing stay as they are, to the character.
     """
-    out = parse(docs, window=window, id=id, text=text, out="_parsed")
-    out = out.filter("_parsed.n_removed = 0 OR _parsed.n_removed < _parsed.n_words")
-    cut = F.col("_parsed.n_removed") > 0
-    columns = {text: F.when(cut, F.col("_parsed.kept")).otherwise(F.col(text))}
+    own = fresh("parsed", docs)
+    out = parse(docs, window=window, id=id, text=text, out=own)
+    out = out.filter(f"{own}.n_removed = 0 OR {own}.n_removed < {own}.n_words")
+    cut = F.col(f"{own}.n_removed") > 0
+    columns = {text: F.when(cut, F.col(f"{own}.kept")).otherwise(F.col(text))}
     if size in docs.columns:
-        columns[size] = F.when(cut, F.length("_parsed.kept").cast(docs.schema[size].dataType)).otherwise(F.col(size))
+        columns[size] = F.when(cut, F.length(f"{own}.kept").cast(docs.schema[size].dataType)).otherwise(F.col(size))
     return out.withColumns(columns).select(docs.columns)

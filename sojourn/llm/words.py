@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
 SLICE_BYTES = 4 << 20
-HASH_SPAN = 4 << 20
+HASH_SPAN = 1 << 20
 _PRIME = 0x9E3779B97F4A7C15
 
 
@@ -41,10 +41,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def byte_values() -> np.ndarray:
-    return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_PRIME))
-
-
 def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a string array and the offsets of its values; nulls are empty."""
     if texts.null_count:
@@ -76,26 +72,31 @@ def bounds(data: np.ndarray, offsets: np.ndarray, flags: np.ndarray) -> tuple[np
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def _letters(position: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    return mix((((position << 8) | byte) + 1).astype(np.uint64) * np.uint64(_PRIME))
+
+
+#: A random value for each byte at each of the first positions of a word.
+_TABLE = _letters(np.arange(64)[:, None], np.arange(256)[None]).ravel()
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word; equal words have equal hashes in every text, batch and task."""
-    out = np.empty(len(starts), dtype=np.uint64)
-    values, done = byte_values(), 0
-    inverse = np.uint64(pow(_PRIME, -1, 1 << 64))
+    """A 64-bit hash of each word; equal words have equal hashes in every text, batch and task.
+
+    The sum of random values, one for each pair of position and byte: no polynomial, so no pattern of letters makes words collide.
+    """
+    out, size = np.empty(len(starts), dtype=np.uint64), ends - starts
+    upto, done = np.concatenate([[0], np.cumsum(size)]), 0
     while done < len(starts):
-        upto = max(done + 1, int(np.searchsorted(ends, starts[done] + HASH_SPAN)))
-        a, b = int(starts[done]), int(ends[upto - 1])
-        power = np.full(b - a, np.uint64(_PRIME))
-        power[0] = 1
-        np.multiply.accumulate(power, out=power)
-        total = np.zeros(b - a + 1, dtype=np.uint64)
-        np.cumsum(values[data[a:b]] * power, out=total[1:])
-        back = np.full(b - a, inverse)
-        back[0] = 1
-        np.multiply.accumulate(back, out=back)
-        s, e = starts[done:upto] - a, ends[done:upto] - a
-        out[done:upto] = mix((total[e] - total[s]) * back[s] + (e - s).astype(np.uint64))
-        done = upto
-    return out
+        last = max(done + 1, int(np.searchsorted(upto, upto[done] + HASH_SPAN, side="right")) - 1)
+        own, begin = size[done:last], upto[done:last] - upto[done]
+        at = np.arange(int(upto[last] - upto[done]))
+        byte = data[at + np.repeat(starts[done:last] - begin, own)]
+        position = at - np.repeat(begin, own)
+        values = _TABLE[(position << 8) | byte] if own.max() <= 64 else _letters(position, byte)
+        out[done:last] = np.add.reduceat(values, begin)
+        done = last
+    return mix(out + size.astype(np.uint64) * np.uint64(_PRIME))
 
 
 def ngram_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
