@@ -10,14 +10,16 @@ from pyspark.sql import functions as F
 
 from sojourn.llm import decontaminate, languages, packing, similar, substrings
 from sojourn.llm.queries import tokenizer_path
+from sojourn.llm.stages import fresh
 from sojourn.operators.staging import staged_table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; the model learns from the rows outside the held-out fold."""
     train = docs.filter(F.col("doc_id").isNotNull() & ~languages.holdout(F.col("doc_id"), 5, 0))
-    found = languages.identify(docs, languages.learn(train), out="_found")
-    return found.filter(F.col("_found.lang") != languages.UNKNOWN).select(docs.columns)
+    name = fresh("found", docs)
+    found = languages.identify(docs, languages.learn(train), out=name)
+    return found.filter(F.col(f"{name}.lang") != languages.UNKNOWN).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +34,9 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
-    found = decontaminate.search(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), out="_match")
-    return found.filter(~F.col("_match.contaminated")).select(docs.columns)
+    name = fresh("match", docs)
+    found = decontaminate.search(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), out=name)
+    return found.filter(~F.col(f"{name}.contaminated")).select(docs.columns)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
