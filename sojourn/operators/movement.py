@@ -13,16 +13,16 @@ from sojourn.operators.selection import SUBJECT, movement_points
 TRACK = ("ts_sec", "lat", "lng")
 _KM = geo.haversine_sql("prev_lat", "prev_lng", "lat", "lng") + " / 1000"
 _DT = "(ts_sec - prev_ts_sec)"
-_BREAKS = f"{_DT} > 0 AND ({_DT} > {JOURNEY_GAP_SEC} OR {_KM} / ({_DT} / 3600) < {STATIONARY_KMH}D)"
+JOURNEY_BREAKS = f"{_DT} > 0 AND ({_DT} > {JOURNEY_GAP_SEC} OR {_KM} / ({_DT} / 3600) < {STATIONARY_KMH}D)"
 
 
 def track(points: DataFrame, keys: Keys = SUBJECT, chunk_sec: int | None = None) -> DataFrame:
     """Movement points in time order with their predecessor and the number of journey breaks so far."""
     moving = movement_points(points, keys, chunk_sec).select(*keys, CHUNK, "ord", *TRACK)
-    return scan(moving, keys, TRACK, {"journey_no": _BREAKS})
+    return scan(moving, keys, TRACK, {"journey_no": JOURNEY_BREAKS})
 
 
-def _measured(tracked: DataFrame) -> DataFrame:
+def measured(tracked: DataFrame) -> DataFrame:
     """Adds time, distance and speed since the previous point (NULL without time between them)."""
     return (tracked.withColumn("dt_sec", F.expr(_DT))
             .withColumn("km", F.expr(f"if(dt_sec > 0, {_KM}, NULL)"))
@@ -35,15 +35,15 @@ def legs(points: DataFrame, keys: Keys = SUBJECT, chunk_sec: int | None = None)
 
 
 def legs_of(tracked: DataFrame, keys: Keys = SUBJECT) -> DataFrame:
-    measured = _measured(tracked).filter("dt_sec > 0")
-    return measured.select(
+    rows = measured(tracked).filter("dt_sec > 0")
+    return rows.select(
         *keys, "ord", "ts_sec", "dt_sec", "km", "kmh", geo.plausible("kmh").alias("counted"),
         calendar.utc_day("ts_sec").alias("day"), geo.speed_mode("kmh").alias("mode"))
 
 
 def gap_flags(points: DataFrame, keys: Keys = SUBJECT, chunk_sec: int | None = None) -> DataFrame:
     """Why the track breaks at a point (time gap, standing still, implausible jump), and its journey number."""
-    m = _measured(track(points, keys, chunk_sec))
+    m = measured(track(points, keys, chunk_sec))
     moved = F.coalesce(F.col("dt_sec") > 0, F.lit(False))
     return m.select(
         *keys, "ord", "ts_sec",
@@ -60,8 +60,12 @@ def speed_mode_km(leg_rows: DataFrame, keys: Keys = SUBJECT) -> DataFrame:
 def activities_or_heuristic(points: DataFrame, activities: DataFrame, keys: Keys = SUBJECT,
                             leg_rows: DataFrame | None = None) -> DataFrame:
     """km per mode and key: the stated activity distances where a key has any, else speed classes."""
+    return stated_or(speed_mode_km(legs(points, keys) if leg_rows is None else leg_rows, keys), activities, keys)
+
+
+def stated_or(guessed: DataFrame, activities: DataFrame, keys: Keys = SUBJECT) -> DataFrame:
+    """km per mode and key: stated where the key has activities, else guessed."""
     stated = activities.groupBy(*keys, "mode").agg((F.sum("distance_m") / 1000).alias("km"))
-    guessed = speed_mode_km(legs(points, keys) if leg_rows is None else leg_rows, keys)
     guessed = guessed.join(stated.select(*keys).distinct(), list(keys), "left_anti")
     return (stated.withColumn("labelled", F.lit(True))
             .unionByName(guessed.withColumn("labelled", F.lit(False))))
@@ -71,7 +75,16 @@ def km_by_mode(points: DataFrame, activities: DataFrame, keys: Keys = SUBJECT,
                leg_rows: DataFrame | None = None) -> DataFrame:
     """Four rows per key that has points or activities, zeros kept, with the provenance flag."""
     totals = activities_or_heuristic(points, activities, keys, leg_rows)
-    known = (points.select(*keys).unionByName(activities.select(*keys)).distinct()
+    return _all_modes(points.select(*keys), activities, totals, keys)
+
+
+def km_by_mode_of(present: DataFrame, activities: DataFrame, guessed: DataFrame, keys: Keys = SUBJECT) -> DataFrame:
+    """The same from the keys that have points and their km by speed class."""
+    return _all_modes(present.select(*keys), activities, stated_or(guessed, activities, keys), keys)
+
+
+def _all_modes(present: DataFrame, activities: DataFrame, totals: DataFrame, keys: Keys) -> DataFrame:
+    known = (present.unionByName(activities.select(*keys)).distinct()
              .join(activities.select(*keys, F.lit(True).alias("labelled")).distinct(), list(keys), "left"))
     grid = known.select(*keys, F.coalesce("labelled", F.lit(False)).alias("labelled"),
                         F.explode(F.array(*[F.lit(m) for m in MODES])).alias("mode"))
@@ -95,7 +108,7 @@ def farthest_day(day_km: DataFrame, keys: Keys = SUBJECT) -> DataFrame:
 
 def journeys_of(tracked: DataFrame, keys: Keys = SUBJECT) -> DataFrame:
     counted = (F.col("kmh") >= STATIONARY_KMH) & (F.col("kmh") <= PLAUSIBLE_MAX_KMH)
-    return (_measured(tracked).groupBy(*keys, "journey_no")
+    return (measured(tracked).groupBy(*keys, "journey_no")
             .agg(F.min("ts_sec").alias("start_sec"), F.max("ts_sec").alias("end_sec"),
                  F.sum(F.when(counted, F.col("km"))).alias("km"))
             .filter("km > 0")

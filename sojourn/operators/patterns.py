@@ -38,25 +38,38 @@ def footprint_month(points: DataFrame, keys: Keys = SUBJECT, chunk_sec: int | No
             .drop("_e_lat", "_e_lng"))
 
 
+def with_grid(boxes: DataFrame) -> DataFrame:
+    """Adds the grid of a bounding box (``lat0, lat1, lng0, lng1``): ``size`` of its cells, ``grid_cols`` and ``grid_rows``."""
+    boxed = boxes.withColumns({"lat_span": F.greatest(F.col("lat1") - F.col("lat0"), F.lit(MIN_SPAN_DEG)),
+                               "lng_span": F.greatest(F.col("lng1") - F.col("lng0"), F.lit(MIN_SPAN_DEG))})
+    boxed = boxed.withColumn("size", F.greatest("lat_span", "lng_span") / COVERAGE_CELLS_ACROSS)
+    return boxed.withColumns({"grid_cols": F.greatest(F.lit(1), F.ceil(F.col("lng_span") / F.col("size"))).cast("int"),
+                              "grid_rows": F.greatest(F.lit(1), F.ceil(F.col("lat_span") / F.col("size"))).cast("int")}).drop("lat_span", "lng_span")
+
+
+def grid_row(lat, lat0, size, grid_rows):
+    return F.least(F.floor((lat - lat0) / size), grid_rows - 1).cast("int")
+
+
 def _visited_cells(points: DataFrame, keys: Keys, chunk_sec: int | None) -> DataFrame:
     """Distinct visited (row, col) per key together with the grid's size."""
     chunked = with_time_chunk(points, keys, chunk_sec).select(*keys, CHUNK, "lat", "lng")
-    boxed = attach_totals(chunked, keys, lat0=(F.min("lat"), F.min), lat1=(F.max("lat"), F.max),
-                          lng0=(F.min("lng"), F.min), lng1=(F.max("lng"), F.max))
-    boxed = boxed.withColumns({"lat_span": F.greatest(F.col("lat1") - F.col("lat0"), F.lit(MIN_SPAN_DEG)),
-                               "lng_span": F.greatest(F.col("lng1") - F.col("lng0"), F.lit(MIN_SPAN_DEG))})
-    boxed = boxed.withColumn("size", F.greatest("lat_span", "lng_span") / COVERAGE_CELLS_ACROSS)
-    boxed = boxed.withColumns({"grid_cols": F.greatest(F.lit(1), F.ceil(F.col("lng_span") / F.col("size"))).cast("int"),
-                               "grid_rows": F.greatest(F.lit(1), F.ceil(F.col("lat_span") / F.col("size"))).cast("int")})
-    row = F.least(F.floor((F.col("lat") - F.col("lat0")) / F.col("size")), F.col("grid_rows") - 1).cast("int")
-    col = F.least(F.floor((F.col("lng") - F.col("lng0")) / F.col("size")), F.col("grid_cols") - 1).cast("int")
+    boxed = with_grid(attach_totals(chunked, keys, lat0=(F.min("lat"), F.min), lat1=(F.max("lat"), F.max),
+                                    lng0=(F.min("lng"), F.min), lng1=(F.max("lng"), F.max)))
+    row = grid_row(F.col("lat"), F.col("lat0"), F.col("size"), F.col("grid_rows"))
+    col = grid_row(F.col("lng"), F.col("lng0"), F.col("size"), F.col("grid_cols"))
     return boxed.select(*keys, "grid_cols", "grid_rows", row.alias("row"), col.alias("col")).distinct()
 
 
 def coverage(points: DataFrame, keys: Keys = SUBJECT, chunk_sec: int | None = None) -> DataFrame:
     """Visited and total cells of a grid 18 cells across the history's bounding box."""
+    return coverage_of(_visited_cells(points, keys, chunk_sec), keys)
+
+
+def coverage_of(cells: DataFrame, keys: Keys = SUBJECT) -> DataFrame:
+    """The same from the distinct visited cells."""
     total = F.max(F.col("grid_cols") * F.col("grid_rows"))
-    return _visited_cells(points, keys, chunk_sec).groupBy(*keys).agg(
+    return cells.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("visited_cells"), total.alias("total_cells"),
         (F.count(F.lit(1)) / total).alias("coverage_ratio"),
         F.max("grid_cols").alias("grid_cols"), F.max("grid_rows").alias("grid_rows"))
@@ -81,8 +94,8 @@ def coverage_array(grid: DataFrame, keys: Keys = SUBJECT) -> DataFrame:
     return grid.groupBy(*keys).agg(F.transform(cells, lambda c: c["visited"]).alias("visited"))
 
 
-def _counts_over(points: DataFrame, keys: Keys, bucket, name: str, size: int) -> DataFrame:
-    counts = points.groupBy(*keys, bucket.alias(name)).agg(F.count(F.lit(1)).alias("cnt"))
+def dense_counts(counts: DataFrame, keys: Keys, name: str, size: int) -> DataFrame:
+    """``(keys, name, cnt)`` with all slots 0 to ``size`` - 1 of each key."""
     found = counts.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(name, "cnt"))).alias("_m"))
     slots = F.array(*[F.lit(i) for i in range(size)])
     return (found.select(*keys, "_m", F.explode(slots).alias(name))
@@ -91,18 +104,25 @@ def _counts_over(points: DataFrame, keys: Keys, bucket, name: str, size: int) ->
 
 def time_by_hour(points: DataFrame, keys: Keys = SUBJECT, tz: str = "UTC") -> DataFrame:
     """Points per local hour; all 24 hours are present."""
-    return _counts_over(points, keys, calendar.local_hour("ts_sec", tz), "hour", 24)
+    counts = points.groupBy(*keys, calendar.local_hour("ts_sec", tz).alias("hour")).agg(F.count(F.lit(1)).alias("cnt"))
+    return dense_counts(counts, keys, "hour", 24)
 
 
 def time_by_weekday(points: DataFrame, keys: Keys = SUBJECT, tz: str = "UTC") -> DataFrame:
     """Points per local weekday, Monday first; all seven are present."""
-    return _counts_over(points, keys, calendar.local_weekday("ts_sec", tz), "weekday", 7)
+    counts = points.groupBy(*keys, calendar.local_weekday("ts_sec", tz).alias("weekday")).agg(F.count(F.lit(1)).alias("cnt"))
+    return dense_counts(counts, keys, "weekday", 7)
 
 
 def busiest(points: DataFrame, keys: Keys = SUBJECT, tz: str = "UTC") -> DataFrame:
     """Busiest hour and weekday; the lowest index wins ties. One count per (weekday, hour) serves both."""
     slots = points.groupBy(*keys, calendar.local_weekday("ts_sec", tz).alias("weekday"),
                            calendar.local_hour("ts_sec", tz).alias("hour")).agg(F.count(F.lit(1)).alias("cnt"))
+    return busiest_of(slots, keys)
+
+
+def busiest_of(slots: DataFrame, keys: Keys = SUBJECT) -> DataFrame:
+    """The same from counts (``cnt``) by weekday and hour."""
 
     def top(slot):
         per_slot = slots.groupBy(*keys, slot).agg(F.sum("cnt").alias("cnt"))

@@ -69,6 +69,18 @@ def stay_points(points: DataFrame, keys: Keys = SUBJECT, radius_m: float = STAY_
                 max_gap_sec: int = STAY_MAX_GAP_SEC, chunk_sec: int | None = None, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """Stays per key: ``sid`` (0-based, by start), span, centroid, number of points, label."""
     rows = staged_table(islands(points, keys, radius_m, min_sec, max_gap_sec, chunk_sec))
+    return numbered(stays_of_islands(rows, keys, radius_m, min_sec, piece_rows), keys)
+
+
+def numbered(stays: DataFrame, keys: Keys) -> DataFrame:
+    # Stays are disjoint and at least min_sec long: a key has at most (its span / min_sec) of them.
+    by_start = Window.partitionBy(*keys).orderBy("start_sec")
+    return stays.withColumn("sid", (F.row_number().over(by_start) - 1).cast("bigint"))
+
+
+def stays_of_islands(rows: DataFrame, keys: Keys, radius_m: float = STAY_RADIUS_M, min_sec: int = STAY_MIN_SEC,
+                     piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """Stays of rows with their ``island``, ``pos`` and chunk, a written table; the positions of an island are consecutive."""
     per_island = rows.groupBy(*keys, "island").agg(
         F.min("ts_sec").alias("start_sec"), F.max("ts_sec").alias("end_sec"),
         F.avg("lat").alias("lat"), F.avg("lng").alias("lng"), F.count(F.lit(1)).alias("point_count"),
@@ -92,7 +104,7 @@ def stay_points(points: DataFrame, keys: Keys = SUBJECT, radius_m: float = STAY_
 
     rest = of(per_island.filter(~compact & ~long)).drop("first_pos", "last_pos")
     rest = rest.repartition(*keys, "island").sortWithinPartitions(*keys, "island", "pos")
-    key_fields = [f"{f.name} {f.dataType.simpleString()}" for f in points.schema if f.name in keys]
+    key_fields = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in keys]
     key_fields.sort(key=lambda s: list(keys).index(s.split()[0]))
     walked = rest.mapInArrow(anchor_scan(list(keys), radius_m, min_sec), ", ".join([*key_fields, STAY]))
 
@@ -100,6 +112,4 @@ def stay_points(points: DataFrame, keys: Keys = SUBJECT, radius_m: float = STAY_
     many = per_island.filter(~compact & long)
     if not many.isEmpty():
         stays = stays.unionByName(speculative_stays(of(many), keys, radius_m, min_sec, piece_rows))
-    # Stays are disjoint and at least min_sec long: a key has at most (its span / min_sec) of them.
-    by_start = Window.partitionBy(*keys).orderBy("start_sec")
-    return stays.withColumn("sid", (F.row_number().over(by_start) - 1).cast("bigint"))
+    return stays

@@ -77,7 +77,7 @@ cte("journeys", """SELECT subject_id, min(ts_sec) AS start_sec, max(ts_sec) AS e
     HAVING sum(km) FILTER (kmh >= 1.5 AND kmh <= 200) > 0""", "jrow")
 cte("mode_km", """SELECT s.subject_id, m.mode, coalesce(a.km, CASE WHEN l.subject_id IS NULL THEN h.km END, 0) AS km,
            l.subject_id IS NOT NULL AS labelled
-    FROM (SELECT DISTINCT subject_id FROM points) s
+    FROM (SELECT subject_id FROM points UNION SELECT subject_id FROM activities) s
     CROSS JOIN (SELECT unnest(['walk', 'transit', 'drive', 'other']) AS mode) m
     LEFT JOIN (SELECT DISTINCT subject_id FROM activities) l ON l.subject_id = s.subject_id
     LEFT JOIN (SELECT subject_id, mode, sum(distance_m) / 1000 AS km FROM activities GROUP BY ALL) a
