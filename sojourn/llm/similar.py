@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sojourn.llm import tiles
-from sojourn.llm.stages import released
+from sojourn.llm.stages import discard, released, sweep
 from sojourn.llm.words import SPACED, bounds, emit, lower_ascii, mix, ngram_hashes, raw, word_hashes
 from sojourn.operators.staging import staged
 
@@ -345,16 +345,22 @@ def _least(rows: DataFrame) -> DataFrame:
     return rows.join(parts, ["u", "part"]).drop("part")
 
 
+def _stars(edges: DataFrame) -> bool:
+    """True when every node points to one root and no root points anywhere."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(edges.select("v", F.lit(0), F.lit(1)))
+    nodes = ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return nodes.filter("down > 1 OR (down = 1 AND up = 1)").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """``(a, b)`` links to ``(node, root)``: each linked node and the smallest node of its component, by large-star and small-star steps in turn."""
     edges = staged(links.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
-    while before != (now := tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())):
-        before = now
+    while not _stars(edges):
         both = _least(edges.union(edges.select("v", "u")))
         large = both.filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).filter("u != v").distinct()
         down = _least(large)
         edges = staged(down.select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", F.col("m").alias("v"))).filter("u != v").distinct())
+        sweep(edges)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
 
 
@@ -377,25 +383,30 @@ def groups(docs: DataFrame, *, k: int = SHINGLE, threshold: Fraction = THRESHOLD
     bits = released(bits.dropDuplicates(["node", "band"]))
     members = released(_members(_keys(own.filter("text IS NOT NULL"), k, threshold)))
 
-    pairs = members.select(F.col("pivot").alias("a"), F.col("node").alias("b"), "band").distinct()
+    pairs = released(members.select(F.col("pivot").alias("a"), F.col("node").alias("b"), "band").distinct())
     near = released(_near(pairs, bits, threshold))
-    links = released(_verified(near, released(_texts(own, real, near)), k, threshold))
-
-    # Sets that share a key and are still apart: clusters of them, by shared keys, are compared in tiles.
-    held = members.select("key", "node", "pivot").union(members.select("key", F.col("pivot").alias("node"), "pivot")).distinct()
-    held = _rooted(held, links)
-    apart = held.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("m"))
-    apart = apart.filter("x < y AND m > 2").select("key")
-    left = released(held.join(apart, "key").select("node", "root", "pivot").distinct())
+    texts = released(_texts(own, real, pairs))
+    links = released(_verified(near, texts, k, threshold))
+    discard(bits, near)
+
+    # Keys of which some set is still apart from the smallest: clusters of their sets, by shared keys, are compared in tiles.
+    some = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    roots = released(_rooted(some, links))
+    of = [roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab"]
+    apart = pairs.select("a", "b").distinct().join(of[0], "a").join(of[1], "b").filter("ra != rb")
+    apart = released(apart.select(F.col("a").alias("pivot"), F.col("b").alias("node"), F.lit(1).alias("apart")))
+    keys = members.join(apart, ["pivot", "node"], "left").groupBy("key").agg(F.max("apart").alias("apart"), F.count("*").alias("m"))
+    keys = keys.filter("apart = 1 AND m > 1").select("key")
+    left = released(members.join(keys, "key").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
+    discard(members, apart)
     if not left.isEmpty():
-        clusters = components(left.select(F.col("pivot").alias("a"), F.col("node").alias("b"))).withColumnRenamed("root", "cluster")
-        nodes_left = left.select("node", "root").distinct().join(clusters, "node")
-        texts = released(_texts(own, real, left.select(F.col("node").alias("a"), F.col("node").alias("b"))))
-        sized = released(nodes_left.join(_sketches(texts, k), "node"))
+        clusters = components(left).withColumnRenamed("root", "cluster")
+        sized = released(clusters.join(roots, "node").join(_sketches(texts.join(clusters.select("node"), "node", "left_semi"), k), "node"))
         some = released(_candidates(sized, threshold))
         sets = _sets(texts.join(some, "node", "left_semi"), k)
         more = released(_tiles(released(sized.drop("bits").join(sets, "node")), threshold))
         links = released(links.union(more))
+    discard(texts, pairs)
 
     # Per node first, so that only the last join meets all rows of a group of copies, and its other side is a written table.
     rooted = released(_rooted(real.groupBy("node").agg(F.min("id").alias("least")), links))

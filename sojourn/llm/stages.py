@@ -16,9 +16,23 @@ def released(df: DataFrame) -> DataFrame:
     hold them all at once; collecting garbage after each step lets Spark's cleaner delete them.
     """
     table = staged_table(df)
+    sweep(df)
+    return table
+
+
+def sweep(df: DataFrame) -> None:
+    """Lets Spark's cleaner see which plans are gone."""
     gc.collect()
     df.sparkSession._jvm.System.gc()
-    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of released tables that nothing unwritten reads any more."""
+    for table in tables:
+        if files := table.inputFiles():
+            jvm = table.sparkSession._jvm
+            folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            folder.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def fresh(name: str, df: DataFrame) -> str:
