@@ -1,11 +1,9 @@
 """Density clustering on the sphere: cell joins for neighbours, grid contraction for clusters.
 
-A cell's diagonal is at most eps, so a cell with enough weight is all core and one connected node. Pairs inside such a
-cell are never formed; what is left is linear in the number of points:
-
-* points of thin cells (fewer than ``min_pts`` each) meet the points of their surrounding cells;
-* full cells meet full cells through bounding boxes, then through the boxes of 16 x 16 sub-cells, and only sub-cells
-  whose distance straddles eps are compared point by point.
+A cell's diagonal is at most eps, so its core points are one connected node, and a cell with enough weight is all core. No pairs
+inside a cell are formed, whatever its points weigh, and pairs of cells are settled by a descent through boxes
+(``operators/boxes.py``): to count what lies around the points of thin cells, to find one witness between two core cells, and to
+find the clusters that border points touch.
 """
 
 from __future__ import annotations
@@ -17,13 +15,12 @@ from pyspark.sql import functions as F
 
 from sojourn.constants import CLUSTER_EPS_M, CLUSTER_MIN_PTS, EARTH_RADIUS_M
 from sojourn.functions import geo
+from sojourn.operators.boxes import BOX, BOX_NAMES, LEVELS, SLACK, box_of, descend, spots_of
 from sojourn.operators.components import components
 from sojourn.operators.ordered import CHUNK, Keys, attach_by_key, with_id_chunk
 from sojourn.operators.selection import SUBJECT
 from sojourn.operators.staging import staged
 
-_SUB = 16
-_SLACK = 1e-9
 
 
 def _col(c) -> Column:
@@ -51,10 +48,10 @@ def cells_around(lat_lo, lat_hi, lng_lo, lng_hi, reach_m: float, side_m: float)
     """All cells that may hold a point within ``reach_m`` of a box, as ``array<struct(row, col)>``."""
     lat_lo, lat_hi, lng_lo, lng_hi = map(_col, (lat_lo, lat_hi, lng_lo, lng_hi))
     height = _row_height_deg(side_m)
-    pad_deg = math.degrees(reach_m / EARTH_RADIUS_M) * (1 + _SLACK)
+    pad_deg = math.degrees(reach_m / EARTH_RADIUS_M) * (1 + SLACK)
     farthest = F.greatest(F.abs(lat_lo), F.abs(lat_hi))
     ratio = F.lit(math.sin(reach_m / EARTH_RADIUS_M)) / F.greatest(F.cos(F.radians(farthest)), F.lit(1e-12))
-    pad_lng = F.when(ratio >= 1, F.lit(360.0)).otherwise(F.degrees(F.asin(F.least(ratio, F.lit(1.0)))) * (1 + _SLACK))
+    pad_lng = F.when(ratio >= 1, F.lit(360.0)).otherwise(F.degrees(F.asin(F.least(ratio, F.lit(1.0)))) * (1 + SLACK))
     rows = F.sequence(F.floor((lat_lo - pad_deg) / height).cast("bigint"),
                       F.floor((lat_hi + pad_deg) / height).cast("bigint"))
     left = F.greatest(lng_lo - pad_lng, F.lit(-180.0))
@@ -68,128 +65,72 @@ def cells_around(lat_lo, lat_hi, lng_lo, lng_hi, reach_m: float, side_m: float)
     return F.flatten(F.transform(rows, columns_of))
 
 
-def eps_neighbours(items: DataFrame, eps_m: float = CLUSTER_EPS_M, keys: Keys = SUBJECT, id_col: str = "sid") -> DataFrame:
-    """Pairs ``(a, b)`` with a < b at most ``eps_m`` apart: cell equi-join plus an exact distance test."""
-    row, col = cell_of("lat", "lng", eps_m)
-    right = items.select(*keys, row.alias("row"), col.alias("col"), F.col(id_col).alias("b"),
-                         F.col("lat").alias("b_lat"), F.col("lng").alias("b_lng"))
-    left = items.select(*keys, F.col(id_col).alias("a"), F.col("lat").alias("a_lat"), F.col("lng").alias("a_lng"),
-                        F.explode(cells_around("lat", "lat", "lng", "lng", eps_m, eps_m)).alias("cell"))
-    left = left.select("*", "cell.row", "cell.col").drop("cell")
-    meters = geo.haversine_m("a_lat", "a_lng", "b_lat", "b_lng")
-    return (left.join(right, [*keys, "row", "col"]).filter(F.col("a") < F.col("b"))
-            .withColumn("meters", meters).filter(F.col("meters") <= eps_m)
-            .select(*keys, "a", "b", "meters"))
+def _cell_pairs(boxes: DataFrame, k: list[str], eps_m: float, side_m: float) -> DataFrame:
+    """``(keys, a_row, a_col, b_row, b_col)``: each cell with every other cell, and itself, that may hold a point within eps."""
+    near = boxes.select(*k, F.col("row").alias("a_row"), F.col("col").alias("a_col"),
+                        F.explode(cells_around("lat_lo", "lat_hi", "lng_lo", "lng_hi", eps_m, side_m)).alias("c"))
+    near = near.select(*k, "a_row", "a_col", F.col("c.row").alias("b_row"), F.col("c.col").alias("b_col"))
+    return near.join(boxes.select(*k, F.col("row").alias("b_row"), F.col("col").alias("b_col")), [*k, "b_row", "b_col"])
 
 
-def _box_gap(a: str, b: str) -> tuple[Column, Column]:
-    """Lower and upper bound of the distance between points of two nearby boxes ``{a}_lat_lo`` .. ``{b}_lng_hi``."""
-    def c(side, name):
-        return F.col(f"{side}_{name}")
+def _spots(placed: DataFrame, k: list[str], side_m: float) -> DataFrame:
+    return spots_of(placed, k, _row_height_deg(side_m), lambda row: _col_width_deg(row, side_m))
 
-    apart_lat = F.greatest(c(a, "lat_lo") - c(b, "lat_hi"), c(b, "lat_lo") - c(a, "lat_hi"), F.lit(0.0))
-    apart_lng = F.greatest(c(a, "lng_lo") - c(b, "lng_hi"), c(b, "lng_lo") - c(a, "lng_hi"), F.lit(0.0))
-    edges = [F.abs(c(s, n)) for s in (a, b) for n in ("lat_lo", "lat_hi")]
-    chord = F.cos(F.radians(F.least(F.greatest(*edges), F.lit(90.0)))) * F.sin(F.radians(apart_lng) / 2)
-    lower = F.lit(EARTH_RADIUS_M) * F.greatest(F.radians(apart_lat), 2 * F.asin(F.least(chord, F.lit(1.0))))
-    upper = geo.box_diagonal_m(F.least(c(a, "lat_lo"), c(b, "lat_lo")), F.greatest(c(a, "lat_hi"), c(b, "lat_hi")),
-                               F.least(c(a, "lng_lo"), c(b, "lng_lo")), F.greatest(c(a, "lng_hi"), c(b, "lng_hi")))
-    return lower * (1 - _SLACK), upper * (1 + _SLACK)
 
+def _core_edges(cells: DataFrame, spots: DataFrame, k: list[str], eps_m: float, side_m: float) -> DataFrame:
+    """Edges ``(u, v)`` between the nodes of core cells that hold at least one pair of core spots within eps."""
+    pairs = _cell_pairs(cells, k, eps_m, side_m).filter("a_row < b_row OR (a_row = b_row AND a_col < b_col)")
+    for s, end in (("a", "u"), ("b", "v")):
+        pairs = pairs.join(cells.select(*k, F.col("row").alias(f"{s}_row"), F.col("col").alias(f"{s}_col"), F.col("node").alias(end)),
+                           [*k, f"{s}_row", f"{s}_col"])
+    pairs = staged(pairs)
+    if pairs.isEmpty():
+        return pairs.select(*k, "u", "v")
+    sure, near = descend(pairs, spots, k, eps_m, settle="u v")
+    return sure.select(*k, "u", "v").unionByName(near.select(*k, "u", "v")).distinct()
 
-_BOX = (F.min, "lat", "lat_lo"), (F.max, "lat", "lat_hi"), (F.min, "lng", "lng_lo"), (F.max, "lng", "lng_hi")
-_BOX_NAMES = tuple(name for _, _, name in _BOX)
 
+_SPOT = ["row", "col", "lat", "lng"]
 
-def _sided(df: DataFrame, side: str, columns) -> DataFrame:
-    return df.withColumnsRenamed({c: f"{side}_{c}" for c in columns})
 
+def _by_spots(found: tuple[DataFrame, DataFrame], spots: DataFrame, k: list[str], value: Column, merge, name: str) -> DataFrame:
+    """``(keys, row, col, lat, lng, name)``: a value of the pairs found by a descent, merged for each spot of their first cells."""
+    sure, near = found
+    at = ["row", "col", "level", "box_row", "box_col"]
+    boxes = sure.groupBy(*k, *[F.col(f"a_{c}" if c != "level" else c).alias(c) for c in at]).agg(merge(value).alias(name))
+    levels = F.array(*[F.struct(F.lit(n).alias("level"), box_of("fine_row", n).alias("box_row"), box_of("fine_col", n).alias("box_col"))
+                       for n in range(LEVELS + 1)])
+    whole = spots.select(*k, *_SPOT, F.explode(levels).alias("b")).select(*k, *_SPOT, "b.*").join(boxes, [*k, *at]).select(*k, *_SPOT, name)
+    single = near.select(*k, *[F.col(f"a_{c}").alias(c) for c in _SPOT], value.alias(name))
+    return whole.unionByName(single).groupBy(*k, *_SPOT).agg(merge(name).alias(name))
 
-def _full_cell_edges(placed: DataFrame, full: DataFrame, keys: Keys, eps_m: float, side_m: float) -> DataFrame:
-    """Edges between full cells that hold at least one pair of points within eps."""
-    k = list(keys)
-    cols = ["row", "col", "node", *_BOX_NAMES]
-    here = _sided(full.select(*k, *cols), "a", cols)
-    near = here.withColumn("_c", F.explode(cells_around("a_lat_lo", "a_lat_hi", "a_lng_lo", "a_lng_hi", eps_m, side_m)))
-    near = near.select(*here.columns, F.col("_c.row").alias("b_row"), F.col("_c.col").alias("b_col"))
-    near = near.filter((F.col("b_row") > F.col("a_row"))
-                       | ((F.col("b_row") == F.col("a_row")) & (F.col("b_col") > F.col("a_col"))))
-    pairs = near.join(_sided(full.select(*k, *cols), "b", cols), [*k, "b_row", "b_col"])
-    lower, upper = _box_gap("a", "b")
-    pairs = staged(pairs.withColumns({"lower": lower, "upper": upper}).filter(F.col("lower") <= eps_m).select(
-        *k, "a_row", "a_col", "b_row", "b_col", "a_node", "b_node", (F.col("upper") <= eps_m).alias("sure")))
-    certain = pairs.filter("sure").select(*k, F.col("a_node").alias("u"), F.col("b_node").alias("v"))
-    open_pairs = pairs.filter(~F.col("sure")).drop("sure")
-    if open_pairs.isEmpty():
-        return certain
-
-    # Sub-cells of the undecided cells.
-    touched = open_pairs.select(*k, F.explode(F.array(
-        F.struct(F.col("a_row").alias("row"), F.col("a_col").alias("col")),
-        F.struct(F.col("b_row").alias("row"), F.col("b_col").alias("col")))).alias("_c")).select(*k, "_c.*").distinct()
-    step = _row_height_deg(side_m) / _SUB
-    inner = placed.join(touched, [*k, "row", "col"], "left_semi").withColumns({
-        "sub_row": F.floor(F.col("lat") / step).cast("bigint"),
-        "sub_col": F.floor(F.col("lng") / (_col_width_deg("row", side_m) / _SUB)).cast("bigint")})
-    subs = inner.groupBy(*k, "row", "col", "sub_row", "sub_col").agg(*[f(c).alias(n) for f, c, n in _BOX])
-    sub_cols = ["row", "col", "sub_row", "sub_col", *_BOX_NAMES]
-    sub_pairs = (open_pairs.join(_sided(subs, "a", sub_cols), [*k, "a_row", "a_col"])
-                 .join(_sided(subs, "b", sub_cols), [*k, "b_row", "b_col"])
-                 .withColumns({"lower": lower, "upper": upper}).filter(F.col("lower") <= eps_m))
-    verdict = F.max(F.col("upper") <= eps_m).over(Window.partitionBy(*k, "a_node", "b_node"))
-    sub_pairs = sub_pairs.withColumn("sure", verdict)
-    joined = sub_pairs.filter("sure").select(*k, "a_node", "b_node").distinct()
-
-    # Point by point only where two sub-cells straddle eps and nothing else has decided the pair.
-    point_cols = ["row", "col", "sub_row", "sub_col", "lat", "lng"]
-    spots = inner.select(*k, *point_cols).distinct()
-    at = ("row", "col", "sub_row", "sub_col")
-    exact = (sub_pairs.filter(~F.col("sure")).select(*k, "a_node", "b_node", *[f"{s}_{c}" for s in "ab" for c in at])
-             .join(_sided(spots, "a", point_cols), [*k, *[f"a_{c}" for c in at]])
-             .join(_sided(spots, "b", point_cols), [*k, *[f"b_{c}" for c in at]])
-             .filter(geo.haversine_m("a_lat", "a_lng", "b_lat", "b_lng") <= eps_m)
-             .select(*k, "a_node", "b_node").distinct())
-    decided = joined.unionByName(exact).select(*k, F.col("a_node").alias("u"), F.col("b_node").alias("v"))
-    return certain.unionByName(decided)
+
+def _weight(column: str | None) -> Column:
+    """The weight of a point; negative or missing ones are an error."""
+    if column is None:
+        return F.lit(1.0)
+    w = F.col(column).cast("double")
+    return F.when(w >= 0, w).otherwise(F.raise_error(F.lit("weights must be 0 or more")).cast("double"))
 
 
 def eps_neighbour_weights(items: DataFrame, eps_m: float = CLUSTER_EPS_M, keys: Keys = SUBJECT, id_col: str = "sid",
                           weight_col: str | None = None) -> DataFrame:
     """``(keys, id, weight)``: how much lies within ``eps_m`` of each item, itself included.
 
-    Counts by sub-cells: a pair of sub-cells that is surely within reach adds its total at once, and only
-    sub-cells whose distance straddles eps are compared item by item.
+    Boxes that lie within reach of each other as a whole are counted at once, at whatever level of their cells; only spots
+    at the rim are compared one by one.
     """
     k = list(keys)
     side_m = eps_m / math.sqrt(2) * (1 - 1e-6)
     row, col = cell_of("lat", "lng", side_m)
-    weight = F.lit(1.0) if weight_col is None else F.col(weight_col).cast("double")
-    step = _row_height_deg(side_m) / _SUB
-    placed = items.select(*k, F.col(id_col).cast("bigint").alias("id"), "lat", "lng", weight.alias("w"),
-                          row.alias("row"), col.alias("col")).withColumns({
-        "sub_row": F.floor(F.col("lat") / step).cast("bigint"),
-        "sub_col": F.floor(F.col("lng") / (_col_width_deg("row", side_m) / _SUB)).cast("bigint")})
-    placed = staged(with_id_chunk(placed, "id"))
-    at = ["row", "col", "sub_row", "sub_col"]
-    subs = placed.groupBy(*k, *at).agg(F.sum("w").alias("w"), *[f(c).alias(n) for f, c, n in _BOX])
-    cols = [*at, "w", *_BOX_NAMES]
-    here = _sided(subs.select(*k, *cols), "a", cols)
-    near = here.withColumn("_c", F.explode(cells_around("a_lat_lo", "a_lat_hi", "a_lng_lo", "a_lng_hi", eps_m, side_m)))
-    near = near.select(*here.columns, F.col("_c.row").alias("b_row"), F.col("_c.col").alias("b_col"))
-    lower, upper = _box_gap("a", "b")
-    pairs = (near.join(_sided(subs.select(*k, *cols), "b", cols), [*k, "b_row", "b_col"])
-             .withColumns({"lower": lower, "upper": upper}).filter(F.col("lower") <= eps_m))
-    a_at, b_at = [f"a_{c}" for c in at], [f"b_{c}" for c in at]
-    sure = (pairs.filter(F.col("upper") <= eps_m).groupBy(*k, *a_at).agg(F.sum("b_w").alias("sure"))
-            .withColumnsRenamed(dict(zip(a_at, at))))
-    whole = attach_by_key(placed, sure, [*k, *at], how="left").select(*k, "id", F.coalesce("sure", F.lit(0.0)).alias("w"))
-    item_cols = [*at, "id", "lat", "lng", "w", CHUNK]
-    single = (pairs.filter(F.col("upper") > eps_m).select(*k, *a_at, *b_at)
-              .join(_sided(placed, "a", item_cols), [*k, *a_at]).join(_sided(placed, "b", item_cols), [*k, *b_at])
-              .filter(geo.haversine_m("a_lat", "a_lng", "b_lat", "b_lng") <= eps_m)
-              .select(*k, F.col("a_id").alias("id"), F.col("b_w").alias("w")))
-    return (whole.unionByName(single).groupBy(*k, "id").agg(F.sum("w").alias("weight"))
-            .withColumnRenamed("id", id_col))
+    placed = staged(with_id_chunk(items.select(*k, F.col(id_col).cast("bigint").alias("id"), "lat", "lng", _weight(weight_col).alias("w"),
+                                               row.alias("row"), col.alias("col")), "id"))
+    spots = staged(_spots(placed, k, side_m))
+    cells = spots.groupBy(*k, "row", "col").agg(*[f(c).alias(n) for f, c, n in BOX])
+    found = descend(_cell_pairs(cells, k, eps_m, side_m), spots, k, eps_m)
+    per_spot = _by_spots(found, spots, k, F.col("b_w"), F.sum, "weight")
+    # Many items of one spot are joined by blocks of ids.
+    return attach_by_key(placed, per_spot, [*k, *_SPOT]).select(*k, F.col("id").alias(id_col), "weight")
 
 
 def dbscan(items: DataFrame, eps_m: float = CLUSTER_EPS_M, min_pts: float = CLUSTER_MIN_PTS, keys: Keys = SUBJECT,
@@ -203,55 +144,42 @@ def dbscan(items: DataFrame, eps_m: float = CLUSTER_EPS_M, min_pts: float = CLUS
     k = list(keys)
     side_m = eps_m / math.sqrt(2) * (1 - 1e-6)
     row, col = cell_of("lat", "lng", side_m)
-    weight = F.lit(1.0) if weight_col is None else F.col(weight_col).cast("double")
     placed = with_id_chunk(items.select(*k, F.col(id_col).cast("bigint").alias("id"), "lat", "lng",
-                                        weight.alias("w"), row.alias("row"), col.alias("col")), "id")
+                                        _weight(weight_col).alias("w"), row.alias("row"), col.alias("col")), "id")
     if not items_staged:
         placed = staged(placed)
-
-    # Cell statistics per (cell, id block): a cell that holds a third of all points is still many small groups.
-    blocks = placed.groupBy(*k, "row", "col", CHUNK).agg(
-        F.sum("w").alias("w"), F.min("id").alias("low"), *[f(c).alias(n) for f, c, n in _BOX])
-    cell = Window.partitionBy(*k, "row", "col")
-    blocks = staged(blocks.select(
-        *k, "row", "col", CHUNK, (F.sum("w").over(cell) >= min_pts).alias("full"), F.min("low").over(cell).alias("node"),
-        *[f(n).over(cell).alias(n) for f, _, n in _BOX]))
-    full = blocks.filter("full").select(*k, "row", "col", "node", *_BOX_NAMES).distinct()
-
-    # Thin-cell points against everything around them, reduced to one row per (point, neighbouring node).
-    thin_cells = blocks.filter(~F.col("full")).select(*k, "row", "col", CHUNK)
-    thin = placed.join(thin_cells, [*k, "row", "col", CHUNK], "left_semi")
-    around = thin.select(*k, F.col("id").alias("p"), F.col("lat").alias("p_lat"), F.col("lng").alias("p_lng"),
-                         F.explode(cells_around("lat", "lat", "lng", "lng", eps_m, side_m)).alias("_c"))
-    around = (around.select(*k, "p", "p_lat", "p_lng", "_c.row", "_c.col")
-              .join(blocks.select(*k, "row", "col", CHUNK, "full", "node"), [*k, "row", "col"]))
-    met = (around.join(placed, [*k, "row", "col", CHUNK])
-           .filter(geo.haversine_m("p_lat", "p_lng", "lat", "lng") <= eps_m))
-    links = staged(met.groupBy(*k, "p", "full", F.when(F.col("full"), F.col("node")).otherwise(F.col("id")).alias("q"))
-                   .agg(F.sum("w").alias("w")))
-    thin_core = links.groupBy(*k, "p").agg(F.sum("w").alias("w")).filter(F.col("w") >= min_pts).select(*k, "p")
-
-    # Graph of full cells and thin core points.
-    is_core_q = thin_core.select(*k, F.col("p").alias("q"), F.lit(True).alias("q_core"))
-    core_links = (links.join(is_core_q, [*k, "q"], "left")
-                  .filter(F.col("full") | F.coalesce("q_core", F.lit(False))).select(*k, "p", "q"))
-    thin_edges = core_links.join(thin_core, [*k, "p"], "left_semi").select(*k, F.col("p").alias("u"), F.col("q").alias("v"))
-    edges = _full_cell_edges(placed, full, keys, eps_m, side_m).unionByName(thin_edges)
-    merged = components(edges, keys)
-
-    nodes = full.select(*k, "node").unionByName(thin_core.select(*k, F.col("p").alias("node")))
-    rooted = nodes.join(merged, [*k, "node"], "left").select(*k, "node", F.coalesce("root", "node").alias("root"))
+    spots = staged(_spots(placed, k, side_m))
+    cell = [*k, "row", "col"]
+    box = [f(c).alias(n) for f, c, n in BOX]
+    cells = staged(spots.groupBy(*cell).agg(F.sum("w").alias("w"), F.min("low").alias("node"), *box))
+    full, thin = cells.filter(F.col("w") >= min_pts), cells.filter(F.col("w") < min_pts)
+
+    # Core spots of thin cells: enough weight around them.
+    thin_pairs = _cell_pairs(cells, k, eps_m, side_m).join(thin.select(*k, F.col("row").alias("a_row"), F.col("col").alias("a_col")), [*k, "a_row", "a_col"], "left_semi")
+    thin_spots = spots.join(thin.select(*cell), cell, "left_semi")
+    around = _by_spots(descend(staged(thin_pairs), spots, k, eps_m), thin_spots, k, F.col("b_w"), F.sum, "weight")
+    around = staged(thin_spots.join(around, [*k, *_SPOT]).withColumn("core", F.col("weight") >= min_pts).drop("weight"))
+    thin_core, rest = around.filter("core").drop("core"), around.filter("NOT core").drop("core")
+
+    # The core spots of a cell are one node; cells are joined where two of their core spots are within eps.
+    core_cells = staged(full.select(*cell, "node", *BOX_NAMES).unionByName(
+        thin_core.groupBy(*cell).agg(F.min("low").alias("node"), *box)))
+    core_spots = spots.join(full.select(*cell), cell, "left_semi").unionByName(thin_core)
+    merged = components(_core_edges(core_cells, core_spots, k, eps_m, side_m), keys)
+    rooted = core_cells.join(merged, [*k, "node"], "left").select(*cell, *BOX_NAMES, F.coalesce("root", "node").alias("root"))
     numbered = rooted.select(*k, "root").distinct().withColumn(
         "cluster_id", (F.row_number().over(Window.partitionBy(*k).orderBy("root")) - 1).cast("int"))
-    labelled = rooted.join(numbered, [*k, "root"]).select(*k, "node", "cluster_id")
-
-    # Full cells label their points per block; thin points take their own cluster, else the lowest one they touch.
-    by_cell = (blocks.filter("full").select(*k, "row", "col", CHUNK, "node")
-               .join(labelled, [*k, "node"]).drop("node"))
-    inside = placed.join(by_cell, [*k, "row", "col", CHUNK]).select(*k, "id", "cluster_id")
-    own = labelled.select(*k, F.col("node").alias("id"), F.col("cluster_id").alias("own"))
-    touching = (core_links.join(labelled.withColumnRenamed("node", "q"), [*k, "q"])
-                .groupBy(*k, F.col("p").alias("id")).agg(F.min("cluster_id").alias("border")))
-    outside = (thin.select(*k, "id").join(own, [*k, "id"], "left").join(touching, [*k, "id"], "left")
-               .select(*k, "id", F.coalesce("own", "border", F.lit(-1)).alias("cluster_id")))
-    return inside.unionByName(outside).withColumnRenamed("id", id_col)
+    labelled = staged(rooted.join(numbered, [*k, "root"]).select(*cell, *BOX_NAMES, "cluster_id"))
+
+    # Other spots join the lowest-numbered cluster of which a core spot is within eps.
+    rest_cells = rest.groupBy(*cell).agg(*box)
+    near = rest_cells.select(*k, F.col("row").alias("a_row"), F.col("col").alias("a_col"),
+                             F.explode(cells_around("lat_lo", "lat_hi", "lng_lo", "lng_hi", eps_m, side_m)).alias("c"))
+    near = near.select(*k, "a_row", "a_col", F.col("c.row").alias("b_row"), F.col("c.col").alias("b_col")).join(
+        labelled.select(*k, F.col("row").alias("b_row"), F.col("col").alias("b_col"), "cluster_id"), [*k, "b_row", "b_col"])
+    touching = _by_spots(descend(staged(near), rest, k, eps_m, others=core_spots), rest, k, F.col("cluster_id"), F.min, "cluster_id")
+    core = core_spots.select(*k, *_SPOT).join(labelled.select(*cell, "cluster_id"), cell)
+    per_spot = core.unionByName(touching.select(*k, *_SPOT, "cluster_id"))
+    # Many items of one spot are joined by blocks of ids.
+    found = attach_by_key(placed, per_spot, [*k, *_SPOT], how="left")
+    return found.select(*k, F.col("id").alias(id_col), F.coalesce("cluster_id", F.lit(-1)).alias("cluster_id"))

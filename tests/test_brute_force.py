@@ -3,8 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from sojourn.operators import clustering, maplayers, movement, stays
+from sojourn.operators import boxes, clustering, maplayers, movement, stays
 from sojourn.operators.components import components
 from sojourn.operators.ordered import row_position, scan, with_time_chunk
 from tests import reference_rules as rules
@@ -106,16 +107,71 @@ def test_undecided_cell_pairs_are_settled_point_by_point(spark):
     assert want["in", 11] == 0 and want["out", 11] == 1
 
 
-def test_neighbour_weights_and_pairs(spark):
+def test_neighbour_weights(spark):
     items = frame(spark, CASES[:2])
     got = {(r.subject_id, r.sid): r.weight for r in clustering.eps_neighbour_weights(items, weight_col="w").collect()}
-    pairs = {(r.subject_id, r.a, r.b) for r in clustering.eps_neighbours(items).collect()}
     for seed, n, lat, spread in CASES[:2]:
         spots = spots_of(seed, n, lat, spread)
         for i in range(n):
             near = [j for j in range(n) if rules.meters(*spots[i], *spots[j]) <= 120]
             assert got[f"c{seed}", i] == sum(1 + j % 3 for j in near)
-            assert {b for s, a, b in pairs if s == f"c{seed}" and a == i} == {j for j in near if j > i}
+
+
+@pytest.mark.parametrize("leaf", [1, 6])
+def test_boxes_are_refined_down_to_single_spots(spark, monkeypatch, leaf):
+    monkeypatch.setattr(boxes, "LEAF", leaf)
+    items = frame(spark, CASES[:2])
+    got = {(r.subject_id, r.sid): r.weight for r in clustering.eps_neighbour_weights(items, weight_col="w").collect()}
+    found = {(r.subject_id, r.sid): r.cluster_id for r in clustering.dbscan(items).collect()}
+    for seed, n, lat, spread in CASES[:2]:
+        spots = spots_of(seed, n, lat, spread)
+        for i in range(n):
+            assert got[f"c{seed}", i] == sum(1 + j % 3 for j in range(n) if rules.meters(*spots[i], *spots[j]) <= 120)
+        assert [found[f"c{seed}", i] for i in range(n)] == rules.clusters(spots, 120, 4)
+
+
+@pytest.mark.parametrize("apart,clusters", [(119.0, 1), (120.5, 2), (124.0, 2)])
+def test_two_crowds_about_eps_apart_never_meet_point_by_point(spark, monkeypatch, apart, clusters):
+    """20,000 stays on either side: few pairs of boxes, and no more pairs of spots than a few leaves hold."""
+    n = 20_000
+    side = F.col("id") % 2
+    items = spark.range(2 * n).select(
+        F.lit("a").alias("subject_id"), F.col("id").alias("sid"),
+        (50 + F.when(side == 0, -F.rand(1) * 20).otherwise(apart + F.rand(2) * 20) / 111_194.9).alias("lat"), (10 + F.rand(3) * 25 / 71_474).alias("lng"))
+    items = spark.createDataFrame(items.toPandas(), items.schema)
+    compared, plain = [], boxes._by_spot
+
+    def counted(pairs, spots, k, *rest):
+        both = pairs
+        for s, own in spots.items():
+            size = boxes._boxes(own, k, rest[1]).select(*k, *boxes.AT, "n")
+            both = both.join(boxes.sided(size, s, [*boxes.AT, "n"]), [*k, *[f"{s}_{c}" for c in boxes.AT]])
+        compared.append(both.agg(F.sum(F.col("a_n") * F.col("b_n"))).first()[0] or 0)
+        return plain(pairs, spots, k, *rest)
+
+    monkeypatch.setattr(boxes, "_by_spot", counted)
+    found = clustering.dbscan(items)
+    assert found.select("cluster_id").distinct().count() == clusters and found.filter("cluster_id < 0").count() == 0
+    assert sum(compared) < n * 200
+
+
+@pytest.mark.parametrize("light", [0.0, 0.0001])
+def test_light_points_by_the_thousand_form_no_pairs(spark, light):
+    """A thin cell of 30,000 points that weigh next to nothing, near a heavy place: all are border points or core by their place alone."""
+    n = 30_000
+    rows = spark.range(n).select(F.lit("a").alias("subject_id"), F.col("id").alias("sid"), (50 + F.rand(1) * 30 / 111_194.9).alias("lat"),
+                                 (10 + F.rand(2) * 20 / 71_474).alias("lng"), F.lit(light).alias("w"))
+    heavy = spark.createDataFrame([("a", n + i, 50 + 80 / 111_194.9, 10.0, 2.0) for i in range(3)], rows.schema)
+    alone = spark.createDataFrame([("a", n + 9, 51.0, 10.0, light)], rows.schema)
+    items = rows.unionByName(heavy).unionByName(alone)
+    found = clustering.dbscan(spark.createDataFrame(items.toPandas(), items.schema), weight_col="w", min_pts=4)
+    assert {(r.cluster_id, r["count"]) for r in found.groupBy("cluster_id").count().collect()} == {(0, n + 3), (-1, 1)}
+
+
+def test_negative_weights_are_an_error(spark):
+    items = spark.createDataFrame([("a", 0, 50.0, 10.0, -1.0)], "subject_id string, sid bigint, lat double, lng double, w double")
+    with pytest.raises(Exception, match="weights must be"):
+        clustering.dbscan(items, weight_col="w").collect()
 
 
 def test_components_of_paths_and_hubs(spark):
