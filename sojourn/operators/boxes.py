@@ -81,15 +81,15 @@ def descend(cells: DataFrame, spots: DataFrame, k: list[str], eps_m: float, sett
     names = [c for c in cells.columns if c not in k]
     extra = [c for c in names if c not in ("a_row", "a_col", "b_row", "b_col")]
     lower, upper = box_gap("a", "b")
-    own = {}
-    for s, all_ in (("a", spots), ("b", spots if others is None else others)):
-        touched = cells.select(*k, F.col(f"{s}_row").alias("row"), F.col(f"{s}_col").alias("col")).distinct()
-        own[s] = all_.join(touched, [*k, "row", "col"], "left_semi")
-    own = {s: staged(df) for s, df in own.items()}
+    own = {"a": spots, "b": spots if others is None else others}
     sides = {s: [f"{s}_{c}" for c in AT] for s in "ab"}
     pairs = cells.select(*cells.columns, *[F.lit(0).cast("bigint").alias(f"{s}_box_{x}") for s in "ab" for x in ("row", "col")])
     sure = near = None
     for level in range(LEVELS + 1):
+        if level == 1:  # from here on only the cells of the pairs left over
+            for s, df in own.items():
+                touched = pairs.select(*k, F.col(f"{s}_row").alias("row"), F.col(f"{s}_col").alias("col")).distinct()
+                own[s] = staged(df.join(touched, [*k, "row", "col"], "left_semi"))
         boxes = {s: _boxes(df, k, level) for s, df in own.items()}
         carried = [*AT, "n", "w", "witness", *BOX_NAMES]
         if level:  # the parts of the pairs left over

@@ -83,9 +83,6 @@ def _core_edges(cells: DataFrame, spots: DataFrame, k: list[str], eps_m: float,
     for s, end in (("a", "u"), ("b", "v")):
         pairs = pairs.join(cells.select(*k, F.col("row").alias(f"{s}_row"), F.col("col").alias(f"{s}_col"), F.col("node").alias(end)),
                            [*k, f"{s}_row", f"{s}_col"])
-    pairs = staged(pairs)
-    if pairs.isEmpty():
-        return pairs.select(*k, "u", "v")
     sure, near = descend(pairs, spots, k, eps_m, settle="u v")
     return sure.select(*k, "u", "v").unionByName(near.select(*k, "u", "v")).distinct()
 
@@ -157,14 +154,14 @@ def dbscan(items: DataFrame, eps_m: float = CLUSTER_EPS_M, min_pts: float = CLUS
     # Core spots of thin cells: enough weight around them.
     thin_pairs = _cell_pairs(cells, k, eps_m, side_m).join(thin.select(*k, F.col("row").alias("a_row"), F.col("col").alias("a_col")), [*k, "a_row", "a_col"], "left_semi")
     thin_spots = spots.join(thin.select(*cell), cell, "left_semi")
-    around = _by_spots(descend(staged(thin_pairs), spots, k, eps_m), thin_spots, k, F.col("b_w"), F.sum, "weight")
+    around = _by_spots(descend(thin_pairs, spots, k, eps_m), thin_spots, k, F.col("b_w"), F.sum, "weight")
     around = staged(thin_spots.join(around, [*k, *_SPOT]).withColumn("core", F.col("weight") >= min_pts).drop("weight"))
     thin_core, rest = around.filter("core").drop("core"), around.filter("NOT core").drop("core")
 
     # The core spots of a cell are one node; cells are joined where two of their core spots are within eps.
     core_cells = staged(full.select(*cell, "node", *BOX_NAMES).unionByName(
         thin_core.groupBy(*cell).agg(F.min("low").alias("node"), *box)))
-    core_spots = spots.join(full.select(*cell), cell, "left_semi").unionByName(thin_core)
+    core_spots = staged(spots.join(full.select(*cell), cell, "left_semi").unionByName(thin_core))
     merged = components(_core_edges(core_cells, core_spots, k, eps_m, side_m), keys)
     rooted = core_cells.join(merged, [*k, "node"], "left").select(*cell, *BOX_NAMES, F.coalesce("root", "node").alias("root"))
     numbered = rooted.select(*k, "root").distinct().withColumn(
@@ -177,7 +174,7 @@ def dbscan(items: DataFrame, eps_m: float = CLUSTER_EPS_M, min_pts: float = CLUS
                              F.explode(cells_around("lat_lo", "lat_hi", "lng_lo", "lng_hi", eps_m, side_m)).alias("c"))
     near = near.select(*k, "a_row", "a_col", F.col("c.row").alias("b_row"), F.col("c.col").alias("b_col")).join(
         labelled.select(*k, F.col("row").alias("b_row"), F.col("col").alias("b_col"), "cluster_id"), [*k, "b_row", "b_col"])
-    touching = _by_spots(descend(staged(near), rest, k, eps_m, others=core_spots), rest, k, F.col("cluster_id"), F.min, "cluster_id")
+    touching = _by_spots(descend(near, rest, k, eps_m, others=core_spots), rest, k, F.col("cluster_id"), F.min, "cluster_id")
     core = core_spots.select(*k, *_SPOT).join(labelled.select(*cell, "cluster_id"), cell)
     per_spot = core.unionByName(touching.select(*k, *_SPOT, "cluster_id"))
     # Many items of one spot are joined by blocks of ids.
