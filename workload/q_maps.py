@@ -17,10 +17,11 @@ cte("scale", """SELECT subject_id, cell_size, floor_log, greatest(ln(1 + peak),
       SELECT subject_id, cell_size, max(c) AS peak, least(ln(1 + max(c) FILTER (rn = CAST(floor((n - 1) * 0.35E0) AS BIGINT))), 0.5E0 * ln(1 + max(c))) AS floor_log
       FROM cell_counts GROUP BY ALL)""", "cell_counts")
 _SLICE = "ts_sec >= 1704067200 AND ts_sec < 1705276800"
-cte("heat", f"""SELECT * EXCLUDE (lin), pow(least(lin, 1), 0.7E0) AS intensity FROM (
+for _name, _part in (("heat", _SLICE), ("heat_all", "true")):
+    cte(_name, f"""SELECT * EXCLUDE (lin), pow(least(lin, 1), 0.7E0) AS intensity FROM (
       SELECT g.*, (ln(1 + g.cnt) - s.floor_log) / (s.peak_log - s.floor_log) AS lin FROM (
         SELECT subject_id, CAST(cy AS BIGINT) AS cell_y, CAST(cx AS BIGINT) AS cell_x, avg(lat) AS lat, avg(lng) AS lng, count(*) AS cnt,
-               min(ord) AS first_ord FROM sized WHERE {_SLICE} GROUP BY ALL) g
+               min(ord) AS first_ord FROM sized WHERE {_part} GROUP BY ALL) g
       JOIN scale s ON s.subject_id = g.subject_id) WHERE lin > 0""", "sized", "scale")
 
 
@@ -46,9 +47,9 @@ def _(t: Inputs):
 
 
 @query("heat_top_cells", """SELECT subject_id, heat_rank, cell_y, cell_x, cnt FROM (SELECT *, row_number() OVER (PARTITION BY subject_id
-    ORDER BY cnt DESC, first_ord) AS heat_rank FROM heat) WHERE heat_rank <= 40""", "heat")
+    ORDER BY cnt DESC, first_ord) AS heat_rank FROM heat_all) WHERE heat_rank <= 10""", "heat_all")
 def _(t: Inputs):
-    return maplayers.heat_top_cells(_heat(t), n=40).select("subject_id", "heat_rank", "cell_y", "cell_x", "cnt")
+    return maplayers.heat_top_cells(maplayers.heat_cells(t.points, maplayers.heat_scale(t.points)), n=10).select("subject_id", "heat_rank", "cell_y", "cell_x", "cnt")
 
 
 cte("vert0", """SELECT *, count(*) OVER (PARTITION BY subject_id, segment_id) AS segment_len,
