@@ -12,7 +12,8 @@ bars, reader comments, notices, forms), whose labels are known.
 
 Null and empty html give an empty text. Broken markup is read as browsers do: unclosed elements end with their parents, what
 is no tag is text, and an unclosed script, style, title, text area or frame takes the rest of the page. Of an unclosed ``noscript``
-or ``template`` only the tag is left out. Rows that repeat are extracted each. A column named like the result is replaced.
+or ``template`` only the tag is left out. Rows that repeat are extracted each, pages of any length whole. An empty table gives no rows. A column
+named like the result is replaced.
 """
 
 from __future__ import annotations

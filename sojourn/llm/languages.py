@@ -8,7 +8,8 @@ weight table for each byte and a sum for each text, so it costs the same for any
 Training reads a sample of at most about ``sample`` rows of each language (picked by a hash of the id, spread evenly over all
 labelled rows); the bound is a parameter. Everything else covers all rows.
 
-Null texts and texts without a letter are ``und`` with score 0; so is every text when nothing could be learned.
+Null texts and texts without a letter are ``und`` with score 0; so is every text when nothing could be learned. Rows that repeat are judged
+each, texts of any length whole. An empty table gives no rows. A column named like the result is replaced.
 """
 
 from __future__ import annotations

@@ -211,7 +211,8 @@ def _lengths(docs: DataFrame, path: str, size: int) -> DataFrame:
 def pack(docs: DataFrame, tokenizer: str, *, size: int = SIZE, pool: int = POOL, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each piece: document, place in it, checksum of its ids, sequence and place there.
 
-    Null and empty texts are the end id alone. Rows that repeat are packed each. A null id stays null. No other columns are read.
+    Null and empty texts are the end id alone. Rows that repeat are packed each, rows of one id and length in any order. A null id stays
+    null. Texts of any length fill as many sequences as they need. An empty table gives no rows. No other columns are read.
     """
     own = docs.select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("text"))
     lengths = _lengths(own, tokenizer, size).repartition("id").sortWithinPartitions("id", "n")

@@ -12,7 +12,7 @@ join them. Who shares depends on numbers of rows only. A ladder without a certif
 Counts and cutoffs come from all labelled rows by aggregation. Features of a text are made in one pass over all texts.
 
 Null texts have no words. A null language is a stratum of its own (empty name). Ids with several labels count once each. Rows that repeat are judged
-each. Clashing columns of the input are not read.
+each, texts of any length whole. A value equal to a cutoff is kept. An empty table gives no rows. Clashing columns of the input are not read.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ Counts cover every training text. Frequent words (a bounded number, chosen by co
 joined by their 64-bit hash, summed for each text. What comes back to the driver is bounded by the number of classes and
 by that bound, not by the corpus.
 
-Null texts are empty: one end. Rows that repeat are scored each. Other columns are not read.
+Null texts are empty: one end. Rows that repeat are scored each, and alike; rows of one id are told apart by their texts. Texts of any
+length are read whole. An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ Training reads a sample of at most about ``sample`` rows of each label, picked b
 few windows of each for the base; the bounds are parameters. Scoring reads whole texts, one pass, without a shuffle.
 
 Null and empty texts have no windows and get the score of that. Without rows of both labels every score is the share of
-toxic rows (0 without any). A column named like the result is replaced.
+toxic rows (0 without any). Rows that repeat are scored each, texts of any length whole, and equal texts alike. An empty table gives no
+rows. A column named like the result is replaced.
 """
 
 from __future__ import annotations

@@ -8,7 +8,7 @@ Archives lie in a folder that all executors share; names are unique for each tas
 finished attempt has reported are read, so a lost executor costs a retry and leaves nothing in the result.
 
 Null html is an empty payload. Pages with a null id are responses. Repeated rows of the largest id are responses each. A null
-url is written as ``urn:x-none``. Other columns are not read.
+url is written as ``urn:x-none``. A payload of any length is one record. Other columns are not read.
 """
 
 from __future__ import annotations
