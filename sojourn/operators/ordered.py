@@ -130,16 +130,3 @@ def scan(df: DataFrame, keys: Keys, carry: Sequence[str], counters: dict[str, st
         *[F.expr(f"if({first}, _carry_{c}, prev_{c}) AS prev_{c}") for c in carry],
         *[F.expr(f"_base_{n} + _s_{n} AS {n}") for n in counters],
     )
-
-
-def row_position(df: DataFrame, keys: Keys, order: str, block: int = ID_BLOCK) -> DataFrame:
-    """Zero-based position of each row among its key's rows by a unique id, plus the key's row count ``n``."""
-    chunked = with_id_chunk(df, order, block)
-    counts = chunked.groupBy(*keys, CHUNK).agg(F.count(F.lit(1)).alias("_m"))
-    across = Window.partitionBy(*keys)
-    upto = across.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counts = counts.select(*keys, CHUNK, (F.sum("_m").over(upto) - F.col("_m")).alias("_base"),
-                           F.sum("_m").over(across).alias("n"))
-    inside = Window.partitionBy(*keys, CHUNK).orderBy(order)
-    placed = chunked.withColumn("_rn", F.row_number().over(inside)).join(counts, [*keys, CHUNK])
-    return placed.withColumn("pos", F.col("_base") + F.col("_rn") - 1).drop("_base", "_rn", CHUNK)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sojourn.operators import boxes, clustering, maplayers, movement, stays
 from sojourn.operators.components import components
-from sojourn.operators.ordered import row_position, scan, with_time_chunk
+from sojourn.operators.ordered import scan, with_time_chunk
 from tests import reference_rules as rules
 
 
@@ -198,12 +198,6 @@ def test_scan_equals_a_plain_window(spark, make_points, chunk_sec):
         map(tuple, want.collect()), key=key)
 
 
-def test_row_position_over_blocks(spark, make_points):
-    points = make_points(wander(3, 200, "a") + wander(4, 100, "b"))
-    got = row_position(points, ["subject_id"], "ord", block=16).orderBy("subject_id", "ord").collect()
-    assert [r.pos for r in got] == list(range(200)) + list(range(100)) and {r.n for r in got} == {200, 100}
-
-
 @pytest.mark.parametrize("chunk_sec", [86400, 60])
 def test_results_do_not_depend_on_the_chunk_width(spark, make_points, chunk_sec):
     points = make_points(wander(8, 600, "a") + wander(9, 500, "b"))
