@@ -3,7 +3,7 @@
 Every stage is one operator of ``sojourn.llm``; its result is written as Parquet in the shared folder and read again.
 
 Null texts have no letters, so the first stage rejects them, as it does empty ones. Rows that repeat are one document from the second
-stage on. Null ids are kept and never named as the smallest of a group. Texts of any length are read whole, extra columns are carried,
+stage on. Rows with a null id stay unless they are near copies of one with an id. Texts of any length are read whole, extra columns are carried,
 whatever their names, and an empty table stays empty through all stages.
 """
 
