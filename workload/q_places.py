@@ -108,15 +108,14 @@ _top(25, "top_geocode_targets")
 _top(6, "top_places")
 _top(8, "top_markers")
 
-# A place at 15 minutes or more is significant, as all are here; this bar is reached by half of the places.
-_BAR = 250_000
-cte("significant", f"""SELECT * EXCLUDE (m) FROM (SELECT *, bool_or(total_duration_sec >= {_BAR}) OVER (PARTITION BY subject_id) AS m FROM places)
-    WHERE total_duration_sec >= {_BAR} OR NOT m""", "places")
+# A place at 15 minutes or more is significant.
+cte("significant", """SELECT * EXCLUDE (m) FROM (SELECT *, bool_or(total_duration_sec >= 900) OVER (PARTITION BY subject_id) AS m FROM places)
+    WHERE total_duration_sec >= 900 OR NOT m""", "places")
 
 
 @query("significant_places", "SELECT subject_id, cluster_id, total_duration_sec FROM significant", "significant")
 def _(t: Inputs):
-    return selection.significant_places(_places(t), min_sec=_BAR).select("subject_id", "cluster_id", "total_duration_sec")
+    return selection.significant_places(_places(t)).select("subject_id", "cluster_id", "total_duration_sec")
 
 
 @query("place_hours_per_day", """SELECT r.subject_id, r.cluster_id, r.rank,
