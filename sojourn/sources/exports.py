@@ -32,8 +32,6 @@ _VISIT_SLOTS = 1 << 21
 _ACTIVITY_START = _VISIT_SLOTS
 _ACTIVITY_END = _VISIT_SLOTS + 1
 _WAYPOINTS = _VISIT_SLOTS + 2
-_POINT = ("array<struct<k: bigint, ts_sec: bigint, lat: double, lng: double, source: string,"
-          " semantic_label: string, kind: string>>")
 ELEMENTS_PER_PART = 1 << 23
 PARTS = 1 << 18
 
@@ -118,70 +116,47 @@ def pings(exports: DataFrame) -> DataFrame:
 
 
 def segments(exports: DataFrame) -> DataFrame:
-    """Elements of timeline exports with their times and coordinates parsed once."""
+    """Elements of timeline exports with their times and coordinates parsed once; ``waypoints`` are the usable ones."""
     e = _elements(exports, "semanticSegments")
+    start = text.to_seconds("e.startTime")
+
+    def waypoint(step: Column, i: Column) -> Column:
+        """At its own time, else at the segment's start plus a minute offset (blank is unknown, not 0)."""
+        offset = text.blank_to_null(step["durationMinutesOffsetFromStartTime"]).try_cast("double")
+        when = F.coalesce(text.to_seconds(step["time"]), text.js_round(start + offset * 60))
+        return F.struct(i.alias("i"), when.alias("ts_sec"), text.parse_latlng(step["point"]).alias("at"))
+
+    waypoints = F.filter(F.transform("e.timelinePath", waypoint), lambda w: w["at"].isNotNull() & w["ts_sec"].isNotNull())
     return e.select(
         "subject_id", "file_id", "position",
-        text.to_seconds("e.startTime").alias("start_sec"), text.to_seconds("e.endTime").alias("end_sec"),
+        start.alias("start_sec"), text.to_seconds("e.endTime").alias("end_sec"),
         text.read_location("e.visit.topCandidate.placeLocation").alias("visit_at"),
         text.normalise_label("e.visit.topCandidate.semanticType").alias("visit_label"),
         text.read_location("e.activity.start").alias("act_from"), text.read_location("e.activity.end").alias("act_to"),
         F.col("e.activity.distanceMeters").alias("act_m"), F.col("e.activity.topCandidate.type").alias("act_type"),
-        F.col("e.timelinePath").alias("path"),
+        waypoints.alias("waypoints"),
         F.col("e.timelineMemory.trip.distanceFromOriginKms").alias("trip_km"))
 
 
-def _point(k, ts, at: Column, source: str, kind: str, label: Column | None = None) -> Column:
-    return F.struct(k.cast("bigint").alias("k"), ts.cast("bigint").alias("ts_sec"), at["lat"].alias("lat"),
-                    at["lng"].alias("lng"), F.lit(source).alias("source"),
-                    (F.lit(None) if label is None else label).cast("string").alias("semantic_label"),
-                    F.lit(kind).alias("kind"))
-
-
-def _visit_samples() -> Column:
-    """A visit's span as evenly spaced presence samples, both ends included."""
-    start, end, at = F.col("start_sec"), F.col("end_sec"), F.col("visit_at")
-    span = end - start
+def _steps() -> Column:
+    """Number of steps between the evenly spaced presence samples of a visit's span; 0 without a span."""
+    span = F.col("end_sec") - F.col("start_sec")
     steps = F.when(span > 0, F.greatest(text.js_round(span / F.lit(float(VISIT_SAMPLE_SEC))), F.lit(1))).otherwise(F.lit(0)).cast("bigint")
-    steps = F.when(steps < _VISIT_SLOTS, steps).otherwise(F.raise_error(F.lit("a visit is longer than its samples can be numbered")).cast("bigint"))
-
-    def sample(i: Column) -> Column:
-        when = F.when(steps > 0, text.js_round(start + span * i / F.greatest(steps, F.lit(1)))).otherwise(start)
-        return _point(i, when, at, "visit", "visit", F.col("visit_label"))
-
-    usable = at.isNotNull() & start.isNotNull()
-    return F.when(usable, F.transform(F.sequence(F.lit(0).cast("bigint"), steps), sample))
-
-
-def _activity_ends() -> Column:
-    ends = F.array(
-        F.when(F.col("act_from").isNotNull() & F.col("start_sec").isNotNull(),
-               _point(F.lit(_ACTIVITY_START), F.col("start_sec"), F.col("act_from"), "movement", "activity")),
-        F.when(F.col("act_to").isNotNull() & F.col("end_sec").isNotNull(),
-               _point(F.lit(_ACTIVITY_END), F.col("end_sec"), F.col("act_to"), "movement", "activity")))
-    return F.filter(ends, lambda p: p.isNotNull())
-
-
-def _waypoints() -> Column:
-    """Waypoints at their own time, else at the segment's start plus a minute offset (blank is unknown, not 0)."""
-    start = F.col("start_sec")
+    return F.when(steps < _VISIT_SLOTS, steps).otherwise(F.raise_error(F.lit("a visit is longer than its samples can be numbered")).cast("bigint"))
 
-    def point(step: Column, i: Column) -> Column:
-        offset = text.blank_to_null(step["durationMinutesOffsetFromStartTime"]).try_cast("double")
-        when = F.coalesce(text.to_seconds(step["time"]), text.js_round(start + offset * 60))
-        at = text.parse_latlng(step["point"])
-        return F.when(at.isNotNull() & when.isNotNull(),
-                      _point(i + F.lit(_WAYPOINTS), when, at, "movement", "waypoint"))
-
-    return F.filter(F.transform("path", point), lambda p: p.isNotNull())
 
+_VARIANTS = ("visit", "activity", "waypoint")
 
-_VARIANTS = {"visit": _visit_samples, "activity": _activity_ends, "waypoint": _waypoints}
 
-
-def _yielded(variants) -> Column:
-    nothing = F.array().cast(_POINT)
-    return F.concat(*[F.coalesce(_VARIANTS[v]().cast(_POINT), nothing) for v in variants])
+def _counted(elements: DataFrame) -> DataFrame:
+    """``elements`` with the number of points that each yields by variant (both ends of a visit are samples)."""
+    start, end = F.col("start_sec"), F.col("end_sec")
+    visits = F.when(F.col("visit_at").isNotNull() & start.isNotNull(), F.col("steps") + 1)
+    from_, to = F.col("act_from").isNotNull() & start.isNotNull(), F.col("act_to").isNotNull() & end.isNotNull()
+    zero = F.lit(0).cast("bigint")
+    return elements.withColumn("steps", _steps()).withColumns({
+        "n_visit": F.coalesce(visits, zero), "n_from": from_.cast("bigint"), "n_activity": from_.cast("bigint") + to.cast("bigint"),
+        "n_waypoint": F.greatest(F.coalesce(F.size("waypoints").cast("bigint"), zero), zero)})
 
 
 def ping_points(exports: DataFrame) -> DataFrame:
@@ -192,10 +167,34 @@ def ping_points(exports: DataFrame) -> DataFrame:
 
 
 def segment_points(exports: DataFrame, *variants: str) -> DataFrame:
-    """Points of timeline exports; ``variants`` among visit, activity and waypoint (all by default)."""
-    p = segments(exports).select("subject_id", "position", F.explode(_yielded(variants or _VARIANTS)).alias("p"))
-    return p.select("subject_id", (F.col("position") * _PER_ELEMENT + F.col("p.k")).alias("ord"), "p.lat", "p.lng",
-                    "p.ts_sec", "p.source", "p.semantic_label")
+    """Points of timeline exports; ``variants`` among visit, activity and waypoint (all by default).
+
+    An element is dealt to as many numbers as it yields points, and every point is made from its number alone. Nearly all rows are
+    samples of long visits; they are plain arithmetic in generated code and never lie in arrays of points.
+    """
+    e = _counted(segments(exports))
+    wanted = variants or _VARIANTS
+    visits, ends, others = (F.col(f"n_{v}") if v in wanted else F.lit(0).cast("bigint") for v in _VARIANTS)
+    e = e.withColumn("i", F.explode(F.when(visits + ends + others > 0, F.sequence(F.lit(0).cast("bigint"), visits + ends + others - 1))))
+
+    i, start = F.col("i"), F.col("start_sec")
+    of_visit, of_activity = i < visits, i < visits + ends
+    sampled = F.when(F.col("steps") > 0, text.js_round(start + (F.col("end_sec") - start) * i / F.greatest("steps", F.lit(1)))).otherwise(start)
+    first = i - visits < F.col("n_from")
+    way = F.get("waypoints", (i - visits - ends).cast("int"))
+
+    def of(visit: Column, activity: Column, waypoint: Column) -> Column:
+        value = F.when(of_visit, visit).when(of_activity, activity)
+        return value.otherwise(waypoint) if "waypoint" in wanted else value
+
+    def coordinate(c: str) -> Column:
+        return of(F.col("visit_at")[c], F.when(first, F.col("act_from")[c]).otherwise(F.col("act_to")[c]), way["at"][c])
+
+    k = of(i, F.when(first, F.lit(_ACTIVITY_START)).otherwise(F.lit(_ACTIVITY_END)), way["i"] + F.lit(_WAYPOINTS))
+    return e.select(
+        "subject_id", (F.col("position") * _PER_ELEMENT + k).alias("ord"), coordinate("lat").alias("lat"), coordinate("lng").alias("lng"),
+        of(sampled, F.when(first, start).otherwise(F.col("end_sec")), way["ts_sec"]).alias("ts_sec"),
+        F.when(of_visit, F.lit("visit")).otherwise(F.lit("movement")).alias("source"), F.when(of_visit, F.col("visit_label")).alias("semantic_label"))
 
 
 def points(exports: DataFrame) -> DataFrame:
@@ -241,8 +240,8 @@ def frequent_places(exports: DataFrame) -> DataFrame:
 def ingest_report(exports: DataFrame) -> DataFrame:
     """Per file: format, records seen, records that yielded nothing, points found, and a status."""
     from_pings = pings(exports).select("file_id", F.col("usable").cast("bigint").alias("n"), F.col("usable").alias("useful"))
-    n = F.size(_yielded(_VARIANTS)).cast("bigint")
-    from_segments = segments(exports).select("file_id", n.alias("n"), ((n > 0) | _has_activity() | _has_trip()).alias("useful"))
+    n = F.col("n_visit") + F.col("n_activity") + F.col("n_waypoint")
+    from_segments = _counted(segments(exports)).select("file_id", n.alias("n"), ((n > 0) | _has_activity() | _has_trip()).alias("useful"))
     counts = (from_pings.unionByName(from_segments).groupBy("file_id")
               .agg(F.count(F.lit(1)).alias("records_seen"), F.count_if(~F.col("useful")).alias("records_skipped"),
                    F.sum("n").alias("points_found")))
