@@ -14,7 +14,7 @@ month* that are merged into years and the whole history, so points are never mul
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,23 +30,112 @@ _ALL = "all"
 _LEVELS = ("all", "year", "month")
 
 
-@dataclass(frozen=True)
 class Profile:
-    """Lazy tables, all keyed by ``keys``."""
-
-    keys: tuple[str, ...]
-    spans: DataFrame
-    mode_km: DataFrame
-    day_km: DataFrame
-    journeys: DataFrame
-    longest_journey: DataFrame
-    stays: DataFrame
-    places: DataFrame
-    footprint: DataFrame
-    coverage: DataFrame
-    hours: DataFrame
-    weekdays: DataFrame
-    busiest: DataFrame
+    """Lazy tables, all keyed by ``keys``. A table, and every step that tables share, is made once and only if it is asked for."""
+
+    def __init__(self, points: DataFrame, activities: DataFrame, trips: DataFrame, frequent_places: DataFrame, by_period: bool, tz: str,
+                 chunk_sec: int | None):
+        self._points, self._trips, self._frequent = points, trips, frequent_places
+        self._given, self._tz, self._chunk_sec = activities, tz, chunk_sec
+        self._at = _Months(by_period)
+        self.keys: tuple[str, ...] = self._at.keys
+
+    # Steps that tables share.
+
+    @cached_property
+    def _rows(self) -> DataFrame:
+        month = calendar.period_keys("ts_sec", self._tz)[2].alias("month")
+        source = staged_table(self._points.select("subject_id", "ord", "lat", "lng", "ts_sec", "source", "semantic_label", month))
+        return with_time_chunk(source, ("subject_id",), self._chunk_sec)
+
+    @cached_property
+    def _slots(self) -> DataFrame:
+        weekday, hour = calendar.local_weekday("ts_sec", self._tz), calendar.local_hour("ts_sec", self._tz)
+        return staged(self._rows.groupBy("subject_id", "month", calendar.utc_month("ts_sec").alias("utc_month"), weekday.alias("weekday"), hour.alias("hour")).agg(
+            F.count(F.lit(1)).alias("cnt"), F.min("ts_sec").alias("first_sec"), F.max("ts_sec").alias("last_sec"),
+            F.sum("lat").alias("lat_sum"), F.sum("lng").alias("lng_sum"), F.min("lat").alias("lat0"), F.max("lat").alias("lat1"),
+            F.min("lng").alias("lng0"), F.max("lng").alias("lng1"),
+            F.max(F.coalesce(F.col("source") == "movement", F.lit(False))).alias("moves")))
+
+    @cached_property
+    def _periods(self) -> DataFrame:
+        return self._at.spread(self._slots)
+
+    @cached_property
+    def _placed(self) -> DataFrame:
+        return _placed(self._rows, self._slots, self._at)
+
+    @cached_property
+    def _tracked(self) -> DataFrame:
+        return staged_table(_tracked(self._placed))
+
+    @cached_property
+    def _legs(self) -> DataFrame:
+        return _legs(self._tracked)
+
+    @cached_property
+    def _leg_km(self) -> DataFrame:
+        km = self._legs.filter("counted").groupBy("subject_id", "track", "month", "enters", "mode", "day").agg(F.sum("km").alias("km"))
+        return staged(self._at.spread(km, km=_reached("km")).groupBy(*self.keys, "mode", "day").agg(F.sum("km").alias("km")))
+
+    @cached_property
+    def _activities(self) -> DataFrame:
+        return staged(selection.period_explode(self._given, self._tz, "start_sec")) if self._at.by_period else self._given
+
+    # The tables.
+
+    @cached_property
+    def spans(self) -> DataFrame:
+        return self._periods.groupBy(*self.keys).agg(
+            F.min("first_sec").alias("first_sec"), F.max("last_sec").alias("last_sec"),
+            ((F.max("last_sec") - F.min("first_sec")) / 86400).alias("span_days"), F.sum("cnt").alias("point_count"))
+
+    @cached_property
+    def hours(self) -> DataFrame:
+        return patterns.dense_counts(self._periods.groupBy(*self.keys, "hour").agg(F.sum("cnt").alias("cnt")), self.keys, "hour", 24)
+
+    @cached_property
+    def weekdays(self) -> DataFrame:
+        return patterns.dense_counts(self._periods.groupBy(*self.keys, "weekday").agg(F.sum("cnt").alias("cnt")), self.keys, "weekday", 7)
+
+    @cached_property
+    def busiest(self) -> DataFrame:
+        return patterns.busiest_of(self._periods, self.keys)
+
+    @cached_property
+    def mode_km(self) -> DataFrame:
+        guessed = self._leg_km.groupBy(*self.keys, "mode").agg(F.sum("km").alias("km"))
+        return movement.km_by_mode_of(self.spans, self._activities, guessed, self.keys)
+
+    @cached_property
+    def day_km(self) -> DataFrame:
+        return self._leg_km.groupBy(*self.keys, "day").agg(F.sum("km").alias("km"))
+
+    @cached_property
+    def journeys(self) -> DataFrame:
+        return _journeys(self._legs, self._tracked, self._at)
+
+    @cached_property
+    def longest_journey(self) -> DataFrame:
+        trips = selection.period_explode(self._trips, self._tz, "start_sec") if self._at.by_period else self._trips
+        return movement.longest_journey(self.journeys, trips, self.keys)
+
+    @cached_property
+    def stays(self) -> DataFrame:
+        return places.clustered_stays(stays.numbered(_stays(self._rows, self._tz, self._at), self.keys), self.keys)
+
+    @cached_property
+    def places(self) -> DataFrame:
+        built = places.nearest_frequent_place(places.place_build(self.stays, self.keys), self._frequent, self.keys)
+        return staged(places.place_rank(places.place_lifecycle(built, self.spans, self.keys), self.keys))
+
+    @cached_property
+    def footprint(self) -> DataFrame:
+        return _footprint(self._placed, self._slots, self._at)
+
+    @cached_property
+    def coverage(self) -> DataFrame:
+        return _coverage(self._placed, self._at)
 
     def summary(self) -> DataFrame:
         """One row per key that has points, activities or trips; without points it counts none and spans no days."""
@@ -90,49 +179,7 @@ class _Months:
 def run_all(points: DataFrame, activities: DataFrame, trips: DataFrame, frequent_places: DataFrame,
             by_period: bool = True, tz: str = "UTC", chunk_sec: int | None = None) -> Profile:
     """Everything the engine computes, per subject or per subject and period."""
-    at = _Months(by_period)
-    keys: Keys = at.keys
-    month = calendar.period_keys("ts_sec", tz)[2].alias("month")
-    source = staged_table(points.select("subject_id", "ord", "lat", "lng", "ts_sec", "source", "semantic_label", month))
-    rows = with_time_chunk(source, ("subject_id",), chunk_sec)
-    if by_period:
-        activities = staged(selection.period_explode(activities, tz, "start_sec"))
-        trips = selection.period_explode(trips, tz, "start_sec")
-
-    slots = staged(rows.groupBy("subject_id", "month", calendar.utc_month("ts_sec").alias("utc_month"),
-                                calendar.local_weekday("ts_sec", tz).alias("weekday"), calendar.local_hour("ts_sec", tz).alias("hour")).agg(
-        F.count(F.lit(1)).alias("cnt"), F.min("ts_sec").alias("first_sec"), F.max("ts_sec").alias("last_sec"),
-        F.sum("lat").alias("lat_sum"), F.sum("lng").alias("lng_sum"), F.min("lat").alias("lat0"), F.max("lat").alias("lat1"),
-        F.min("lng").alias("lng0"), F.max("lng").alias("lng1"),
-        F.max(F.coalesce(F.col("source") == "movement", F.lit(False))).alias("moves")))
-    periods = at.spread(slots)
-    spans = periods.groupBy(*keys).agg(
-        F.min("first_sec").alias("first_sec"), F.max("last_sec").alias("last_sec"),
-        ((F.max("last_sec") - F.min("first_sec")) / 86400).alias("span_days"), F.sum("cnt").alias("point_count"))
-    by_hour = periods.groupBy(*keys, "hour").agg(F.sum("cnt").alias("cnt"))
-    by_weekday = periods.groupBy(*keys, "weekday").agg(F.sum("cnt").alias("cnt"))
-
-    placed = _placed(rows, slots, at)
-    tracked = staged_table(_tracked(placed))
-    legs = _legs(tracked)
-    leg_km = at.spread(legs.filter("counted").groupBy("subject_id", "track", "month", "enters", "mode", "day").agg(F.sum("km").alias("km")),
-                       km=_reached("km"))
-    leg_km = staged(leg_km.groupBy(*keys, "mode", "day").agg(F.sum("km").alias("km")))
-    journeys = _journeys(legs, tracked, at)
-
-    found = stays.numbered(_stays(rows, tz, at), keys)
-    clustered = places.clustered_stays(found, keys)
-    built = places.nearest_frequent_place(places.place_build(clustered, keys), frequent_places, keys)
-    built = staged(places.place_rank(places.place_lifecycle(built, spans, keys), keys))
-    return Profile(
-        keys=tuple(keys), spans=spans,
-        mode_km=movement.km_by_mode_of(spans, activities, leg_km.groupBy(*keys, "mode").agg(F.sum("km").alias("km")), keys),
-        day_km=leg_km.groupBy(*keys, "day").agg(F.sum("km").alias("km")), journeys=journeys,
-        longest_journey=movement.longest_journey(journeys, trips, keys),
-        stays=clustered, places=built,
-        footprint=_footprint(placed, slots, at), coverage=_coverage(placed, at),
-        hours=patterns.dense_counts(by_hour, keys, "hour", 24), weekdays=patterns.dense_counts(by_weekday, keys, "weekday", 7),
-        busiest=patterns.busiest_of(periods, keys))
+    return Profile(points, activities, trips, frequent_places, by_period, tz, chunk_sec)
 
 
 def _placed(rows: DataFrame, slots: DataFrame, at: _Months) -> DataFrame:

@@ -84,3 +84,16 @@ def test_profile_without_periods(spark, make_points):
     whole = profile.run_all(points, *none, frequent, by_period=False).summary().collect()
     parts = profile.run_all(points, *none, frequent).summary().filter("period_key = 'all'").drop("period_key").collect()
     assert [[round(x, 9) if isinstance(x, float) else x for x in r] for r in whole] == [[round(x, 9) if isinstance(x, float) else x for x in r] for r in parts]
+
+
+def test_tables_are_made_only_when_asked_for(spark, make_points, monkeypatch):
+    def asked(*_):
+        raise AssertionError("stays were not asked for")
+
+    monkeypatch.setattr(profile, "_stays", asked)
+    none = spark.createDataFrame([], ACTIVITIES), spark.createDataFrame([], TRIPS)
+    frequent = spark.createDataFrame([], "subject_id string, ord bigint, lat double, lng double, label string")
+    got = profile.run_all(make_points([(T + 60 * i, 50 + i / 100, 30.0) for i in range(3)]), *none, frequent)
+    assert [r.duration_sec for r in got.journeys.collect()] == [120] * 3
+    with pytest.raises(AssertionError, match="not asked for"):
+        got.summary()
