@@ -14,10 +14,12 @@ month* that are merged into years and the whole history, so points are never mul
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from sojourn.constants import PLAUSIBLE_MAX_KMH, STATIONARY_KMH
 from sojourn.functions import calendar, geo
@@ -44,14 +46,14 @@ class Profile:
 
     @cached_property
     def _rows(self) -> DataFrame:
-        month = calendar.period_keys("ts_sec", self._tz)[2].alias("month")
-        source = staged_table(self._points.select("subject_id", "ord", "lat", "lng", "ts_sec", "source", "semantic_label", month))
+        months = calendar.period_keys("ts_sec", self._tz)[2].alias("month"), calendar.utc_month("ts_sec").alias("utc_month")
+        source = staged_table(self._points.select("subject_id", "ord", "lat", "lng", "ts_sec", "source", "semantic_label", *months))
         return with_time_chunk(source, ("subject_id",), self._chunk_sec)
 
     @cached_property
     def _slots(self) -> DataFrame:
         weekday, hour = calendar.local_weekday("ts_sec", self._tz), calendar.local_hour("ts_sec", self._tz)
-        return staged(self._rows.groupBy("subject_id", "month", calendar.utc_month("ts_sec").alias("utc_month"), weekday.alias("weekday"), hour.alias("hour")).agg(
+        return staged(self._rows.groupBy("subject_id", "month", "utc_month", weekday.alias("weekday"), hour.alias("hour")).agg(
             F.count(F.lit(1)).alias("cnt"), F.min("ts_sec").alias("first_sec"), F.max("ts_sec").alias("last_sec"),
             F.sum("lat").alias("lat_sum"), F.sum("lng").alias("lng_sum"), F.min("lat").alias("lat0"), F.max("lat").alias("lat1"),
             F.min("lng").alias("lng0"), F.max("lng").alias("lng1"),
@@ -80,7 +82,11 @@ class Profile:
 
     @cached_property
     def _activities(self) -> DataFrame:
-        return staged(selection.period_explode(self._given, self._tz, "start_sec")) if self._at.by_period else self._given
+        """Stated distances by key and mode; summed by month before they meet their periods."""
+        if not self._at.by_period:
+            return self._given
+        sums = self._given.groupBy("subject_id", calendar.period_keys("start_sec", self._tz).alias("_p"), "mode").agg(F.sum("distance_m").alias("distance_m"))
+        return staged(sums).withColumn("period_key", F.explode("_p")).drop("_p")
 
     # The tables.
 
@@ -140,12 +146,17 @@ class Profile:
     def summary(self) -> DataFrame:
         """One row per key that has points, activities or trips; without points it counts none and spans no days."""
         k = list(self.keys)
+        # What follows the slots are three chains that share nothing; clustering is many small jobs, so the others fill the cores meanwhile.
+        self.spans, self._placed
+        with ThreadPoolExecutor(3) as pool:
+            chains = [pool.submit(inheritable_thread_target(self._rows.sparkSession)(make))
+                      for make in (lambda: self.places, lambda: self._leg_km, lambda: staged(self.coverage.select(*k, "coverage_ratio")))]
+            cover = [c.result() for c in chains][-1]
         far = movement.farthest_day(self.day_km, k).select(*k, F.col("day").alias("farthest_day"),
                                                            F.col("km").alias("farthest_day_km"))
         longest = self.longest_journey.select(*k, F.col("km").alias("longest_journey_km"))
         count = self.places.groupBy(*k).agg(F.count(F.lit(1)).alias("place_count"))
         total = movement.total_km(self.mode_km, k)
-        cover = self.coverage.select(*k, "coverage_ratio")
         hours = self.busiest.select(*k, "busiest_hour")
         out = total.select(*k).unionByName(longest.select(*k)).distinct().join(self.spans.select(*k, "point_count", "span_days"), k, "left")
         for part in (total, far, longest, count, cover, hours):
@@ -206,9 +217,8 @@ def _placed(rows: DataFrame, slots: DataFrame, at: _Months) -> DataFrame:
     known = months.select("subject_id", "month", "utc_month", track.alias("track"),
                           ((track == _ALL) & F.col("moves_all")).alias("moves_only"), *[f"{c}_{level}" for c in ("centre", "grid") for level in _LEVELS])
     # A chunk lies inside one UTC day, so rows meet their months by chunk and not by person.
-    chunked = rows.withColumn("utc_month", calendar.utc_month("ts_sec"))
-    chunks = chunked.select("subject_id", CHUNK, "month", "utc_month").distinct().join(staged(known), ["subject_id", "month", "utc_month"])
-    return chunked.join(chunks, ["subject_id", CHUNK, "month", "utc_month"])
+    chunks = rows.select("subject_id", CHUNK, "month", "utc_month").distinct().join(staged(known), ["subject_id", "month", "utc_month"])
+    return rows.join(chunks, ["subject_id", CHUNK, "month", "utc_month"])
 
 
 def _tracked(placed: DataFrame) -> DataFrame:

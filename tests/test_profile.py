@@ -97,3 +97,11 @@ def test_tables_are_made_only_when_asked_for(spark, make_points, monkeypatch):
     assert [r.duration_sec for r in got.journeys.collect()] == [120] * 3
     with pytest.raises(AssertionError, match="not asked for"):
         got.summary()
+
+
+def test_activities_are_summed_before_they_meet_their_periods(spark, make_points):
+    activities = spark.createDataFrame([("a", T + 60 * i, T + 60 * i + 9, 100.0, "walk", "WALKING") for i in range(50)], ACTIVITIES)
+    frequent = spark.createDataFrame([], "subject_id string, ord bigint, lat double, lng double, label string")
+    got = profile.run_all(make_points([(T, 50.0, 30.0)]), activities, spark.createDataFrame([], TRIPS), frequent)
+    assert got._activities.count() == 3
+    assert {(r.period_key, r.km) for r in got.mode_km.filter("mode = 'walk'").collect()} == {(p, 5.0) for p in ("all", "y2023", "y2023m12")}
