@@ -2,16 +2,20 @@
 
 A text's set holds the hashes of its distinct ``k``-word shingles. Sets are compared in bands of sizes. In each band the
 shingles are dealt by hash to parts, and each part is the XOR of the hashes of its shingles. A shingle that only one of two
-sets holds changes one part, and the threshold bounds the symmetric difference by D; of D + 1 + S parts at least S + 1 are
-therefore equal (pigeonhole), so linked sets share the key (band, part, bits) of some part that is not weak. Weak parts (of one
-shingle or none, equal by chance or by a common passage) make no keys; a set with more than S of them also offers its D + 1
-smallest hashes, one of which any other such set that links with it offers too.
+sets holds changes one part, and the threshold bounds the symmetric difference by D; of a set's parts that are not empty all but D are
+therefore equal in any set that it links with, and linked sets share the keys (band, part, bits) of these. A set with no more than D such
+parts also offers its D + 1 smallest hashes, one of which any other such set that links with it offers too.
+
+What a set shares beyond the one key that a link needs is its room, and so many keys may go unused in an order that all sets agree on. Those beyond
+``Bands.held`` are left out as they are made, by their value. Of the keys that other sets have too, as many as the room left are then dropped, the most
+frequent first: a passage that many texts hold makes long lists of a few parts each, and texts that share nothing else meet in none of them. A set with
+no more shared keys than room links with nothing.
 
 A second sketch has parity bits, four times as many as the set has shingles: the Hamming distance of two
 of them is at most the symmetric difference, so pairs further apart than D are dropped before any text is fetched.
 
-Within a key every set is compared with the smallest id only, on the shingle hashes of the two texts. Then sets of a key that
-are still in different components are gathered to clusters by shared keys, and the sets of a cluster are compared in
+Within a key every set is compared with the smallest id only, on the shingle hashes of the two texts. Then the other sets of a key that
+are still in different components are gathered to clusters by shared keys of one band, and the sets of a cluster are compared in
 tiles, by Hamming distance first, where their sizes allow a link. A tile returns only links that join components. So a group of n near copies costs n
 comparisons as a rule, links inside a found component are not listed, and no link between components is lost. Only sketches are dealt to the
 tiles at first; the shingles of a set follow if its sketch may link with that of another component.
@@ -38,8 +42,8 @@ SHINGLE = 4
 THRESHOLD = Fraction(85, 100)
 #: Ratio of neighbouring band limits.
 BAND = 1.25
-#: Parts of so few shingles make no keys.
-WEAK = 1
+#: The low bits of a key are its band.
+BAND_BITS = 8
 TILE_WORDS = 64
 #: Tasks that share a hub of the components' graph.
 SPREAD = 16
@@ -76,6 +80,11 @@ class Bands:
         self.limits = [1]
         while self.limits[-1] < 1 << 62:
             self.limits.append(max(self.limits[-1] + 1, int(self.limits[-1] * BAND)))
+        self.tops = [self.apart(x - 1) for x in self.limits[1:]]
+
+    def apart(self, n: int) -> int:
+        """Largest symmetric difference of a set of size ``n`` and a set at least as large that links with it."""
+        return (self.t.denominator - self.t.numerator) * n // self.t.numerator
 
     def bounds(self, n: int) -> list[int]:
         """Bands b (sizes limits[b] to limits[b + 1] - 1 of the smaller set) in which a set of size ``n`` may take part."""
@@ -87,30 +96,43 @@ class Bands:
 
     def most(self, band: int) -> int:
         """Largest symmetric difference of linked sets, the smaller of which lies in the band."""
-        return int((1 - self.t) / self.t * (self.limits[band + 1] - 1))
+        return self.tops[band]
+
+    def differ(self, n: int, band: int) -> int:
+        """Largest symmetric difference of a set of size ``n`` in the band and one that it links with there."""
+        return min(self.most(band), self.apart(n))
 
-    def spare(self, band: int) -> int:
-        return self.most(band) // 4 + 4
+    def held(self, band: int) -> int:
+        """So much room is kept for the keys that turn out to be frequent."""
+        return self.most(band) // 6 + 4
 
     def check_words(self, band: int) -> int:
         """Four positions for each shingle: then few shingles cancel out, and the distance is close to the difference."""
         return (4 * self.limits[band + 1] + 63) // 64
 
     def parts(self, band: int) -> int:
-        return self.most(band) + 1 + self.spare(band)
-
-
-def part_keys(s: np.ndarray, band: int, parts: int, spare: int, most: int) -> np.ndarray:
-    """Keys of a set in one band. ``s`` is sorted, and parts are ranges of hashes."""
-    part = ((s >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-    begin = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-    size = np.diff(np.append(begin, len(s)))
-    bits = np.bitwise_xor.reduceat(mix(s), begin)
-    use = size > WEAK
-    keys = mix(bits[use] ^ mix(part[begin[use]] + np.uint64(band << 40)))
-    if parts - int(use.sum()) > spare:
-        keys = np.concatenate([keys, mix(s[:most + 1] ^ mix(np.uint64([(band << 40) + (1 << 39)])))])
-    return keys
+        return self.most(band) + self.most(band) // 4 + 5
+
+    def dealt(self, s: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """Part of each hash of a set (sorted; parts are ranges of hashes), where the parts begin, and the room: below 0 without a common part for sure."""
+        part = ((s >> np.uint64(32)) * np.uint64(self.parts(band))) >> np.uint64(32)
+        begin = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+        return part, begin, len(begin) - self.differ(len(s), band) - 1
+
+    def room(self, s: np.ndarray, band: int) -> int:
+        """Of its keys that other sets have too a set keeps one more at least than so many in common with each set that it links with."""
+        return min(max(self.dealt(s, band)[2], 0), self.held(band))
+
+    def keys(self, s: np.ndarray, band: int) -> np.ndarray:
+        """Hashes of the parts that are not empty, without those that the room allows beyond ``held``."""
+        part, begin, room = self.dealt(s, band)
+        differ = self.differ(len(s), band)
+        keys = mix(np.bitwise_xor.reduceat(mix(s), begin) ^ mix(part[begin] + np.uint64(band << 40)))
+        if room < 0:
+            keys = np.concatenate([keys, mix(s[:differ + 1] ^ mix(np.uint64([(band << 40) + (1 << 39)])))])
+        elif room > self.held(band):
+            keys = np.sort(keys)[:differ + 1 + self.held(band)]
+        return (keys >> np.uint64(BAND_BITS) << np.uint64(BAND_BITS)) | np.uint64(band)
 
 
 def jaccard_links(a: np.ndarray, b: np.ndarray, threshold: Fraction) -> bool:
@@ -137,22 +159,24 @@ def near_enough(apart, a, b, threshold: Fraction):
 
 
 def _nodes(own: DataFrame, k: int, threshold: Fraction) -> DataFrame:
-    """Size, node and check sketches (one for each band) of each row's set."""
+    """Size, node, and check sketches and rooms (one for each band) of each row's set."""
     bands = Bands(threshold)
 
     def make():
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             sets = shingle_sets(batch.column("text"), k)
-            bits = [[{"band": b, "bits": check_bits(s, bands.check_words(b)).tobytes()} for b in bands.bounds(len(s))]
-                    if len(s) else [] for s in sets]
-            kind = pa.list_(pa.struct([("band", pa.int32()), ("bits", pa.binary())]))
+            places = [bands.bounds(len(s)) if len(s) else [] for s in sets]
+            bits = [[{"band": b, "bits": check_bits(s, bands.check_words(b)).tobytes()} for b in at] for s, at in zip(sets, places, strict=True)]
+            rooms = [[{"band": b, "room": bands.room(s, b)} for b in at] for s, at in zip(sets, places, strict=True)]
+            kinds = [pa.list_(pa.struct([("band", pa.int32()), x])) for x in (("bits", pa.binary()), ("room", pa.int32()))]
             return pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), batch.column("h"), pa.array(bits, kind)],
-                names=["id", "n", "node", "h", "bits"])
+                 pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), batch.column("h"),
+                 pa.array(bits, kinds[0]), pa.array(rooms, kinds[1])], names=["id", "n", "node", "h", "bits", "rooms"])
         return run
 
-    return emit(own, "text", "id bigint, n bigint, node bigint, h bigint, bits array<struct<band:int,bits:binary>>", make)
+    return emit(own, "text", "id bigint, n bigint, node bigint, h bigint, bits array<struct<band:int,bits:binary>>, "
+                "rooms array<struct<band:int,room:int>>", make)
 
 
 def _keys(own: DataFrame, k: int, threshold: Fraction) -> DataFrame:
@@ -160,27 +184,28 @@ def _keys(own: DataFrame, k: int, threshold: Fraction) -> DataFrame:
 
     def make():
         def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-            keys, nodes, layouts, seen = [], [], [], set()
+            keys, nodes, seen = [], [], set()
             for s in shingle_sets(batch.column("text"), k):
                 if not len(s) or (node := node_of(s)) in seen:
                     continue
                 seen.add(node)
                 for band in bands.bounds(len(s)):
-                    own_keys = part_keys(s, band, bands.parts(band), bands.spare(band), bands.most(band))
-                    keys.append(own_keys)
-                    nodes.append(np.full(len(own_keys), node))
-                    layouts.append(np.full(len(own_keys), band, np.int32))
+                    keys.append(bands.keys(s, band))
+                    nodes.append(np.full(len(keys[-1]), node))
             if not keys:
                 return None
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes)),
-                                               pa.array(np.concatenate(layouts))], names=["key", "node", "band"])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes))], names=["key", "node"])
         return run
 
-    return emit(own, "text", "key bigint, node bigint, band int", make)
+    return emit(own, "text", "key bigint, node bigint", make)
+
+
+def _band(key: str = "key"):
+    return F.col(key).bitwiseAND(F.lit((1 << BAND_BITS) - 1)).cast("int")
 
 
 def _members(keys: DataFrame) -> DataFrame:
-    """``(key, band, node, pivot)``: the sets that share a key with a smaller one, and the smallest of the key.
+    """``(key, node, pivot)``: the sets that share a key with a smaller one, and the smallest of the key.
 
     Rows come sorted, so a key streams through its task in constant memory, however many sets share it.
     """
@@ -197,12 +222,21 @@ def _members(keys: DataFrame) -> DataFrame:
             least = np.where(begin >= 0, node[begin], 0 if pivot is None else pivot)
             take = pa.array(~first & ~again)
             last_key, last_node, pivot = key[-1], node[-1], least[-1]
-            yield pa.RecordBatch.from_arrays([batch.column("key").filter(take), batch.column("band").filter(take),
-                                              batch.column("node").filter(take), pa.array(least).filter(take)],
-                                             names=["key", "band", "node", "pivot"])
+            yield pa.RecordBatch.from_arrays([batch.column("key").filter(take), batch.column("node").filter(take), pa.array(least).filter(take)],
+                                             names=["key", "node", "pivot"])
 
     dealt = keys.repartition("key").sortWithinPartitions("key", "node")
-    return dealt.mapInArrow(run, "key bigint, band int, node bigint, pivot bigint")
+    return dealt.mapInArrow(run, "key bigint, node bigint, pivot bigint")
+
+
+def _lists(members: DataFrame, rooms: DataFrame) -> DataFrame:
+    """``(key, node)``: the shared keys of each set but for the most frequent ones, as many as its room. ``rooms``: (node, band, room)."""
+    length = members.groupBy("key").agg((F.count("*") + 1).alias("m"), F.min("pivot").alias("pivot"))
+    every = members.select("key", "node").union(length.select("key", F.col("pivot").alias("node")))
+    held = every.join(length.select("key", "m"), "key").withColumn("band", _band()).join(rooms, ["node", "band"])
+    own = Window.partitionBy("node", "band")
+    ranked = held.select("key", "node", "room", F.row_number().over(own.orderBy("m", "key")).alias("at"), F.count("*").over(own).alias("of"))
+    return ranked.filter("at <= of - room").select("key", "node")
 
 
 def _near(pairs: DataFrame, bits: DataFrame, threshold: Fraction) -> DataFrame:
@@ -228,10 +262,11 @@ def _near(pairs: DataFrame, bits: DataFrame, threshold: Fraction) -> DataFrame:
 def _texts(own: DataFrame, real: DataFrame, pairs: DataFrame) -> DataFrame:
     """``(node, text)``: one text for each node of the pairs."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    picked = real.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct("id", "h")).alias("x"))
+    picked = real.groupBy("node").agg(F.min(F.struct("id", "h")).alias("x")).join(wanted, "node", "left_semi")
     picked = picked.select("node", F.coalesce("x.id", F.lit(-1)).alias("k"), F.col("x.id").isNull().alias("none"), F.col("x.h").alias("h"))
     keyed = own.select(F.coalesce("id", F.lit(-1)).alias("k"), F.col("id").isNull().alias("none"), "h", "text")
-    return keyed.join(picked, ["k", "none", "h"]).groupBy("node").agg(F.first("text").alias("text"))
+    # Rows that repeat meet where the join has put them, so that texts are dealt once.
+    return keyed.join(picked, ["k", "none", "h"]).groupBy("k", "none", "h", "node").agg(F.first("text").alias("text")).select("node", "text")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: Fraction) -> DataFrame:
@@ -284,20 +319,27 @@ def _sides(rows: pa.Table) -> tuple:
 
 
 def _candidates(left: DataFrame, threshold: Fraction) -> DataFrame:
-    """``(node)``: the nodes of which some sketch of another component allows a link. ``left``: (cluster, node, root, n, bits)."""
+    """``(cluster, node)``: the nodes of which some sketch of another component allows a link. ``left``: (cluster, node, root, n, bits)."""
 
     def run(rows: pa.Table) -> pa.Table:
-        node, root, origin, first, second = _sides(rows)
-        n = rows.column("n").to_numpy()
-        bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint64).reshape(len(n), TILE_WORDS)
-        seen = np.zeros(len(n), bool)
-        for i in first.tolist():
-            at = may_meet(i, n, root, origin, bits, second, threshold)
-            if len(at):
-                seen[i] = seen[at] = True
-        return pa.table({"node": pa.array(node[seen])})
-
-    return tiles.dealt(left, "bits", threshold).groupBy(*tiles.GROUP).applyInArrow(run, "node bigint").distinct()
+        place = rows.column("origin").to_numpy()
+        order = np.argsort(place, kind="stable")
+        found = []
+        # Sketches are of one length within a cluster only.
+        for at in np.split(order, np.flatnonzero(np.diff(place[order])) + 1):
+            part = rows.take(pa.array(at))
+            node, root, origin, first, second = _sides(part)
+            n = part.column("n").to_numpy()
+            bits = np.frombuffer(b"".join(part.column("bits").to_pylist()), np.uint64).reshape(len(n), -1)
+            seen = np.zeros(len(n), bool)
+            for i in first.tolist():
+                near = may_meet(i, n, root, origin, bits, second, threshold)
+                if len(near):
+                    seen[i] = seen[near] = True
+            found.append((origin[seen], node[seen]))
+        return pa.table({c: pa.array(np.concatenate([x[i] for x in found])) for i, c in enumerate(("cluster", "node"))})
+
+    return tiles.dealt(left, "bits", threshold).groupBy(*tiles.GROUP).applyInArrow(run, "cluster bigint, node bigint").distinct()
 
 
 def _tiles(left: DataFrame, threshold: Fraction) -> DataFrame:
@@ -312,19 +354,6 @@ def _tiles(left: DataFrame, threshold: Fraction) -> DataFrame:
     return tiles.dealt(left, "s", threshold).groupBy(*tiles.GROUP).applyInArrow(run, "a bigint, b bigint")
 
 
-def _sketches(texts: DataFrame, k: int) -> DataFrame:
-    """``(node, n, bits)``: the size of each node's set and its sketch of fixed length."""
-
-    def make():
-        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sets = shingle_sets(batch.column("text"), k)
-            return pa.RecordBatch.from_arrays([batch.column("node"), pa.array([len(s) for s in sets], pa.int64()),
-                                               pa.array([check_bits(s, TILE_WORDS).tobytes() for s in sets], pa.binary())], names=["node", "n", "bits"])
-        return run
-
-    return emit(texts, "text", "node bigint, n bigint, bits binary", make)
-
-
 def _sets(texts: DataFrame, k: int) -> DataFrame:
     """``(node, s)``: the sorted shingle hashes of each node, as bytes."""
 
@@ -379,34 +408,39 @@ def groups(docs: DataFrame, *, k: int = SHINGLE, threshold: Fraction = THRESHOLD
     own = docs.select(F.col(id).cast("bigint").alias("id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
     nodes = released(_nodes(own, k, threshold))
     real = nodes.filter("node IS NOT NULL").select("id", "n", "node", "h")
-    bits = nodes.select("node", "n", F.explode("bits").alias("x")).select("node", "n", "x.band", "x.bits")
-    bits = released(bits.dropDuplicates(["node", "band"]))
     members = released(_members(_keys(own.filter("text IS NOT NULL"), k, threshold)))
-
-    pairs = released(members.select(F.col("pivot").alias("a"), F.col("node").alias("b"), "band").distinct())
+    rooms = nodes.filter("node IS NOT NULL").select("node", F.explode("rooms").alias("x")).select("node", "x.band", "x.room").distinct()
+    lists = released(_lists(members, rooms))
+    discard(members)
+    smallest = lists.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("m")).filter("m > 1").select("key", "pivot")
+    others = released(lists.join(smallest, "key").filter("node > pivot").select("key", "node", "pivot", _band().alias("band")))
+    discard(lists)
+
+    pairs = released(others.select(F.col("pivot").alias("a"), F.col("node").alias("b"), "band").distinct())
+    some = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    # Copies are one row before they are dealt.
+    bits = nodes.filter("node IS NOT NULL").select("node", "n", "bits").dropDuplicates(["node"]).join(some, "node", "left_semi")
+    bits = released(bits.select("node", "n", F.explode("bits").alias("x")).select("node", "n", "x.band", "x.bits"))
     near = released(_near(pairs, bits, threshold))
     texts = released(_texts(own, real, pairs))
     links = released(_verified(near, texts, k, threshold))
-    discard(bits, near)
-
-    # Keys of which some set is still apart from the smallest: clusters of their sets, by shared keys, are compared in tiles.
-    some = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    roots = released(_rooted(some, links))
-    of = [roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab"]
-    apart = pairs.select("a", "b").distinct().join(of[0], "a").join(of[1], "b").filter("ra != rb")
-    apart = released(apart.select(F.col("a").alias("pivot"), F.col("b").alias("node"), F.lit(1).alias("apart")))
-    keys = members.join(apart, ["pivot", "node"], "left").groupBy("key").agg(F.max("apart").alias("apart"), F.count("*").alias("m"))
-    keys = keys.filter("apart = 1 AND m > 1").select("key")
-    left = released(members.join(keys, "key").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
-    discard(members, apart)
+    discard(near)
+
+    # Keys of which the sets besides the smallest are in several components: clusters of these, by shared keys of one band, are compared in tiles.
+    rooted = others.join(released(_rooted(some, links)), "node")
+    apart = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min("node").alias("least")).filter("x < y").select("key", "least")
+    left = rooted.join(apart, "key").select("node", "root", "band", *[F.xxhash64(c, "band").alias(x) for c, x in (("least", "a"), ("node", "b"))])
+    left = released(left.distinct())
+    discard(others, pairs)
     if not left.isEmpty():
-        clusters = components(left).withColumnRenamed("root", "cluster")
-        sized = released(clusters.join(roots, "node").join(_sketches(texts.join(clusters.select("node"), "node", "left_semi"), k), "node"))
-        some = released(_candidates(sized, threshold))
-        sets = _sets(texts.join(some, "node", "left_semi"), k)
-        more = released(_tiles(released(sized.drop("bits").join(sets, "node")), threshold))
+        clusters = components(left.select("a", "b")).select(F.col("node").alias("b"), F.col("root").alias("cluster"))
+        sized = left.select("node", "root", "band", "b").distinct().join(clusters, "b").join(bits, ["node", "band"])
+        sized = released(sized.select(F.xxhash64("cluster", "band").alias("cluster"), "node", "root", "n", "bits"))
+        met = released(_candidates(sized, threshold))
+        sets = _sets(texts.join(met.select("node").distinct(), "node", "left_semi"), k)
+        more = released(_tiles(released(sized.drop("bits").join(met, ["cluster", "node"]).join(sets, "node")), threshold))
         links = released(links.union(more))
-    discard(texts, pairs)
+    discard(texts, bits)
 
     # Per node first, so that only the last join meets all rows of a group of copies, and its other side is a written table.
     rooted = released(_rooted(real.groupBy("node").agg(F.min("id").alias("least")), links))
